@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch
+from .common import Scratch, let
 
 #: Slots of the table of word counts by hash.
 SLOTS_BITS = 18
@@ -45,8 +45,8 @@ def keyed_lines(docs: DataFrame, places: Column) -> DataFrame:
     k1 and k2 hash the whole set; parity has bit b set if an odd number of its words fall to b, so the sets of two lines
     differ in at least as many words as their parities in bits; prefix has the rarest words that a similar set must meet.
     """
-    at = docs.select("doc_id", "row_hash", F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    keys = F.sort_array(F.transform(line_words(F.col("words")), lambda w: word_key(w, places)))
+    at = docs.select("doc_id", "row_hash", F.posexplode(F.split("text", "\n")).alias("line", "words")).withColumn("places", places)
+    keys = F.sort_array(F.transform(line_words(F.col("words")), lambda w: word_key(w, F.col("places"))))
     sets = at.select("doc_id", "row_hash", "line", keys.alias("keys")).where(F.size("keys") >= LEAST)
     n = F.size("keys")
     parity = F.aggregate("keys", F.lit(0).cast("bigint"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int"))))
@@ -77,7 +77,8 @@ def first_places(base: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFra
     needed = pairs.select(F.col("a").alias("k1")).union(pairs.select(F.col("b").alias("k1"))).distinct()
     asked = firsts.join(needed, "k1").groupBy(F.col("place.doc_id").alias("_d"), F.col("place.row_hash").alias("_r")).agg(F.collect_list(F.struct(F.col("place.line").alias("line"), "k1", "k2", "place")).alias("asked"))
     met = base.select("doc_id", "row_hash", "text").join(asked, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row_hash") == F.col("_r")))
-    rows = F.transform("asked", lambda s: F.struct(s["k1"].alias("k1"), s["k2"].alias("k2"), s["place"].alias("place"), line_words(F.get(F.split(F.col("text"), "\n"), s["line"])).alias("words")))
+    row = lambda parts, s: F.struct(s["k1"].alias("k1"), s["k2"].alias("k2"), s["place"].alias("place"), line_words(F.get(parts, s["line"])).alias("words"))
+    rows = let(F.split(F.col("text"), "\n"), lambda parts: F.transform("asked", lambda s: row(parts, s)))
     sets = scratch.save(met.select(F.inline(rows)), "sets")
     a, b = (sets.select([F.col(c).alias(f"{t}_{c}") for c in sets.columns]) for t in "ab")
     both = F.size(F.array_intersect("a_words", "b_words"))
@@ -106,6 +107,7 @@ def dedup_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     gone = later.groupBy(F.col("doc_id").alias("_d"), F.col("row_hash").alias("_r")).agg(F.sort_array(F.collect_set("line")).alias("_gone"))
     met = base.join(gone, base["doc_id"].eqNullSafe(gone["_d"]) & (base["row_hash"] == gone["_r"]), "left")
     parts = F.split("text", "\n")
-    rest = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone")), lambda i: F.get(parts, i))
+    left = lambda p: F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("_gone")), lambda i: F.get(p, i))
+    rest = let(parts, left)
     done = met.withColumns({"n_lines": F.coalesce(F.size(parts), F.lit(0)), "removed": F.coalesce("_gone", F.array().cast("array<int>")), "_text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))})
     return done.withColumn("text", F.col("_text")).drop("_text", "_gone", "_d", "_r", "_docid", "row_hash")
