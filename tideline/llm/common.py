@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import os
 import re
+import struct
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterable
+from array import array
+from collections.abc import Callable, Iterable
 from functools import lru_cache
-from itertools import chain
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Unicode White_Space, as the tokenizers' `\s` has it (fixed values).
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
-#: Distinct words whose ids a worker keeps; words beyond it are encoded again in each batch.
+#: Distinct words whose ids a worker keeps; words beyond it are encoded at each occurrence.
 CACHED_WORDS = 1_000_000
 
 
@@ -62,6 +64,11 @@ def iterated(schema: str):
     return lambda f: F.pandas_udf(f, schema, F.PandasUDFType.SCALAR_ITER)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def tokenizer_file(name: str) -> str:
     """A tokenizer's path: an existing file, or the name of a file of the public_tokenizers package."""
     if os.path.exists(name):
@@ -71,12 +78,23 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(os.path.basename(name))
 
 
-class WordEncoder:
+def byte_signs() -> dict[int, str]:
+    """Byte-level tokenizers' signs for bytes: printable Latin-1 bytes stand for themselves, the others for 256, 257, ... in order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return {b: chr(b) if b in shown else chr(next(hidden)) for b in range(256)}
+
+
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
+
+
+class WordEncoder(dict):
     """Encodes whole texts with the tokenizers library, remembering the ids of words it has met.
 
     A text is cut only where the tokenizer's own pre-tokenizer always cuts: for the byte-level kind before a word
     together with its leading blank, for the word kind at white space. Joining the words' ids therefore gives the ids
-    of the whole text. Strings of special tokens are ordinary text.
+    of the whole text. A new word of Latin letters, or such letters and then signs, goes straight to the library's model; any other
+    goes through the whole tokenizer. Strings of special tokens are ordinary text.
     """
 
     def __init__(self, name: str):
@@ -85,61 +103,37 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file(name))
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.signs = byte_signs()
         self.byte_level = self.tokenizer.normalizer is None
-        if self.byte_level:
-            self.words = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+").findall
-            self.mark, self.joint = "\n", "\n"
+        blank = f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+"
+        self.words = re.compile(blank if self.byte_level else f"[^{WHITE_SPACE}]+").findall
+        # Letters up to U+024F in composed form, which lower-casing takes one by one; signs without those that contractions or numbers need.
+        letters, ends = "[A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u012f\\u0132-\\u024f]+", "[!-&(-/:-@\\[-^`{-~]*"
+        self.plain = re.compile(f"({' ?' if self.byte_level else ''}{letters})({ends})").fullmatch
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.plain(word)
+        if found:
+            ids = [t.id for part in found.groups() if part for t in self.model.tokenize(self._signs(part))]
         else:
-            self.words = re.compile(f"[^{WHITE_SPACE}]+").findall
-            self.mark, self.joint = "\x01", " \x01 "
-        self.mark_id = self.tokenizer.encode(self.mark, add_special_tokens=False).ids[0]
-        self.kept: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of new words: many at once, parted by a mark that no other word's ids hold."""
-        import numpy as np
-
-        odd = {w for w in missing if (w.isspace() or "\n" in w if self.byte_level else self.mark in w)}
-        found = {w: self._ids(w) for w in odd}
-        if plain := list(missing - odd):
-            ids = np.array(self.tokenizer.encode_batch_fast([self.joint.join(plain)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark_id).tolist()
-            if len(cuts) != len(plain) - 1:
-                return found | {w: self._ids(w) for w in plain}
-            raw, start = ids.tobytes(), 0
-            for word, end in zip(plain, [*cuts, len(ids)], strict=True):
-                found[word] = raw[4 * start : 4 * end]
-                start = end + 1
-        return found
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        raw = array("I", ids).tobytes() if LITTLE else struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) < CACHED_WORDS:
+            self[word] = raw
+        return raw
+
+    def _signs(self, part: str) -> str:
+        if not self.byte_level:
+            part = part.lower()
+        if part.isascii():  # only a leading blank has a sign of its own
+            return self.signs[32] + part[1:] if part[0] == " " else part
+        return part.encode().decode("latin-1").translate(self.signs)
 
     def encode(self, texts: Iterable[str | None], end: int) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit values, the end id last; a null text is empty."""
-        split = [self.words(t) if t else [] for t in texts]
-        known = self.kept
-        if missing := set(chain.from_iterable(split)).difference(known):
-            new = self._learn(missing)
-            if len(known) + len(new) <= CACHED_WORDS:
-                known.update(new)
-            else:
-                known = _Both(new, known)
-        last, get = end.to_bytes(4, "little"), known.__getitem__
-        return [b"".join(map(get, words)) + last for words in split]
-
-
-class _Both(dict):
-    """The batch's own words before the kept ones."""
-
-    def __init__(self, own: dict[str, bytes], kept: dict[str, bytes]):
-        super().__init__(own)
-        self.kept = kept
-
-    def __missing__(self, word: str) -> bytes:
-        return self.kept[word]
+        last, get, words = end.to_bytes(4, "little"), self.__getitem__, self.words
+        return [b"".join(map(get, words(t))) + last if t else last for t in texts]
 
 
 @lru_cache(maxsize=4)

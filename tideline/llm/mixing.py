@@ -40,16 +40,18 @@ def _at(totals: DataFrame, exponents: list[float]) -> dict[float, tuple[float, f
 
 
 def exponent(totals: DataFrame, entropy: float | None = ENTROPY, repetition: float | None = REPETITION, passes: int = 6, cuts: int = 16) -> float:
-    """The exponent in 0..1 nearest 1 that reaches the target entropy, raised as far as the repetition limit asks.
+    """The exponent in 0..1 nearest 1 that reaches the target entropy (without one: 0), raised as far as the repetition limit asks.
 
     Entropy falls and repetition shrinks as the exponent rises, so each is bisected; a pass tries `cuts` exponents at once.
     """
+
     def solve(fits) -> float:
         """The largest exponent for which `fits` holds, which holds up to some point; 0 if for none."""
         lo, hi = 0.0, 1.0
         for _ in range(passes):
             grid = sorted({lo + (hi - lo) * i / cuts for i in range(cuts + 1)})
-            got = _at(totals, grid)
+            if not (got := _at(totals, grid)):
+                return hi
             good = [a for a in grid if fits(*got[a])]
             lo = max(good, default=grid[0])
             hi = min([a for a in grid if a > lo], default=lo)
@@ -57,12 +59,12 @@ def exponent(totals: DataFrame, entropy: float | None = ENTROPY, repetition: flo
                 break
         return lo
 
-    a = 1.0
+    a = 0.0
     if entropy is not None:
         a = solve(lambda e, _: e >= entropy)
     if repetition is not None:
         low = solve(lambda _, r: r > repetition)
-        a = max(a, low if _at(totals, [low])[low][1] <= repetition else min(1.0, low + 1e-6))
+        a = max(a, low if _at(totals, [low]).get(low, (1.0, 1.0))[1] <= repetition else min(1.0, low + 1e-6))
     return a
 
 
