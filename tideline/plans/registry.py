@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from tideline.plans import samplewise, spectral, statistical
+
+MODULES = [samplewise, spectral, statistical]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
