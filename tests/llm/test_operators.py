@@ -162,7 +162,7 @@ def test_random_access(spark, corpus):
 
 def test_mixing_meets_its_target(spark):
     rows = [(i, " ".join(words_of(50 + i % 9, i)), "en", "hot" if i % 10 < 6 else f"s{i % 10}", 1) for i in range(900)]
-    got = mixing.mix(frame(spark, rows), entropy=None, repetition=2.0, block=2000).collect()
+    got = mixing.mix(frame(spark, rows), Scratch(spark, "t"), entropy=None, repetition=2.0, block=2000).collect()
     tokens = {r[0]: len(r[1].split()) for r in rows}
     total, taken = Counter(), Counter()
     for r in rows:
@@ -188,9 +188,9 @@ def test_mixing_meets_its_target(spark):
 
 
 def test_mixing_odd_rows(spark):
-    got = mixing.mix(frame(spark, ODD)).collect()
+    got = mixing.mix(frame(spark, ODD), Scratch(spark, "t")).collect()
     assert Counter(r["doc_id"] for r in got if r["copy"] == 0) == Counter(r[0] for r in ODD)
-    assert mixing.mix(frame(spark, [])).count() == 0
+    assert mixing.mix(frame(spark, []), Scratch(spark, "t")).count() == 0
 
 
 def test_top_k(spark):

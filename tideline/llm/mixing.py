@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import Scratch
+
 #: Share of the sources' largest entropy to meet, copies of a token that are allowed on average, and tokens a block has.
 ENTROPY, REPETITION, BLOCK = 0.97, 2.0, 1 << 16
 #: Source rows that may be broadcast, and salts of the join beyond that.
@@ -68,10 +70,11 @@ def exponent(totals: DataFrame, entropy: float | None = ENTROPY, repetition: flo
     return a
 
 
-def plan(docs: DataFrame, entropy: float | None = ENTROPY, repetition: float | None = REPETITION, block: int = BLOCK) -> DataFrame:
+def plan(docs: DataFrame, scratch: Scratch, entropy: float | None = ENTROPY, repetition: float | None = REPETITION, block: int = BLOCK) -> DataFrame:
     """(source, total, weight, epochs, blocks): each source's normalised weight share^a / sum, the budget being the
     smallest that leaves no document out, and how often its tokens are then taken."""
-    totals = source_totals(docs)
+    # Written once: every pass of the search reads a row a source, and not the texts again.
+    totals = scratch.save(source_totals(docs), "totals")
     whole = totals.agg(F.sum("total").alias("s")).first()["s"] or 1
     shares = totals.withColumn("ls", F.log(F.col("total") / F.lit(float(whole))))
     a = exponent(shares, entropy, repetition)
@@ -81,7 +84,7 @@ def plan(docs: DataFrame, entropy: float | None = ENTROPY, repetition: float | N
     return shares.select("source", "total", (F.exp(F.col("ls") * a) / z).alias("weight"), epochs.alias("epochs"), F.greatest(F.lit(1), F.ceil(F.col("total") / block)).cast("bigint").alias("blocks"))
 
 
-def mix(docs: DataFrame, entropy: float | None = ENTROPY, repetition: float | None = REPETITION, block: int = BLOCK, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, scratch: Scratch, entropy: float | None = ENTROPY, repetition: float | None = REPETITION, block: int = BLOCK, seed: int = 17) -> DataFrame:
     """The documents as often as the mixture takes them, with tokens, copy (from 0), block, position and weight.
 
     Source totals cover all documents. The temperature's exponent is bisected on them; the largest source is taken
@@ -94,7 +97,7 @@ def mix(docs: DataFrame, entropy: float | None = ENTROPY, repetition: float | No
     whole row and keep an order of their own; an empty table gives no row. Columns named as the added ones are replaced.
     """
     counted = docs.withColumn("tokens", token_count())
-    planned = plan(counted.select("source", "tokens"), entropy, repetition, block).select(F.col("source").alias("_source"), "weight", "epochs", "blocks")
+    planned = plan(counted.select("source", "tokens"), scratch, entropy, repetition, block).select(F.col("source").alias("_source"), "weight", "epochs", "blocks")
     own = F.xxhash64(*[F.col(c) for c in docs.columns if not isinstance(docs.schema[c].dataType, _Unhashable())], F.lit(seed))
     keyed = counted.drop("weight", "epochs", "blocks").withColumn("_own", own)
     if planned.limit(SMALL + 1).count() <= SMALL:

@@ -25,7 +25,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "tokens", "weight", "block", "position", "copy")
+    return mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark, "mixing")).select("doc_id", "source", "tokens", "weight", "block", "position", "copy")
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk": OP5_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op5_topk": OP5_SQL}
 
 
 OP5_SQL = """
@@ -88,3 +88,21 @@ WITH good AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+l AS (SELECT doc_id, unnest(range(len(parts))) AS line, unnest(parts) AS raw FROM d),
+w AS (SELECT doc_id, line, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(raw), '[ \t\x0b\x0c\r]+'), lambda x: x <> ''))) AS ws FROM l),
+s AS (SELECT ws, len(ws) AS n, min(doc_id * 1000000 + line) AS at, row_number() OVER () AS sid FROM w WHERE len(ws) >= 5 GROUP BY ws),
+tok AS (SELECT sid, n, unnest(ws) AS t FROM s),
+df AS (SELECT t, count(*) AS c FROM tok GROUP BY t),
+pre AS (SELECT sid, n, t, row_number() OVER (PARTITION BY sid ORDER BY c, t) AS p FROM tok JOIN df USING (t)),
+pf AS (SELECT * FROM pre WHERE p <= n - (4 * n + 4) // 5 + 1),
+cand AS (SELECT DISTINCT a.sid AS a, b.sid AS b FROM pf a JOIN pf b ON a.t = b.t AND a.sid <> b.sid AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+near AS (SELECT a, min(y.at) AS other FROM cand JOIN s x ON x.sid = a JOIN s y ON y.sid = b WHERE 9 * len(list_intersect(x.ws, y.ws)) >= 4 * (x.n + y.n) GROUP BY a),
+keep AS (SELECT s.ws, least(s.at, coalesce(other, s.at)) AS keep FROM s LEFT JOIN near ON a = sid),
+gone AS (SELECT w.doc_id, list_sort(list(CAST(w.line AS INTEGER))) AS removed FROM w JOIN keep USING (ws) WHERE w.doc_id * 1000000 + w.line > keep GROUP BY w.doc_id)
+SELECT d.doc_id, CASE WHEN removed IS NULL THEN text ELSE array_to_string(list_filter(parts, lambda x, i: NOT list_contains(removed, i - 1)), chr(10)) END AS text,
+  CAST(len(parts) AS INTEGER) AS n_lines, coalesce(removed, CAST([] AS INTEGER[])) AS removed
+FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id
+"""
