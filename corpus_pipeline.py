@@ -41,7 +41,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mixture takes them; every one at least once."""
-    return mixing.mix(docs).select(docs.columns)
+    return mixing.mix(docs, Scratch(spark, "pipeline-mixing")).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
