@@ -159,7 +159,7 @@ def tilt_design(delta: float, fs: float, lo: float, hi: float, poles: int = 12):
     out = []
     for i in range(poles):
         pole = a * ratio**i
-        zero = pole * ratio ** (-delta / 2)
+        zero = pole * ratio ** (delta / 2)
         p, z = (math.tan(math.pi * min(v, 0.49 * fs) / fs) for v in (pole, zero))
         out.append(((1 + z) / (1 + p), (z - 1) / (1 + p), (p - 1) / (1 + p)))
     center = math.sqrt(lo * hi)

@@ -119,9 +119,10 @@ def modulation_depth(series: DataFrame, value: str, rate: float, step: float) ->
     """Amplitude of a series at one rate under a periodic Hann window: 2 |sum w v e^iwt| / sum w over its finite values; NaN under eight."""
     n = F.count("*").over(Window.partitionBy("ch"))
     w = F.lit(0.5) * (1 - F.cos(F.lit(2 * math.pi) * F.col("frame") / n))
-    ok = series.withColumn("_w", w).where(F.col(value).isNotNull() & ~F.isnan(value))
+    fine = F.col(value).isNotNull() & ~F.isnan(value)
+    ok = series.withColumns({"_w": F.when(fine, w), "_v": F.when(fine, F.col(value))})
     turn = F.lit(2 * math.pi * rate * step) * F.col("frame")
-    got = ok.groupBy("ch").agg(F.sum(F.col("_w") * F.col(value) * F.cos(turn)).alias("c"), F.sum(F.col("_w") * F.col(value) * F.sin(turn)).alias("s"), F.sum("_w").alias("w"), F.count("*").alias("n"))
+    got = ok.groupBy("ch").agg(F.sum(F.col("_w") * F.col("_v") * F.cos(turn)).alias("c"), F.sum(F.col("_w") * F.col("_v") * F.sin(turn)).alias("s"), F.sum("_w").alias("w"), F.count("_v").alias("n"))
     return got.select("ch", F.when(F.col("n") >= 8, 2 * F.hypot("c", "s") / F.col("w")).otherwise(F.lit(float("nan"))).alias("depth"))
 
 
