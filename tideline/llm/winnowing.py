@@ -90,14 +90,16 @@ def edited_likeness(docs: DataFrame, scratch: Scratch, gram: int = GRAM, window:
     its own next one, an empty table gives no row, and extra columns are ignored.
     """
     text = F.coalesce("text", F.lit(""))
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).withColumns({"row_hash": F.xxhash64("text"), "n_chars": F.char_length("text").cast("bigint")})
-    after = successors(base, scratch)
+    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).withColumn("row_hash", F.xxhash64("text"))
+    chars = F.char_length("text").cast("bigint")
+    after = successors(base.withColumn("n_chars", chars), scratch)
     same = lambda a, b: a["doc_id"].eqNullSafe(b["next_id"]) & (a["row_hash"] == b["next_hash"])
     from_next = after.select(F.col("doc_id").alias("to_id"), F.col("row_hash").alias("to_hash"), F.col("n_chars").alias("to_chars"), "next_id", "next_hash")
     sender = base.dropDuplicates(["doc_id", "row_hash"]) if after.where("copies > 1").limit(1).count() else base
     sent = sender.join(from_next, same(sender, from_next)).select("to_id", "to_hash", F.expr("substring(text, 1, cast(to_chars div 3 as int))").alias("piece"), hashes(winnow(F.col("text"), gram, window)).alias("next_hashes"))
     met = base.join(sent, base["doc_id"].eqNullSafe(sent["to_id"]) & (base["row_hash"] == sent["to_hash"]))
-    edited = met.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 3 as int)), piece)"))
+    # Lengths are taken after the shuffle: both uses of the text then have the same columns, and share one exchange.
+    edited = met.withColumn("n_chars", chars).withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 3 as int)), piece)"))
     chosen = edited.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), winnow(F.col("text"), gram, window).alias("own"), winnow(F.col("edited"), gram, window).alias("changed"), "next_hashes")
     return chosen.select(
         "doc_id", "n_chars", "edited_sha256", written(F.col("own")).alias("fingerprint"), written(F.col("changed")).alias("edited_fingerprint"),
