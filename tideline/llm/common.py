@@ -19,7 +19,11 @@ from pyspark.sql import functions as F
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 #: Distinct words whose ids a worker keeps; words beyond it are encoded at each occurrence.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 1_900_000
+
+
+#: Spark's setting to remove a query's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,8 +53,14 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, tag: str) -> DataFrame:
-        path = f"{self.root}/{tag}"
-        df.write.option("compression", "zstd").parquet(path)
+        """The table, written and read back; what its plan shuffled is dropped as soon as it is written."""
+        path, conf = f"{self.root}/{tag}", self.spark.conf
+        before = conf.get(CLEANUP)
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, tag: str) -> None:
@@ -88,6 +98,10 @@ def byte_signs() -> dict[int, str]:
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if LITTLE else struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordEncoder(dict):
     """Encodes whole texts with the tokenizers library, remembering the ids of words it has met.
 
@@ -115,17 +129,21 @@ class WordEncoder(dict):
     def __missing__(self, word: str) -> bytes:
         found = self.plain(word)
         if found:
-            ids = [t.id for part in found.groups() if part for t in self.model.tokenize(self._signs(part))]
+            letters, ends = found.groups()
+            small = letters if self.byte_level else letters.lower()
+            if ends:
+                raw = self[letters] + self[ends]
+            elif small != letters:
+                raw = self[small]
+            else:
+                raw = _packed([t.id for t in self.model.tokenize(self._signs(letters))])
         else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        raw = array("I", ids).tobytes() if LITTLE else struct.pack(f"<{len(ids)}I", *ids)
+            raw = _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
         if len(self) < CACHED_WORDS:
             self[word] = raw
         return raw
 
     def _signs(self, part: str) -> str:
-        if not self.byte_level:
-            part = part.lower()
         if part.isascii():  # only a leading blank has a sign of its own
             return self.signs[32] + part[1:] if part[0] == " " else part
         return part.encode().decode("latin-1").translate(self.signs)
