@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.plans import samplewise, spectral, statistical
+from tideline.plans import probing, samplewise, spectral, statistical
 
-MODULES = [samplewise, spectral, statistical]
+MODULES = [samplewise, spectral, statistical, probing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
