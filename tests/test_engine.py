@@ -138,3 +138,11 @@ def test_plans_stay_lean(spark):
 
     assert "ReadSchema: struct<c_nationkey:int,c_acctbal:double>" in plan("semi_membership") and "PushedFilters: [IsNotNull(c_acctbal), GreaterThan(c_acctbal,5000.0)" in plan("semi_membership")
     assert "NestedLoop" not in plan("interval_overlap") and "Cartesian" not in plan("interval_overlap")
+
+
+def test_validation_run(spark):
+    from tideline.plans.validation import validation_run
+
+    got = {(r["gate"], r["arm"]): r["status"] for r in validation_run(spark, "").collect()}
+    assert got[("G3", "positive")] == "UNAVAILABLE" and got[("G2", "positive")] == got[("G2", "null")] == "PASS"
+    assert got[("G1a", "positive")] == "RECORD" and got[("G6", "positive")] == got[("G6", "null")] == "PASS"

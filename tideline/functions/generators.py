@@ -141,7 +141,7 @@ def slow_oscillation(period: float, ratio: float, fs: float) -> np.ndarray:
 
 
 #: Events of each state: generator, rate per second, amplitude.
-SCHEDULE = {"n2": [("kcomplex", 0.03, 80.0), ("spindle", 0.06, 25.0)], "n3": [("slow_osc", 0.25, 75.0), ("spindle", 0.03, 20.0)]}
+SCHEDULE = {"n2": [("kcomplex", 0.03, 80.0), ("spindle", 0.06, 25.0)], "n3": [("slow_osc", 0.4, 250.0), ("spindle", 0.03, 20.0)]}
 #: Oscillations of each state: generator, band, amplitude.
 OSCILLATIONS = {"wake_eo": [("alpha", (8, 12), 3.0)], "wake_ec": [("alpha", (8, 12), 14.0)], "n1": [("theta", (4, 7), 6.0)], "n2": [("theta", (4, 7), 6.0)], "n3": [("delta", (0.5, 2), 12.0), ("theta", (4, 7), 4.0)], "rem": [("theta", (4, 7), 5.0)]}
 CHI = {"wake_eo": 0.9, "wake_ec": 0.85, "n1": 1.4, "n2": 1.9, "n3": 3.4, "rem": 2.1}

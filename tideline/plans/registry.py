@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.plans import probing, samplewise, spectral, statistical
+from tideline.plans import probing, samplewise, spectral, statistical, validation
 
-MODULES = [samplewise, spectral, statistical, probing]
+MODULES = [samplewise, spectral, statistical, probing, validation]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
