@@ -10,82 +10,136 @@ from .common import Scratch, let
 
 #: Slots of the table of word counts by hash.
 SLOTS_BITS = 18
-#: Words of a line that can match at least.
-LEAST = 5
+#: Words of a line that can match at least, and sets that may share a prefix word before the first of them goes ahead.
+LEAST, CROWD = 5, 32
 #: Jaccard is 4/5 throughout: o common words of n1 and n2 reach it if 9 o >= 4 (n1 + n2).
 
 
+def plain_text(text: Column) -> Column:
+    """Lower case, with blanks for all white space but line ends."""
+    low = F.lower(text)
+    return F.when(low.rlike("[\\t\\x0b\\x0c\\r]"), F.regexp_replace(low, "[\\t\\x0b\\x0c\\r]", " ")).otherwise(low)
+
+
 def line_words(line: Column) -> Column:
-    """A line's distinct words: lower case, between white space."""
-    return F.array_distinct(F.filter(F.split(F.lower(line), "[ \\t-\\r]+"), lambda w: w != ""))
+    """The words of a line of plain text."""
+    return F.array_remove(F.split(line, " "), "")
 
 
 def rarity(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """One row, one array: the place of each slot of 2^SLOTS_BITS when slots are ordered by their words' count over all
-    lines. The table's size is fixed, whatever the vocabulary; words that share a slot are ordered by the rest of their hash."""
-    words = docs.select(F.explode(F.split(F.lower("text"), "[ \\t-\\r]+")).alias("word"))
+    """One row, one array: for each slot of 2^SLOTS_BITS its place when slots are ordered by their words' count over all
+    lines, moved to the leading bits of a long. The table's size is fixed, whatever the vocabulary; words that share a
+    slot are ordered by the rest of their hash."""
+    words = docs.select(F.explode(F.split(F.replace(plain_text(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
     counted = words.select(F.shiftrightunsigned(F.xxhash64("word"), 64 - SLOTS_BITS).alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
     every = docs.sparkSession.range(1 << SLOTS_BITS).withColumnRenamed("id", "slot")
     placed = every.join(counted, "slot", "left").select("slot", F.coalesce("n", F.lit(0)).alias("n"))
-    ranked = placed.select("slot", (F.row_number().over(Window.orderBy("n", "slot")) - 1).alias("place"))
-    return scratch.save(ranked.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "place"))), lambda s: s["place"]).alias("places")), "rarity")
+    lead = F.shiftleft((F.row_number().over(Window.orderBy("n", "slot")) - 1 - (1 << (SLOTS_BITS - 1))).cast("bigint"), 64 - SLOTS_BITS)
+    ranked = placed.select("slot", lead.alias("lead"))
+    return scratch.save(ranked.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "lead"))), lambda s: s["lead"]).alias("leads")), "rarity")
 
 
-def word_key(word: Column, places: Column) -> Column:
-    """A word's 64-bit hash with its leading bits replaced by its slot's place: one to one, and rare words come first."""
-    h = F.xxhash64(word)
-    place = F.get(places, F.shiftrightunsigned(h, 64 - SLOTS_BITS).cast("int")).cast("bigint")
-    rest = h.bitwiseAND(F.lit((1 << (64 - SLOTS_BITS)) - 1))
-    return F.shiftleft(place - F.lit(1 << (SLOTS_BITS - 1)), 64 - SLOTS_BITS).bitwiseOR(rest)
+def keyed_lines(docs: DataFrame, leads: Column) -> DataFrame:
+    """Every line of LEAST words or more: (doc_id, row_hash, line, k1, k2, n, odd1, odd2, prefix).
+
+    A word's key is its 64-bit hash with the leading bits replaced by its slot's place: one to one, and rare words come
+    first. k1 and k2 hash the whole set. Bit b of the 128 in odd1 and odd2 is set if an odd number of keys fall to b, so
+    two sets differ in at least as many words as these in bits. prefix has the rarest words, of which a similar set must have one.
+    """
+    at = docs.select("doc_id", "row_hash", F.posexplode(F.split(plain_text(F.col("text")), "\n")).alias("line", "words"))
+    hashed = at.select("doc_id", "row_hash", "line", F.array_distinct(F.transform(line_words(F.col("words")), lambda w: F.xxhash64(w))).alias("hashed")).where(F.size("hashed") >= LEAST)
+    rest = F.lit((1 << (64 - SLOTS_BITS)) - 1)
+    key = lambda h: F.get(F.col("leads"), F.shiftrightunsigned(h, 64 - SLOTS_BITS).cast("int")).bitwiseOR(h.bitwiseAND(rest))
+    sets = hashed.withColumn("leads", leads).select("doc_id", "row_hash", "line", F.sort_array(F.transform("hashed", key)).alias("keys"))
+    side = lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(1).cast("bigint"))
+    bit = lambda k, which: F.call_function("shiftleft", side(k) if which else side(k).bitwiseXOR(F.lit(1).cast("bigint")), k.bitwiseAND(F.lit(63)).cast("int"))
+    odd = lambda which: F.aggregate("keys", F.lit(0).cast("bigint"), lambda a, k: a.bitwiseXOR(bit(k, which)))
+    return sets.select("doc_id", "row_hash", "line", F.xxhash64("keys").alias("k1"), F.xxhash64("keys", F.lit(1)).alias("k2"), F.size("keys").alias("n"), odd(0).alias("odd1"), odd(1).alias("odd2"), F.expr("slice(keys, 1, size(keys) - (4 * size(keys) + 4) div 5 + 1)").alias("prefix"))
+
+
+def entries(lines: DataFrame, decided: DataFrame | None = None) -> DataFrame:
+    """(word, k1, ni, odd1, odd2, doc, done): one slim row for each prefix word of each distinct set; ni packs the set's
+    size and the word's position, doc is the doc_id of the set's first place, done whether `decided` (k1, k2) has the set."""
+    kept = ["n", "odd1", "odd2", "prefix"]
+    sets = lines.groupBy("k1", "k2").agg(*[F.first(c).alias(c) for c in kept], F.min("doc_id").alias("doc"))
+    done = F.lit(0).cast("bigint")
+    if decided is not None:
+        sets = sets.join(decided.select("k1", "k2", F.lit(1).alias("_done")), ["k1", "k2"], "left")
+        done = F.coalesce("_done", F.lit(0)).cast("bigint")
+    each = sets.select("k1", "n", "odd1", "odd2", "doc", done.alias("done"), F.posexplode("prefix").alias("i", "word"))
+    packed = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("i").cast("bigint"))
+    return each.select("word", "k1", packed.alias("ni"), "odd1", "odd2", "doc", "done")
 
 
-def keyed_lines(docs: DataFrame, places: Column) -> DataFrame:
-    """Every line of LEAST words or more: (doc_id, row_hash, line, k1, k2, n, parity, prefix).
+def may_match(x: str, y: str) -> Column:
+    """Whether two entries' lengths, the word's positions and the odd bits leave room for Jaccard 0.8.
 
-    k1 and k2 hash the whole set; parity has bit b set if an odd number of its words fall to b, so the sets of two lines
-    differ in at least as many words as their parities in bits; prefix has the rarest words that a similar set must meet.
+    o common words of sizes n1 and n2 are needed with 9 o >= 4 (n1 + n2); such sets differ in n1 + n2 - 2 o words at most.
     """
-    at = docs.select("doc_id", "row_hash", F.posexplode(F.split("text", "\n")).alias("line", "words")).withColumn("places", places)
-    keys = F.sort_array(F.transform(line_words(F.col("words")), lambda w: word_key(w, F.col("places"))))
-    sets = at.select("doc_id", "row_hash", "line", keys.alias("keys")).where(F.size("keys") >= LEAST)
-    n = F.size("keys")
-    parity = F.aggregate("keys", F.lit(0).cast("bigint"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int"))))
-    return sets.select("doc_id", "row_hash", "line", F.xxhash64("keys").alias("k1"), F.xxhash64("keys", F.lit(1)).alias("k2"), n.alias("n"), parity.alias("parity"), F.expr("slice(keys, 1, size(keys) - (4 * size(keys) + 4) div 5 + 1)").alias("prefix"))
-
-
-def candidates(lines: DataFrame) -> DataFrame:
-    """(a, b): k1 of distinct sets that may be similar. The sets' prefix words meet by equality, as slim rows of one exchange;
-    a meeting goes on only if lengths, the words' positions and parities leave room for Jaccard 0.8."""
-    sets = lines.groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
-    entries = sets.select("k1", "n", "parity", F.posexplode("prefix").alias("i", "word"))
-    packed = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("i").cast("bigint"))
-    entries = entries.select("word", "k1", packed.alias("ni"), "parity")
-    x, y = entries.select([F.col(c).alias(f"x_{c}") for c in entries.columns]), entries.select([F.col(c).alias(f"y_{c}") for c in entries.columns])
-    n1, n2 = F.shiftright("x_ni", 32), F.shiftright("y_ni", 32)
-    left1, left2 = (n - F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)) for n, c in ((n1, "x_ni"), (n2, "y_ni")))
-    reach, apart = F.least(left1, left2), F.bit_count(F.col("x_parity").bitwiseXOR(F.col("y_parity")))
-    # o common words: 9 o >= 4 (n1 + n2); sets differ in n1 + n2 - 2 o words.
-    may = (F.col("x_k1") < F.col("y_k1")) & (5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)) & (9 * reach >= 4 * (n1 + n2)) & (9 * apart <= n1 + n2)
-    return x.join(y, (F.col("x_word") == F.col("y_word")) & may).select(F.col("x_k1").alias("a"), F.col("y_k1").alias("b")).distinct()
+    n1, n2 = F.shiftright(f"{x}ni", 32), F.shiftright(f"{y}ni", 32)
+    left1, left2 = (n - F.col(f"{c}ni").bitwiseAND(F.lit(0xFFFFFFFF)) for n, c in ((n1, x), (n2, y)))
+    apart = sum(F.bit_count(F.col(f"{x}odd{b}").bitwiseXOR(F.col(f"{y}odd{b}"))) for b in (1, 2))
+    return (5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)) & (9 * F.least(left1, left2) >= 4 * (n1 + n2)) & (9 * apart <= n1 + n2)
 
 
-def first_places(base: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """(k1, k2, keep): for every set with a second line or a similar set, the first place of all these lines."""
-    place = F.struct("doc_id", "row_hash", "line")
-    firsts = lines.groupBy("k1", "k2").agg(F.min(place).alias("place"), F.count("*").alias("times"))
-    pairs = scratch.save(candidates(lines), "candidates")
+def named(table: DataFrame, prefix: str) -> DataFrame:
+    return table.select([F.col(c).alias(f"{prefix}{c}") for c in table.columns])
+
+
+def with_firsts(lines: DataFrame) -> DataFrame:
+    """(a, b): sets against the first set, by document, of each word that more than CROWD sets have as a prefix word.
+
+    A crowd of near copies mostly matches its first member, so that its pairs need not be formed; the number of rows is
+    at most that of the entries.
+    """
+    # One exchange by word serves the aggregate and the join: both use the same columns, and neither filters more than the other.
+    rows = entries(lines).drop("done").where(" and ".join(f"{c} is not null" for c in ("word", "k1", "ni", "odd1", "odd2", "doc"))).repartition("word")
+    first = F.min_by(F.struct("k1", "ni", "odd1", "odd2", "doc"), F.struct("doc", "k1"))
+    heads = rows.groupBy("word").agg(F.count("*").alias("n"), first.alias("h")).where(F.col("n") > CROWD)
+    heads = heads.select(F.col("word").alias("h_word"), *[F.col(f"h.{c}").alias(f"h_{c}") for c in ("k1", "ni", "odd1", "odd2", "doc")])
+    met = named(rows, "x_").join(heads, (F.col("x_word") == F.col("h_word")) & (F.col("x_k1") != F.col("h_k1")) & (F.col("x_doc") >= F.col("h_doc")) & may_match("x_", "h_"))
+    return met.select(F.least("x_k1", "h_k1").alias("a"), F.greatest("x_k1", "h_k1").alias("b")).distinct()
+
+
+def with_all(lines: DataFrame, decided: DataFrame) -> DataFrame:
+    """(a, b): sets that aren't decided against all others that share a prefix word, each pair from one side."""
+    rows = entries(lines, decided).drop("doc")
+    # x is open, and y is done or has the larger key. As one term over both sides it isn't pushed below the exchange, which both sides then share.
+    twice = F.when((F.col("y_done") == 1) | (F.col("x_k1") < F.col("y_k1")), 0).otherwise(1)
+    met = named(rows, "x_").join(named(rows, "y_"), (F.col("x_word") == F.col("y_word")) & (F.col("x_k1") != F.col("y_k1")) & (F.col("x_done") + twice == 0) & may_match("x_", "y_"))
+    return met.select(F.least("x_k1", "y_k1").alias("a"), F.greatest("x_k1", "y_k1").alias("b")).distinct()
+
+
+def later_of_similar(pairs: DataFrame, firsts: DataFrame, base: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
+    """(k1, k2, other): of each pair that is similar word by word, the set whose first place is later, with an earlier place."""
     needed = pairs.select(F.col("a").alias("k1")).union(pairs.select(F.col("b").alias("k1"))).distinct()
-    asked = firsts.join(needed, "k1").groupBy(F.col("place.doc_id").alias("_d"), F.col("place.row_hash").alias("_r")).agg(F.collect_list(F.struct(F.col("place.line").alias("line"), "k1", "k2", "place")).alias("asked"))
+    at = F.col("place")
+    asked = firsts.join(needed, "k1").groupBy(at["doc_id"].alias("_d"), at["row_hash"].alias("_r")).agg(F.collect_list(F.struct(at["line"].alias("line"), "k1", "k2", "place")).alias("asked"))
     met = base.select("doc_id", "row_hash", "text").join(asked, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row_hash") == F.col("_r")))
-    row = lambda parts, s: F.struct(s["k1"].alias("k1"), s["k2"].alias("k2"), s["place"].alias("place"), line_words(F.get(parts, s["line"])).alias("words"))
-    rows = let(F.split(F.col("text"), "\n"), lambda parts: F.transform("asked", lambda s: row(parts, s)))
-    sets = scratch.save(met.select(F.inline(rows)), "sets")
-    a, b = (sets.select([F.col(c).alias(f"{t}_{c}") for c in sets.columns]) for t in "ab")
+    row = lambda parts, s: F.struct(s["k1"].alias("k1"), s["k2"].alias("k2"), s["place"].alias("place"), F.array_distinct(line_words(F.get(parts, s["line"]))).alias("words"))
+    rows = let(F.split(plain_text(F.col("text")), "\n"), lambda parts: F.transform("asked", lambda s: row(parts, s)))
+    sets = scratch.save(met.select(F.inline(rows)), f"{tag}-sets")
     both = F.size(F.array_intersect("a_words", "b_words"))
-    near = pairs.join(a, F.col("a") == F.col("a_k1")).join(b, F.col("b") == F.col("b_k1")).where(9 * both >= 4 * (F.size("a_words") + F.size("b_words")))
-    ends = near.select(F.explode(F.array(*[F.struct(F.col(f"{t}_k1").alias("k1"), F.col(f"{t}_k2").alias("k2"), F.col(f"{o}_place").alias("other")) for t, o in ("ab", "ba")])).alias("e")).select("e.*")
-    other = ends.groupBy("k1", "k2").agg(F.min("other").alias("other"))
-    return firsts.join(other, ["k1", "k2"], "left").where("times > 1 or other is not null").select("k1", "k2", F.when(F.col("other") < F.col("place"), F.col("other")).otherwise(F.col("place")).alias("keep"))
+    near = pairs.join(named(sets, "a_"), F.col("a") == F.col("a_k1")).join(named(sets, "b_"), F.col("b") == F.col("b_k1")).where(9 * both >= 4 * (F.size("a_words") + F.size("b_words")))
+    pick = lambda late, early: F.struct(F.col(f"{late}_k1").alias("k1"), F.col(f"{late}_k2").alias("k2"), F.col(f"{early}_place").alias("other"))
+    later = near.select(F.when(F.col("a_place") < F.col("b_place"), pick("b", "a")).otherwise(pick("a", "b")).alias("_l")).select("_l.*")
+    found = scratch.save(later.groupBy("k1", "k2").agg(F.min("other").alias("other")), f"{tag}-later")
+    for done in (f"{tag}-sets", tag):
+        scratch.drop(done)
+    return found
+
+
+def first_places(base: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """(k1, k2, keep): for every set with a second line or an earlier similar set, its first place or one before it.
+
+    Two rounds: against the first of each crowd, then what that leaves against all. A set is decided by any earlier
+    similar one, so what the first round decides need not be paired again but still counts as a partner.
+    """
+    firsts = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "row_hash", "line")).alias("place"), F.count("*").alias("times"))
+    one = later_of_similar(scratch.save(with_firsts(lines), "one"), firsts, base, scratch, "one")
+    two = later_of_similar(scratch.save(with_all(lines, one), "two"), firsts, base, scratch, "two")
+    other = one.unionByName(two).groupBy("k1", "k2").agg(F.min("other").alias("other"))
+    return firsts.join(other, ["k1", "k2"], "left").where("times > 1 or other is not null").select("k1", "k2", F.coalesce("other", "place").alias("keep"))
 
 
 def dedup_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
