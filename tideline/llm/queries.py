@@ -67,7 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op5_topk": OP5_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op5_topk": OP5_SQL, "op8_substring_dedup": OP8_SQL}
 
 
 OP5_SQL = """
@@ -106,3 +106,22 @@ SELECT d.doc_id, CASE WHEN removed IS NULL THEN text ELSE array_to_string(list_f
   CAST(len(parts) AS INTEGER) AS n_lines, coalesce(removed, CAST([] AS INTEGER[])) AS removed
 FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id
 """
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '(?s).*?(?:[.!?]+["'')\]]*\s+|\n+)|.+') AS parts FROM documents),
+p AS (SELECT doc_id, unnest(range(len(parts))) AS i, unnest(parts) AS part FROM d),
+w AS (SELECT *, list_filter(regexp_split_to_array(lower(part), '\s+'), lambda x: x <> '') AS ws FROM p),
+k AS (SELECT doc_id, i, len(ws) AS n, array_to_string(ws, ' ') AS t, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS kept
+      FROM w WHERE len(ws) > 1 OR (len(ws) = 1 AND regexp_matches(ws[1], '[\p{L}\p{N}]'))),
+runs AS (SELECT a.doc_id, 2 * a.k AS span, 'run ' || a.t || coalesce(' ' || b.t, '') AS h, a.n + coalesce(b.n, 0) AS n FROM k a LEFT JOIN k b ON a.doc_id = b.doc_id AND b.k = a.k + 1 WHERE b.k IS NOT NULL OR a.kept = 1),
+spans AS (SELECT doc_id, span, h FROM runs WHERE n >= 12 UNION ALL SELECT doc_id, 2 * k + 1, 'one ' || t FROM k WHERE n >= 20),
+later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, span) AS place FROM spans) WHERE place > 1),
+gone AS (SELECT DISTINCT l.doc_id, k.i FROM later l JOIN k ON k.doc_id = l.doc_id AND (k.k = l.span // 2 OR (l.span % 2 = 0 AND k.k = l.span // 2 + 1))),
+b AS (SELECT doc_id, i, part, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM p),
+g AS (SELECT b.*, gone.i IS NOT NULL AS off FROM b LEFT JOIN gone ON gone.doc_id = b.doc_id AND gone.i = b.i),
+isl AS (SELECT doc_id, min(e - length(part)) AS a, max(e) AS z FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS s FROM g WHERE off) GROUP BY doc_id, s),
+r AS (SELECT doc_id, list([CAST(a AS INTEGER), CAST(z AS INTEGER)] ORDER BY a) AS removed FROM isl GROUP BY doc_id),
+t AS (SELECT doc_id, coalesce(string_agg(CASE WHEN NOT off THEN part END, '' ORDER BY i), '') AS text, CAST(count(*) AS INTEGER) AS n_sentences, CAST(sum(CASE WHEN off THEN 1 ELSE 0 END) AS INTEGER) AS n_removed FROM g GROUP BY doc_id)
+SELECT d.doc_id, coalesce(t.text, d.text) AS text, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0) AS n_removed, coalesce(removed, CAST([] AS INTEGER[][])) AS removed
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id
+"""

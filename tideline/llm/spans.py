@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .common import iterated, slices
 
-#: Consecutive sentences a span has, and the words it must have at least: shorter runs recur by chance.
-SENTENCES, LEAST_WORDS = 3, 12
+#: Consecutive sentences a span has, and the words it must have at least: shorter runs recur by chance. A sentence of so many
+#: words is a span of its own too, as a passage may have few and long ones.
+SENTENCES, LEAST_WORDS, LONG = 2, 12, 20
 #: Copies of a repeated span's row, so that the rows of a common span meet it in so many places.
 SALTS = 16
 _ENDS = re.compile(r"[.!?]+[\"')\]]*\s+|\n+")
@@ -27,28 +28,34 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     return list(zip([0, *cuts[:-1]], cuts, strict=True))
 
 
-def span_hashes(text: str | None, size: int, least: int) -> list[tuple[int, int]]:
-    """(first sentence, hash) of every run of `size` consecutive sentences with at least `least` words.
+def counted(words: list[str]) -> bool:
+    """Whether a sentence counts: it has more than a lone sign."""
+    return len(words) > 1 or bool(words) and any(map(str.isalnum, words[0]))
 
-    Sentences without a letter or digit are passed over. Case and white space don't count. A text of fewer sentences is one span.
+
+def span_hashes(text: str | None, size: int, least: int, long: int = LONG) -> list[tuple[int, int]]:
+    """(span, hash): span 2 k is the run of `size` counted sentences from the k-th on, if of at least `least` words, and
+    2 k + 1 the k-th sentence alone, if of at least `long` words.
+
+    Case and white space don't matter. A text of fewer counted sentences than `size` is one run.
     """
     import xxhash
 
-    kept = []
-    for i, (a, b) in enumerate(sentences(text)):
-        words = text[a:b].lower().split()
-        if words and not (len(words) == 1 and not any(c.isalnum() for c in words[0])):
-            kept.append((i, len(words), " ".join(words)))
-    if not kept:
-        return []
+    kept = [(len(w), " ".join(w)) for a, b in sentences(text) if counted(w := text[a:b].lower().split())]
     out = []
-    for k in range(max(1, len(kept) - size + 1)):
+    for k in range(max(1, len(kept) - size + 1) if kept else 0):
         run = kept[k : k + size]
-        if sum(r[1] for r in run) >= least:
-            out.append((k, xxhash.xxh64_intdigest(" ".join(r[2] for r in run), 5) - (1 << 63)))
+        if sum(r[0] for r in run) >= least:
+            out.append((2 * k, xxhash.xxh64_intdigest(" ".join(r[1] for r in run).encode("utf-8", "surrogatepass"), 5) - (1 << 63)))
+    out += [(2 * k + 1, xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 6) - (1 << 63)) for k, (n, x) in enumerate(kept) if n >= long]
     return out
 
 
+def covered(spans: list[int], size: int, n: int) -> set[int]:
+    """The counted sentences, of n, that spans cover."""
+    return {i for s in spans for i in range(s // 2, min(n, s // 2 + (1 if s % 2 else size)))}
+
+
 def repeated_spans(docs: DataFrame, size: int = SENTENCES, least: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, row_hash, spans): for every document with any, the spans that occur before elsewhere or earlier in it.
 
@@ -105,10 +112,10 @@ def dedup_spans(docs: DataFrame, size: int = SENTENCES, least: int = LEAST_WORDS
                 if gone is None or not len(gone):
                     rows.append((text, len(bounds), 0, []))
                     continue
-                kept = [i for i, (a, b) in enumerate(bounds) if (w := text[a:b].split()) and not (len(w) == 1 and not any(c.isalnum() for c in w[0]))]
-                covered = sorted({i for k in gone for i in kept[k : k + size]})
+                kept = [i for i, (a, b) in enumerate(bounds) if counted(text[a:b].split())]
+                gone = sorted(kept[i] for i in covered([int(g) for g in gone], size, len(kept)))
                 ranges: list[list[int]] = []
-                for i in covered:
+                for i in gone:
                     a, b = bounds[i]
                     if ranges and ranges[-1][1] == a:
                         ranges[-1][1] = b
@@ -118,7 +125,7 @@ def dedup_spans(docs: DataFrame, size: int = SENTENCES, least: int = LEAST_WORDS
                 for a, b in ranges:
                     whole.append(text[at:a])
                     at = b
-                rows.append(("".join([*whole, text[at:]]), len(bounds), len(covered), ranges))
+                rows.append(("".join([*whole, text[at:]]), len(bounds), len(gone), ranges))
             yield pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed", "removed"])
 
     done = met.withColumn("_cut", cut("text", "_spans")).drop("_row", "_id", "_d", "_r", "_spans")
