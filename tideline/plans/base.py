@@ -67,7 +67,3 @@ MULTI = "multi AS (" + " UNION ALL ".join(f"SELECT l_orderkey, l_linenumber, '{c
 def sig(centre: float) -> str:
     return SIG.replace("value AS x", f"value - {centre} AS x")
 
-
-def rr(sql: str, digits: int = 6) -> str:
-    """The SQL twin of `r`."""
-    return f"CASE WHEN NOT isnan({sql}) THEN round({sql}, {digits}) + 0.0 END"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.operators import samples, windows
-from tideline.plans.base import MULTI, SIG, Book, multichannel, r, rr, sig, signal, table
+from tideline.plans.base import MULTI, SIG, Book, multichannel, r, sig, signal, table
 from tideline.sources import montage
 
 BOOK = Book()
