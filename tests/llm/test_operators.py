@@ -31,7 +31,7 @@ ODD = [
 def frame(spark, rows, extra=True):
     df = spark.createDataFrame(rows, COLUMNS)
     # Extra columns whose names clash with the operators' own.
-    return df.withColumns({c: F.lit(7) for c in ("tokens", "row_hash", "n", "start", "score", "removed")}) if extra else df
+    return df.withColumns({c: F.lit(7) for c in ("tokens", "row_hash", "n", "start", "score", "removed", "epochs", "blocks", "epoch", "copy", "fp", "k1", "salt", "span", "hash", "line", "words")}) if extra else df
 
 
 def words_of(n, seed, vocabulary=300):
@@ -133,6 +133,8 @@ def test_line_dedup(spark, corpus):
             assert got[doc]["text"] == "\n".join(x for i, x in enumerate(text.split("\n")) if i not in removed[doc])
         if rows is corpus:
             assert removed
+        if rows:
+            assert all(r["row_hash"] == r["k1"] == r["words"] == 7 for r in got.values())
         if rows is ODD:
             assert got[2]["text"] is None and got[3]["text"] == ""
 
@@ -199,6 +201,7 @@ def test_mixing_meets_its_target(spark):
 def test_mixing_odd_rows(spark):
     got = mixing.mix(frame(spark, ODD), Scratch(spark, "t")).collect()
     assert Counter(r["doc_id"] for r in got if r["copy"] == 0) == Counter(r[0] for r in ODD)
+    assert all(r["epochs"] == r["blocks"] == 7 for r in got)
     assert mixing.mix(frame(spark, []), Scratch(spark, "t")).count() == 0
 
 

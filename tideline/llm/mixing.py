@@ -97,25 +97,25 @@ def mix(docs: DataFrame, scratch: Scratch, entropy: float | None = ENTROPY, repe
     whole row and keep an order of their own; an empty table gives no row. Columns named as the added ones are replaced.
     """
     counted = docs.withColumn("tokens", token_count())
-    planned = plan(counted.select("source", "tokens"), scratch, entropy, repetition, block).select(F.col("source").alias("_source"), "weight", "epochs", "blocks")
+    planned = plan(counted.select("source", "tokens"), scratch, entropy, repetition, block).select(F.col("source").alias("_source"), "weight", F.col("epochs").alias("_epochs"), F.col("blocks").alias("_blocks"))
     own = F.xxhash64(*[F.col(c) for c in docs.columns if not isinstance(docs.schema[c].dataType, _Unhashable())], F.lit(seed))
-    keyed = counted.drop("weight", "epochs", "blocks").withColumn("_own", own)
+    keyed = counted.drop("weight").withColumn("_own", own)
     if planned.limit(SMALL + 1).count() <= SMALL:
         joined = keyed.join(F.broadcast(planned), F.col("source").eqNullSafe(F.col("_source")))
     else:
         spread = planned.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salted = keyed.withColumn("_part", F.pmod("_own", F.lit(SALTS)).cast("int"))
         joined = salted.join(spread, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_part") == F.col("_salt"))).drop("_part", "_salt")
-    blocked = joined.withColumn("block", F.pmod(F.xxhash64("_own", F.lit(1)), F.col("blocks")))
-    full = F.floor("epochs").cast("int")
+    blocked = joined.withColumn("block", F.pmod(F.xxhash64("_own", F.lit(1)), F.col("_blocks")))
+    full = F.floor("_epochs").cast("int")
     turn = F.xxhash64("_own", F.lit(2))
     group = Window.partitionBy("source", "block")
     before = F.sum("tokens").over(group.orderBy("_turn", "_own").rowsBetween(Window.unboundedPreceding, -1))
-    budget = (F.col("epochs") - full) * F.sum("tokens").over(group.orderBy("_turn", "_own").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    budget = (F.col("_epochs") - full) * F.sum("tokens").over(group.orderBy("_turn", "_own").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     placed = blocked.withColumn("_turn", turn).withColumns({"_before": F.coalesce(before, F.lit(0)), "_budget": budget, "position": F.row_number().over(group.orderBy("_turn", "_own")).cast("bigint")})
     more = F.when(F.col("_before") + F.col("tokens") / 2 <= F.col("_budget"), 1).otherwise(0)
     copies = placed.withColumn("copy", F.explode(F.sequence(F.lit(0), full + more - 1)))
-    return copies.drop("_source", "_own", "_turn", "_before", "_budget", "epochs", "blocks")
+    return copies.drop("_source", "_own", "_turn", "_before", "_budget", "_epochs", "_blocks")
 
 
 def _Unhashable():
