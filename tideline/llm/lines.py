@@ -12,6 +12,8 @@ from .common import Scratch, let
 SLOTS_BITS = 18
 #: Words of a line that can match at least, and sets that may share a prefix word before the first of them goes ahead.
 LEAST, CROWD = 5, 32
+#: Copies of the row that decides a set of words.
+SALTS = 8
 #: Jaccard is 4/5 throughout: o common words of n1 and n2 reach it if 9 o >= 4 (n1 + n2).
 
 
@@ -153,15 +155,18 @@ def dedup_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     Rows equal in doc_id and text share one decision. A null doc_id comes before all others; null and empty texts stay as
     they are. An empty table gives no row. Extra columns are kept, those named as the added ones replaced.
     """
-    base = docs.withColumns({"row_hash": F.xxhash64("text"), "_docid": F.col("doc_id")})
-    slim = base.select(F.col("doc_id").cast("bigint").alias("doc_id"), "row_hash", "text")
+    base = docs.withColumn("_row", F.xxhash64("text"))
+    slim = base.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("_row").alias("row_hash"), "text")
     lines = scratch.save(keyed_lines(slim, rarity(slim, scratch).scalar()), "lines")
     keep = first_places(slim, lines, scratch)
-    later = lines.select("k1", "k2", "doc_id", "row_hash", "line").join(keep, ["k1", "k2"]).where(F.struct("doc_id", "row_hash", "line") > F.col("keep"))
+    # A line that many documents share is dealt by salt, and the row that decides it copied so often.
+    salted = keep.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = lines.select("k1", "k2", "doc_id", "row_hash", "line", F.pmod(F.xxhash64("doc_id", "row_hash", "line"), F.lit(SALTS)).cast("int").alias("salt"))
+    later = dealt.join(salted, ["k1", "k2", "salt"]).where(F.struct("doc_id", "row_hash", "line") > F.col("keep"))
     gone = later.groupBy(F.col("doc_id").alias("_d"), F.col("row_hash").alias("_r")).agg(F.sort_array(F.collect_set("line")).alias("_gone"))
-    met = base.join(gone, base["doc_id"].eqNullSafe(gone["_d"]) & (base["row_hash"] == gone["_r"]), "left")
+    met = base.join(gone, base["doc_id"].eqNullSafe(gone["_d"]) & (base["_row"] == gone["_r"]), "left")
     parts = F.split("text", "\n")
     left = lambda p: F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("_gone")), lambda i: F.get(p, i))
     rest = let(parts, left)
     done = met.withColumns({"n_lines": F.coalesce(F.size(parts), F.lit(0)), "removed": F.coalesce("_gone", F.array().cast("array<int>")), "_text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))})
-    return done.withColumn("text", F.col("_text")).drop("_text", "_gone", "_d", "_r", "_docid", "row_hash")
+    return done.withColumn("text", F.col("_text")).drop("_text", "_gone", "_d", "_r", "_row")
