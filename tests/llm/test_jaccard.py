@@ -1,0 +1,57 @@
+"""The near-duplicate stage against brute-force Jaccard of word shingles."""
+
+import random
+from collections import defaultdict
+
+import pytest
+
+pytest.importorskip("tideline.llm")
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+from tests.llm.test_operators import COLUMNS, ODD, words_of
+
+
+def shingles(text, words=5):
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return {tuple(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))} if parts else set()
+
+
+def groups_of(sets):
+    """Components of the pairs of Jaccard 0.8; empty sets are equal."""
+    root = list(range(len(sets)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    near = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] == sets[j] or 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                near += sets[i] != sets[j]
+                root[top(i)] = top(j)
+    return [top(i) for i in range(len(sets))], near
+
+
+def test_every_pair_of_jaccard_0_8_is_found(spark):
+    rng, rows = random.Random(8), [r for r in ODD if r[0] is not None]
+    for d in range(60):
+        base = words_of(rng.randint(60, 200), 70 + d, 4000)
+        for k in range(4):  # each copy is edited anew: on both sides of 0.8 against the first and against one another
+            text = list(base)
+            for _ in range(rng.randint(0, 5) if k else 0):
+                text[rng.randrange(len(text))] = f"edit{rng.random()}"
+            rows.append((100 + 10 * d + k, " ".join(text), "en", "s0", 1))
+    chain = words_of(120, 5, 4000)
+    for k in range(30):  # neighbours are near, the ends are not
+        chain[4 * k] = f"link{k}"
+        rows.append((5000 + k, " ".join(chain), "en", "s0", 1))
+    sets = [shingles(r[1]) for r in rows]
+    root, near = groups_of(sets)
+    assert near > 150
+    first = defaultdict(list)
+    for r, g in zip(rows, root, strict=True):
+        first[g].append(r[0])
+    got = corpus_pipeline.keep_one(spark, spark.createDataFrame(rows, COLUMNS), "").collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(map(min, first.values()))
