@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +30,7 @@ class OrdinalModel:
 
 
 class Features:
-    """A text's features: which words and runs of signs it has, hashed, and its shape."""
+    """A text's features: which words and runs of signs it has, hashed, and its shape. Both take the whole text."""
 
     def __init__(self, size: int = FEATURES):
         self.size, self.kept = size, {}
@@ -47,14 +48,14 @@ class Features:
         import numpy as np
 
         pieces = _PIECES(text.lower()) if text else []
-        own = set(pieces)
+        own = Counter(pieces)
         kept, slot = self.kept, self.slot
         slots = np.fromiter((kept[p] if p in kept else slot(p) for p in own), np.int32, len(own))
         n = max(1, len(pieces))
-        most = max(map(pieces[:2000].count, set(pieces[:50])), default=0) / max(1, min(n, 2000))
+        most = max(own.values(), default=0) / n
         signs = sum(1 for p in pieces if not (p[0].isalnum() or p[0] == "\n")) / n
-        shouted = sum(map(str.isupper, text[:4000])) / max(1, min(len(text), 4000)) if text else 0.0
-        return slots, np.array([1.0, len(own) / n, most, signs, pieces.count("\n") / n, shouted, min(1.0, n / 500)], np.float32)
+        shouted = sum(map(str.isupper, text)) / len(text) if text else 0.0
+        return slots, np.array([1.0, len(own) / n, most, signs, own["\n"] / n, shouted, min(1.0, n / 500)], np.float32)
 
 
 def chosen_features(slots, owners, graded, size: int, grades: int):
