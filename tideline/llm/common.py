@@ -46,7 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written under the shared folder to cut lineage; they outlive any executor.
 
-    What the returned result still reads must stay; intermediate rounds are dropped as they are superseded.
+    What the returned result still reads must stay; intermediate rounds are dropped as they are superseded. Once the
+    result is written, `close` removes the rest.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -64,9 +65,25 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, tag: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{tag}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete(f"{self.root}/{tag}")
+
+    def close(self) -> None:
+        """Removes all of it. Results that still read from it must have been written elsewhere."""
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """These names, lengthened until the table has no column of that name: for columns that are only passed on."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def iterated(schema: str):
@@ -108,7 +125,7 @@ class WordEncoder(dict):
     A text is cut only where the tokenizer's own pre-tokenizer always cuts: for the byte-level kind before a word
     together with its leading blank, for the word kind at white space. Joining the words' ids therefore gives the ids
     of the whole text. A new word of Latin letters, or such letters and then signs, goes straight to the library's model; any other
-    goes through the whole tokenizer. Strings of special tokens are ordinary text.
+    goes through the whole tokenizer. The tokenizer's added tokens are cut out of a text first, as the library does.
     """
 
     def __init__(self, name: str):
@@ -116,8 +133,13 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file(name))
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        added = self.tokenizer.get_added_tokens_decoder()
+        # Only tokens that are looked for literally, as in the public files, can be cut out; else whole texts go to the library.
+        self.literal = not any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values())
+        self.added = {t.content: _packed([i]) for i, t in added.items()}
+        longest = sorted(map(re.escape, self.added), key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(longest)})") if longest else None
         self.signs = byte_signs()
         self.byte_level = self.tokenizer.normalizer is None
         blank = f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+"
@@ -151,7 +173,17 @@ class WordEncoder(dict):
     def encode(self, texts: Iterable[str | None], end: int) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit values, the end id last; a null text is empty."""
         last, get, words = end.to_bytes(4, "little"), self.__getitem__, self.words
-        return [b"".join(map(get, words(t))) + last if t else last for t in texts]
+        if self.cut is None:
+            return [b"".join(map(get, words(t))) + last if t else last for t in texts]
+        if not self.literal:
+            return [_packed(self.tokenizer.encode(t or "", add_special_tokens=False).ids) + last for t in texts]
+        met = self.cut.search
+        return [(self._around(t) if met(t) else b"".join(map(get, words(t)))) + last if t else last for t in texts]
+
+    def _around(self, text: str) -> bytes:
+        """The ids of a text that holds added tokens: of them and of the parts between them."""
+        parts = self.cut.split(text)
+        return b"".join(self.added[p] if i % 2 else b"".join(map(self.__getitem__, self.words(p))) for i, p in enumerate(parts))
 
 
 @lru_cache(maxsize=4)

@@ -13,6 +13,8 @@ from .common import encoder, slices
 WINDOW = 4096
 #: Windows that are levelled together, tokens a window given as fine filler, and tokens a window left free.
 WINDOWS, FILLER, SLACK = 64, 256, 2
+#: Ids that a task holds at most before it levels what it has (a longer document is held alone).
+HELD = 1 << 22
 
 
 def difference(sizes: list[int], k: int) -> list[int]:
@@ -130,8 +132,8 @@ def plan(lengths: list[int], window: int = WINDOW, filler: int = FILLER, slack:
 def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end: int = 2, window: int = WINDOW, windows: int = WINDOWS, include_ids: bool = False) -> DataFrame:
     """Every document's ids, cut and placed into sequences of at most `window` ids.
 
-    One pass without a shuffle: a task encodes its rows, and levels a shard of about `windows` windows at a time; it
-    never holds more than one shard and one document. Sequences are numbered by task and shard, so a repeated task
+    One pass without a shuffle: a task encodes its rows, and levels a shard of about `windows` windows of documents' rests
+    at a time, or sooner once it holds `HELD` ids; it never holds more than that and one document. Sequences are numbered by task and shard, so a repeated task
     writes the same rows. Repeated rows are packed as often as they occur; a null text has only its end id; a null
     doc_id stays null; extra columns are ignored; an empty table gives no row. `include_ids` adds the ids themselves
     (binary, little-endian unsigned 32-bit).
@@ -144,10 +146,10 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end: int = 2, wi
         task, shard = TaskContext.get().partitionId(), 0
         ids: list[bytes] = []
         names: list = []
-        waiting = 0
+        waiting = held = 0
 
         def flush():
-            nonlocal shard
+            nonlocal shard, waiting, held
             rows = []
             for local, sequence in enumerate(plan([len(x) // 4 for x in ids], window)):
                 offset, number = 0, task << 40 | shard << 20 | local
@@ -155,7 +157,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end: int = 2, wi
                     raw = ids[d][4 * start : 4 * (start + n)]
                     rows.append((names[d], start, n, zlib.crc32(raw), len(ids[d]) // 4, number, offset, *([raw] if include_ids else [])))
                     offset += n
-            shard += 1
+            shard, waiting, held = shard + 1, 0, 0
             ids.clear()
             names.clear()
             out = pd.DataFrame(rows, columns=COLUMNS + ["ids"] * include_ids)
@@ -168,9 +170,9 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end: int = 2, wi
                     ids.append(raw)
                     names.append(None if pd.isna(name) else int(name))
                     waiting += len(raw) // 4 % window
-                    if waiting >= windows * window or len(ids) >= 1 << 14:
+                    held += len(raw) // 4
+                    if waiting >= windows * window or len(ids) >= 1 << 14 or held >= HELD:
                         yield flush()
-                        waiting = 0
         if ids:
             yield flush()
 
