@@ -64,8 +64,7 @@ def test_encoder_gives_the_ids_of_whole_texts(name):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokenizer_file(name))
-    plain.encode_special_tokens = True
-    texts = [r[1] or "" for r in ODD] + ["a  b\n\nc \n d", "\n", "  ", "don't  stop\r\n\tnow", "́x", "Å \x1c b", "tail  "]
+    texts = [r[1] or "" for r in ODD] + ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|><|endoftext|>  y", "<|ENDOFTEXT|>\n\n <|endoftext|>\n a", "don't<|endoftext|>'s"] + ["a  b\n\nc \n d", "\n", "  ", "don't  stop\r\n\tnow", "́x", "Å \x1c b", "tail  "]
     for text, raw in zip(texts, encoder(name).encode(texts, 2), strict=True):
         assert np.frombuffer(raw, "<u4").tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
 
@@ -317,28 +316,55 @@ def test_quality_on_held_out_labels(spark):
 
 def test_spans(spark, corpus):
     for rows in (corpus, ODD, []):
-        got = {r["doc_id"]: r for r in spans.dedup_spans(frame(spark, rows)).collect()}
+        got = {r["doc_id"]: r for r in spans.dedup_spans(frame(spark, rows), Scratch(spark, "t")).collect()}
         distinct = {(r[0], r[1]) for r in rows}
         places = defaultdict(list)
         for doc, text in distinct:
-            for k, h in spans.span_hashes(text, spans.SENTENCES, spans.LEAST_WORDS):
-                places[h].append(((doc is not None, doc or 0), k, doc))
+            kept = [text[a:b].lower().split() for a, b in spans.sentences(text) if spans.counted(text[a:b].split())]
+            for k in range(max(1, len(kept) - 1) if kept else 0):
+                runs = (kept[k:e] for e in range(min(k + 2, len(kept)), len(kept) + 1))
+                run = next((r for r in runs if sum(max(len(w), len(" ".join(w)) // 10) for w in r) >= 12), None)
+                if run:
+                    places[" | ".join(map(" ".join, run))].append(((doc is not None, doc or 0), k, k + len(run), doc))
         gone = defaultdict(set)
         for p in places.values():
-            for _, k, doc in sorted(p)[1:]:
-                gone[doc].add(k)
+            for _, first, end, doc in sorted(p)[1:]:
+                gone[doc] |= set(range(first, end))
         for doc, text in distinct:
             if doc not in gone:
                 assert got[doc]["text"] == text and got[doc]["n_removed"] == 0
             else:
-                kept = [i for i, (a, b) in enumerate(spans.sentences(text)) if spans.counted(text[a:b].split())]
-                out = {kept[i] for k in gone[doc] for i in range(k // 2, min(len(kept), k // 2 + (1 if k % 2 else spans.SENTENCES)))}
-                assert got[doc]["n_removed"] == len(out) and len(got[doc]["text"]) < len(text)
-                cut = sum(b - a for a, b in got[doc]["removed"])
-                assert len(text) - len(got[doc]["text"]) == cut
+                bounds = spans.sentences(text)
+                kept = [i for i, (a, b) in enumerate(bounds) if spans.counted(text[a:b].split())]
+                out = {kept[i] for i in gone[doc]}
+                assert got[doc]["n_removed"] == len(out)
+                assert got[doc]["text"] == "".join(text[a:b] for i, (a, b) in enumerate(bounds) if i not in out)
+                assert len(text) - len(got[doc]["text"]) == sum(b - a for a, b in got[doc]["removed"])
+        if rows is corpus:
+            assert gone
+        if rows:
+            assert all(r["row_hash"] == r["span"] == 7 for r in got.values())
     assert "".join("a. b! c\nd"[a:b] for a, b in spans.sentences("a. b! c\nd")) == "a. b! c\nd"
 
 
+@pytest.mark.parametrize(
+    "passage",
+    [
+        " ".join(f"He said word{i} again now." for i in range(12)),  # sixty words in sentences of five
+        "\n".join(f"item {i}" for i in range(30)),
+        " ".join(f"long{i}" for i in range(60)) + ".",  # one sentence
+        "".join(f"这是第{i}个句子的内容。" for i in range(20)),  # no blanks
+    ],
+)
+def test_passages_of_every_make_are_found(spark, passage):
+    rows = [(i, f"Own words {i} begin the page of number {i}.\n{passage}\nOwn words {i} end it, number {i} again.", "en", "a", 1) for i in range(3)]
+    got = {r["doc_id"]: r["text"] for r in spans.dedup_spans(frame(spark, rows), Scratch(spark, "t")).collect()}
+    assert got[0] == rows[0][1]
+    for i in (1, 2):
+        assert got[i].startswith(f"Own words {i} begin") and got[i].endswith(f"number {i} again.")
+        assert len(got[i]) < len(rows[i][1]) - 0.9 * len(passage)
+
+
 def brute_winnow(text):
     w = (text or "").lower()
     for c in "\t\n\x0b\x0c\r":

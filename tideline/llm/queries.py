@@ -48,7 +48,7 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.dedup_spans(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_sentences", "n_removed", "removed")
+    return spans.dedup_spans(table(spark, sf_dir, "documents"), Scratch(spark, "spans")).select("doc_id", "text", "n_sentences", "n_removed", "removed")
 
 
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,15 +108,20 @@ FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id
 """
 
 OP8_SQL = r"""
-WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '(?s).*?(?:[.!?]+["'')\]]*\s+|\n+)|.+') AS parts FROM documents),
-p AS (SELECT doc_id, unnest(range(len(parts))) AS i, unnest(parts) AS part FROM d),
+WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '(?s).*?(?:[.!?\x{061f}\x{06d4}]+["'')\]]*\s+|[\x{3002}\x{ff01}\x{ff1f}\x{ff61}\x{0964}\x{0965}\x{1362}]+["'')\]\x{300d}\x{300f}\x{2019}\x{201d}]*\s*|\n+)|.+') AS parts FROM documents),
+q AS (SELECT doc_id, unnest(range(len(parts))) AS o, unnest(parts) AS part FROM d),
+c AS (SELECT doc_id, o, CASE WHEN len(list_filter(regexp_split_to_array(part, '\s+'), lambda x: x <> '')) >= 20 THEN regexp_extract_all(part, '\s*\S+(?:\s+\S+){0,9}\s*') ELSE [part] END AS pieces FROM q),
+e AS (SELECT doc_id, o, unnest(range(len(pieces))) AS s, unnest(pieces) AS part FROM c),
+p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY o, s) - 1 AS i, part FROM e),
 w AS (SELECT *, list_filter(regexp_split_to_array(lower(part), '\s+'), lambda x: x <> '') AS ws FROM p),
-k AS (SELECT doc_id, i, len(ws) AS n, array_to_string(ws, ' ') AS t, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS kept
+k AS (SELECT doc_id, i, greatest(len(ws), length(array_to_string(ws, ' ')) // 10) AS n, array_to_string(ws, ' ') AS t, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS kept
       FROM w WHERE len(ws) > 1 OR (len(ws) = 1 AND regexp_matches(ws[1], '[\p{L}\p{N}]'))),
-runs AS (SELECT a.doc_id, 2 * a.k AS span, 'run ' || a.t || coalesce(' ' || b.t, '') AS h, a.n + coalesce(b.n, 0) AS n FROM k a LEFT JOIN k b ON a.doc_id = b.doc_id AND b.k = a.k + 1 WHERE b.k IS NOT NULL OR a.kept = 1),
-spans AS (SELECT doc_id, span, h FROM runs WHERE n >= 12 UNION ALL SELECT doc_id, 2 * k + 1, 'one ' || t FROM k WHERE n >= 20),
-later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, span) AS place FROM spans) WHERE place > 1),
-gone AS (SELECT DISTINCT l.doc_id, k.i FROM later l JOIN k ON k.doc_id = l.doc_id AND (k.k = l.span // 2 OR (l.span % 2 = 0 AND k.k = l.span // 2 + 1))),
+u AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM k),
+ends AS (SELECT a.doc_id, a.k AS first, min(b.k) AS last FROM u a JOIN u b ON a.doc_id = b.doc_id AND b.k BETWEEN least(a.k + 1, a.kept - 1) AND a.k + 12 AND b.upto - a.upto + a.n >= 12
+         WHERE a.k + 1 < a.kept OR a.kept = 1 GROUP BY a.doc_id, a.k),
+spans AS (SELECT x.doc_id, x.first, x.last, string_agg(u.t, ' | ' ORDER BY u.k) AS h FROM ends x JOIN u ON u.doc_id = x.doc_id AND u.k BETWEEN x.first AND x.last GROUP BY x.doc_id, x.first, x.last),
+later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, first) AS place FROM spans) WHERE place > 1),
+gone AS (SELECT DISTINCT l.doc_id, u.i FROM later l JOIN u ON u.doc_id = l.doc_id AND u.k BETWEEN l.first AND l.last),
 b AS (SELECT doc_id, i, part, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM p),
 g AS (SELECT b.*, gone.i IS NOT NULL AS off FROM b LEFT JOIN gone ON gone.doc_id = b.doc_id AND gone.i = b.i),
 isl AS (SELECT doc_id, min(e - length(part)) AS a, max(e) AS z FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS s FROM g WHERE off) GROUP BY doc_id, s),
