@@ -204,21 +204,24 @@ def test_mixing_odd_rows(spark):
     assert mixing.mix(frame(spark, []), Scratch(spark, "t")).count() == 0
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("small", [topk.SMALL, 0])
+def test_top_k(spark, small, monkeypatch):
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    monkeypatch.setattr(topk, "CANDIDATES", 50)
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in np.round(rng.normal(size=8), 1)], 0) for i in range(400)]
-    rows += [(1000, None, 0), (1100, [1.0, None], 0), (1200, [float("nan")], 0), (1300, [float("inf")], 0), (1400, [], 0), (1500, [0.5, -0.25], 0), (None, [1.0], 0)] + rows[:3]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    got = topk.top_k(df, F.col("vec_id") % 100 == 0).collect()
+    rows += [(1000, None, 0), (1100, [1.0, None], 0), (1200, [float("nan")], 0), (1300, [float("inf")], 0), (1400, [], 0), (1500, [0.5, -0.25], 0), (None, [1.0], 0)] + rows[:3] + [(0, [1.0, 0.0, 2.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({c: F.lit(7) for c in ("key", "q", "v", "rank", "one")})
+    got = topk.top_k(df, F.col("vec_id") % 100 == 0, Scratch(spark, "t"), small=small).collect()
     good = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q in (g for n, g in enumerate(good) if g[0] % 100 == 0 and g not in good[:n]):
-        best = sorted(((-sum(a * b for a, b in zip(q[1], v)), i) for i, v in good if i != q[0]))[:10]
-        want += [(q[0], r + 1, i, -s) for r, (s, i) in enumerate(best)]
-    unique = {r["query_id"] for r in got} - {0}
-    assert unique == {100, 200, 300, 1400, 1500}
-    assert sorted(tuple(r) for r in got if r[0]) == sorted(w for w in want if w[0])
-    assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
+    for n, q in enumerate(good):
+        if q[0] % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q[1], v)), i) for m, (i, v) in enumerate(good) if m != n)[:10]
+            want += [(q[0], r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert {r["query_id"] for r in got} == {0, 100, 200, 300, 1400, 1500} and sum(r["query_id"] == 0 for r in got) == 30
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    assert topk.top_k(df.limit(0), F.lit(True), Scratch(spark, "t"), small=small).count() == 0
 
 
 def brute_simhash(text):

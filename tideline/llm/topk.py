@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import Scratch
+
 #: Rows of a candidate block and of a query block, and queries that are accumulated at a time.
-CANDIDATES, QUERIES, AT_ONCE = 4096, 16384, 128
-BLOCK = "ids array<long>, rows array<int>, terms array<int>, weights array<long>"
+CANDIDATES, QUERIES, AT_ONCE = 4096, 4096, 64
+#: Components of query blocks that may be broadcast (12 bytes each); beyond that blocks meet by an exchange, in which a query block is dealt to so many groups of candidate blocks.
+SMALL, GROUPS = 1 << 22, 64
+BLOCK = "keys array<long>, ids array<long>, rows array<int>, terms array<int>, weights array<long>"
 
 
 def quantized(column: str, scale: int = 1024) -> Column:
@@ -24,60 +28,103 @@ def usable(column: str) -> Column:
     return F.coalesce(F.col(column).isNotNull() & F.forall(column, finite), F.lit(False))
 
 
-def _blocks(vectors: DataFrame, size: int) -> DataFrame:
-    """Vectors (vec_id, v) as blocks of at most `size` rows: ids, and the nonzero components as (row, term, weight)."""
+def blocks(vectors: DataFrame, size: int) -> DataFrame:
+    """Vectors (key, vec_id, v) as blocks of at most `size` rows: keys, ids, and the nonzero components as (row, term, weight).
+
+    A task fills its blocks from its own rows, so there are at most as many part-filled ones as tasks.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pandas as pd
 
+        held: list = []
+
+        def block(part):
+            lengths = np.array([len(v) for v in part["v"]], np.int64)
+            flat = np.concatenate([np.asarray(v, np.int64) for v in part["v"]]) if lengths.sum() else np.zeros(0, np.int64)
+            rows = np.repeat(np.arange(len(part)), lengths)
+            terms = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            on = flat != 0
+            return pd.DataFrame({"keys": [part["key"].to_numpy(np.int64)], "ids": [part["vec_id"].to_numpy(np.int64)], "rows": [rows[on].astype(np.int32)], "terms": [terms[on].astype(np.int32)], "weights": [flat[on]]})
+
         for batch in batches:
-            for i in range(0, len(batch), size):
-                part = batch.iloc[i : i + size]
-                lengths = np.array([len(v) for v in part["v"]], np.int64)
-                flat = np.concatenate([np.asarray(v, np.int64) for v in part["v"]]) if lengths.sum() else np.zeros(0, np.int64)
-                rows = np.repeat(np.arange(len(part)), lengths)
-                terms = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                on = flat != 0
-                yield pd.DataFrame({"ids": [part["vec_id"].to_numpy(np.int64)], "rows": [rows[on].astype(np.int32)], "terms": [terms[on].astype(np.int32)], "weights": [flat[on]]})
+            held.append(batch)
+            if sum(map(len, held)) >= size:
+                whole = pd.concat(held, ignore_index=True)
+                full = len(whole) // size * size
+                for i in range(0, full, size):
+                    yield block(whole.iloc[i : i + size])
+                held = [whole.iloc[full:]]
+        if sum(map(len, held)):
+            yield block(pd.concat(held, ignore_index=True))
 
-    return vectors.mapInPandas(run, BLOCK)
+    return vectors.select("key", "vec_id", "v").mapInPandas(run, BLOCK)
 
 
-def _best(scores, ids, own, k: int):
+def accumulate(n: int, postings: dict, rows, terms, weights, scores) -> None:
+    """Scatters the sparse query rows, term after term, through the terms' postings into the dense scores (queries x n)."""
+    import numpy as np
+
+    order = np.argsort(terms, kind="stable")
+    met, starts = np.unique(terms[order], return_index=True)
+    for t, part in zip(met.tolist(), np.split(order, starts[1:]), strict=True):
+        if t not in postings:
+            continue
+        at, w = postings[t]
+        q = rows[part]
+        # A query has a term once, so q has no repeats; likewise at.
+        if len(at) == n:
+            scores[q] += weights[part][:, None] * w[None]
+        else:
+            scores[q[:, None], at[None]] += weights[part][:, None] * w[None]
+
+
+def best(scores, ids, keys, own, k: int):
     """Each query's k best of a dense score array: partition at the k-th score, then order what reaches it by (-score, id)."""
     import numpy as np
 
     for q in range(len(scores)):
-        row, allowed = scores[q], np.flatnonzero(ids != own[q])
+        row = scores[q]
+        allowed = np.flatnonzero(keys != own[q])
         if len(allowed) > k:
             least = np.partition(row[allowed], len(allowed) - k)[len(allowed) - k]
             allowed = allowed[row[allowed] >= least]
         yield allowed[np.lexsort((ids[allowed], -row[allowed]))[:k]]
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int = 10, column: str = "embedding", scale: int = 1024) -> DataFrame:
-    """Each query's k highest integer inner products with all other rows, ties to the smaller vec_id.
+def top_k(vectors: DataFrame, queries: Column, scratch: Scratch, k: int = 10, column: str = "embedding", scale: int = 1024, small: int = SMALL) -> DataFrame:
+    """Each query row's k highest integer inner products with all other rows, ties to the smaller vec_id.
 
-    Candidates become blocks of postings by term, queries blocks of sparse rows. Every pair of a candidate block and a
-    query block meets in one row; there the weights of the queries are scattered, term after term, through the term's
-    postings into dense score arrays, whose k best rows leave. A window over (query) then merges what the blocks sent,
-    after a partial top k on the map side. No block grows with the input, and nothing comes to the driver but the
-    number of query blocks' rows.
+    Rows get a key of their own and are written once, so that both sides read the same keys whatever fails. Candidates
+    become blocks of postings by term, queries blocks of sparse rows. Every candidate block meets every query block: the
+    query blocks are broadcast if they are small, which leaves the candidates where they lie and every task of their scan
+    at work; else both are dealt to (query block, group of candidate blocks). There the weights of the queries are
+    scattered, term after term, through the terms' postings into dense score arrays, whose k best rows leave. A window
+    over the query row's key then merges what the blocks sent, k rows each, cut again before the exchange.
 
     Null ids take no part, as null vectors and those with null or non-finite components. Missing components count as zero,
-    so empty vectors score 0. A row isn't its own candidate: candidates with the query's vec_id are left out, repeated ids
-    count once each as rows otherwise. An empty table gives no row; extra columns are ignored.
+    so empty vectors score 0. A row isn't its own candidate; other rows are, also those with the same vec_id or all
+    values equal, and each repeated query row has its own k rows (of equal candidates any). An empty table gives no row; extra
+    columns are ignored; a block of very long vectors is held whole, CANDIDATES of them at most.
     """
     good = vectors.where(F.col("vec_id").isNotNull() & usable(column))
-    slim = good.select(F.col("vec_id").cast("bigint").alias("vec_id"), quantized(column, scale).alias("v"), queries.alias("q"))
-    asked = slim.where("q")
-    parts = -(-max(1, asked.count()) // QUERIES)
-    dealt = asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
-    query_blocks = dealt.groupBy("part").applyInPandas(_stacked, f"part int, {BLOCK}")
-    candidates = _blocks(slim.select("vec_id", "v"), CANDIDATES).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    names = ["ids", "rows", "terms", "weights"]
-    pairs = candidates.join(query_blocks.select("part", *[F.col(c).alias(f"q_{c}") for c in names]), "part")
+    slim = good.select(F.monotonically_increasing_id().alias("key"), F.col("vec_id").cast("bigint").alias("vec_id"), quantized(column, scale).alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
+    rows = scratch.save(slim, "vectors")
+    names = [c.split()[0] for c in BLOCK.split(", ")]
+    asked = scratch.save(blocks(rows.where("q"), QUERIES).select(*[F.col(c).alias(f"q_{c}") for c in names]), "queries")
+    candidates = blocks(rows, CANDIDATES)
+    held = asked.agg(F.sum(F.size("q_weights")).alias("n"), F.count("*").alias("blocks")).first()
+    if (held["n"] or 0) <= small:
+        pairs = candidates.withColumn("one", F.lit(1)).join(F.broadcast(asked.withColumn("one", F.lit(1))), "one")
+    else:
+        numbered = scratch.save(asked.withColumn("number", F.monotonically_increasing_id()), "numbered")
+        numbers = numbered.select("number").withColumn("one", F.lit(1))
+        group = F.pmod(F.xxhash64(F.col("keys")[0]), F.lit(GROUPS)).cast("int")
+        # One slim row a query block is broadcast: its number.
+        met = candidates.withColumns({"one": F.lit(1), "group": group}).join(F.broadcast(numbers), "one").drop("one")
+        dealt = numbered.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))))
+        pairs = met.join(dealt.hint("shuffle_hash"), ["number", "group"])
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -85,43 +132,22 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, column: str = "embed
 
         for batch in batches:
             for b in batch.itertuples():
-                postings = {}
                 order = np.argsort(b.terms, kind="stable")
                 terms, starts = np.unique(b.terms[order], return_index=True)
-                for t, part in zip(terms.tolist(), np.split(order, starts[1:]), strict=True):
-                    postings[t] = (b.rows[part], b.weights[part])
+                postings = {t: (b.rows[p], b.weights[p]) for t, p in zip(terms.tolist(), np.split(order, starts[1:]), strict=True)}
                 q_order = np.argsort(b.q_rows, kind="stable")
                 q_rows, q_terms, q_weights = b.q_rows[q_order], b.q_terms[q_order], b.q_weights[q_order]
                 for at in range(0, len(b.q_ids), AT_ONCE):
-                    own = b.q_ids[at : at + AT_ONCE]
+                    own = b.q_keys[at : at + AT_ONCE]
                     lo, hi = np.searchsorted(q_rows, [at, at + AT_ONCE])
                     scores = np.zeros((len(own), len(b.ids)), np.int64)
-                    for q, t, w in zip((q_rows[lo:hi] - at).tolist(), q_terms[lo:hi].tolist(), q_weights[lo:hi].tolist(), strict=True):
-                        if t in postings:
-                            rows, weights = postings[t]
-                            if len(rows) == len(b.ids):
-                                scores[q] += w * weights
-                            else:
-                                scores[q, rows] += w * weights
-                    found = list(_best(scores, b.ids, own, k))
+                    accumulate(len(b.ids), postings, q_rows[lo:hi] - at, q_terms[lo:hi], q_weights[lo:hi], scores)
+                    found = list(best(scores, b.ids, b.keys, own, k))
                     sizes = [len(f) for f in found]
                     took = np.concatenate(found) if sizes else np.zeros(0, np.int64)
                     who = np.repeat(np.arange(len(own)), sizes)
-                    yield pd.DataFrame({"query_id": own[who], "vec_id": b.ids[took], "score": scores[who, took]})
-
-    partial = pairs.select(*names, *[f"q_{c}" for c in names]).mapInPandas(run, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                    yield pd.DataFrame({"key": own[who], "query_id": b.q_ids[at : at + AT_ONCE][who], "vec_id": b.ids[took], "score": scores[who, took]})
 
-
-def _stacked(frame):
-    """One query block as a row."""
-    import numpy as np
-    import pandas as pd
-
-    lengths = np.array([len(v) for v in frame["v"]], np.int64)
-    flat = np.concatenate([np.asarray(v, np.int64) for v in frame["v"]]) if lengths.sum() else np.zeros(0, np.int64)
-    rows = np.repeat(np.arange(len(frame)), lengths)
-    terms = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    on = flat != 0
-    return pd.DataFrame({"part": [int(frame["part"].iloc[0])], "ids": [frame["vec_id"].to_numpy(np.int64)], "rows": [rows[on].astype(np.int32)], "terms": [terms[on].astype(np.int32)], "weights": [flat[on]]})
+    partial = pairs.select(*names, *[f"q_{c}" for c in names]).mapInPandas(run, "key long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
+    return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
