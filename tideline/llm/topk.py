@@ -112,19 +112,16 @@ def top_k(vectors: DataFrame, queries: Column, scratch: Scratch, k: int = 10, co
     slim = good.select(F.monotonically_increasing_id().alias("key"), F.col("vec_id").cast("bigint").alias("vec_id"), quantized(column, scale).alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
     rows = scratch.save(slim, "vectors")
     names = [c.split()[0] for c in BLOCK.split(", ")]
-    asked = scratch.save(blocks(rows.where("q"), QUERIES).select(*[F.col(c).alias(f"q_{c}") for c in names]), "queries")
-    candidates = blocks(rows, CANDIDATES)
-    held = asked.agg(F.sum(F.size("q_weights")).alias("n"), F.count("*").alias("blocks")).first()
-    if (held["n"] or 0) <= small:
-        pairs = candidates.withColumn("one", F.lit(1)).join(F.broadcast(asked.withColumn("one", F.lit(1))), "one")
+    parts = -(-max(1, rows.where("q").count()) // QUERIES)
+    dealt = rows.where("q").repartition(parts, "key")
+    asked = scratch.save(blocks(dealt, QUERIES).select(F.pmod(F.spark_partition_id(), F.lit(parts)).alias("part"), *[F.col(c).alias(f"q_{c}") for c in names]), "queries")
+    candidates = blocks(rows, CANDIDATES).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    if (asked.agg(F.sum(F.size("q_weights")).alias("n")).first()["n"] or 0) <= small:
+        pairs = candidates.join(F.broadcast(asked), "part")
     else:
-        numbered = scratch.save(asked.withColumn("number", F.monotonically_increasing_id()), "numbered")
-        numbers = numbered.select("number").withColumn("one", F.lit(1))
-        group = F.pmod(F.xxhash64(F.col("keys")[0]), F.lit(GROUPS)).cast("int")
-        # One slim row a query block is broadcast: its number.
-        met = candidates.withColumns({"one": F.lit(1), "group": group}).join(F.broadcast(numbers), "one").drop("one")
-        dealt = numbered.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))))
-        pairs = met.join(dealt.hint("shuffle_hash"), ["number", "group"])
+        grouped = candidates.withColumn("group", F.pmod(F.xxhash64(F.col("keys")[0]), F.lit(GROUPS)).cast("int"))
+        copies = asked.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))))
+        pairs = grouped.join(copies.hint("shuffle_hash"), ["part", "group"])
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
