@@ -138,6 +138,15 @@ def test_line_dedup(spark, corpus):
             assert got[2]["text"] is None and got[3]["text"] == ""
 
 
+def test_line_dedup_of_repeated_rows_and_short_lines(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, "en", "a", 1)] * 300 + [(2, text + " eleven\nyes\n\n \nno", "en", "a", 1), (3, "a b c d\nyes\na b c d e\nd c b a", "en", "a", 1)]
+    got = sorted({(r["doc_id"], r["text"], tuple(r["removed"])) for r in lines.dedup_lines(frame(spark, rows), Scratch(spark, "t")).collect()})
+    assert got == [(1, text, ()), (2, "yes\n\n \nno", (0,)), (3, "a b c d", (1, 2, 3))]
+    kept = lines.dedup_lines(frame(spark, rows), Scratch(spark, "t"), least=5).where("doc_id = 3").first()
+    assert kept["removed"] == [] and lines.dedup_lines(frame(spark, rows), Scratch(spark, "t")).count() == 302
+
+
 def test_token_files_round_trip(spark, corpus):
     for rows in (corpus, ODD, []):
         blocks = token_files.write_tokens(frame(spark, rows), Scratch(spark, "t"), block=4000)

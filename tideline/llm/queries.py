@@ -90,7 +90,7 @@ OP2_SQL = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
 l AS (SELECT doc_id, unnest(range(len(parts))) AS line, unnest(parts) AS raw FROM d),
 w AS (SELECT doc_id, line, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(raw), '[ \t\x0b\x0c\r]+'), lambda x: x <> ''))) AS ws FROM l),
-s AS (SELECT ws, len(ws) AS n, min(doc_id * 1000000 + line) AS at, row_number() OVER () AS sid FROM w WHERE len(ws) >= 5 GROUP BY ws),
+s AS (SELECT ws, len(ws) AS n, min(doc_id * 1000000 + line) AS at, row_number() OVER () AS sid FROM w WHERE len(ws) >= 1 GROUP BY ws),
 tok AS (SELECT sid, n, unnest(ws) AS t FROM s),
 df AS (SELECT t, count(*) AS c FROM tok GROUP BY t),
 pre AS (SELECT sid, n, t, row_number() OVER (PARTITION BY sid ORDER BY c, t) AS p FROM tok JOIN df USING (t)),
