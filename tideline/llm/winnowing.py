@@ -10,8 +10,6 @@ from .common import Scratch, let
 
 #: Words a gram and grams a window (a power of two): a run of GRAM + WINDOW - 1 equal words is always found.
 GRAM, WINDOW = 3, 4
-#: Windows' worth of grams up to which a text keeps every gram.
-SHORT = 4
 
 
 def winnow(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
@@ -19,8 +17,8 @@ def winnow(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
 
     Words (lower case, between white space) give rolling grams; of every window of `window` grams the smallest hash is
     chosen, the rightmost of equal ones: as the place is counted down, that is the smallest long. Minima come by
-    doubling: of 2 grams, of 4, ... A text of at most SHORT windows' grams keeps all of them, as so few say too little when
-    thinned; one of fewer words than a gram is one gram, and one without words, or null, has none.
+    doubling: of 2 grams, of 4, ... A text of at most one window's grams is one window; one of fewer words than a gram is
+    one gram, and one without words, or null, has none. Very long texts are taken whole.
     """
     def grams(words: Column) -> Column:
         place = F.sequence(F.lit(0), F.greatest(F.size(words) - gram, F.lit(0)))
@@ -35,7 +33,8 @@ def winnow(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
             pair = lambda a: F.zip_with(F.slice(a, 1, F.greatest(F.size(a) - width, F.lit(0))), F.slice(a, width + 1, F.greatest(F.size(a) - width, F.lit(0))), lambda x, y: F.least(x, y))
             return let(v, lambda a: level(pair(a), 2 * width))
 
-        return let(values, lambda v: F.when(F.size(v) > SHORT * window, F.array_distinct(level(v, 1))).otherwise(v))
+        least = lambda v: F.when(F.size(v) > 0, F.array(F.array_min(v))).otherwise(v)
+        return let(values, lambda v: F.when(F.size(v) > window, F.array_distinct(level(v, 1))).otherwise(least(v)))
 
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[ \\t-\\r]+"), lambda w: w != "")
     return minima(let(words, grams))
