@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import iterated
+from .common import free, iterated, slices
 
 #: Hashed features, labelled rows that a fit may use at most, passes over them, and the step size.
 FEATURES, SAMPLE, PASSES, STEP = 1 << 18, 20_000, 20, 0.5
@@ -124,7 +124,14 @@ def grade(toxic: Column, quality: Column) -> Column:
 
 
 def learn(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, size: int = FEATURES) -> OrdinalModel:
-    """Fits on at most `sample` rated documents, those with the smallest hashes of doc_id; only their features come to the driver."""
+    """Fits on at most `sample` rated documents, those with the smallest hashes of doc_id; only their features come to the driver.
+
+    The chosen doc_ids, and then the chosen texts by hash, are tables of at most `sample` slim rows and are broadcast, so no
+    text is shuffled. Rows equal in doc_id and text count once; a doc_id with several texts gives each of them, up to
+    `sample` in all; of several grades of a doc_id the lowest counts, and of equal hashes the smaller doc_id comes first.
+    Null doc_ids, null grades and ratings without a document teach nothing; null and empty texts have only their shape;
+    long texts are read whole. Empty tables give weights of 0. Extra columns are ignored.
+    """
 
     import numpy as np
 
@@ -133,22 +140,26 @@ def learn(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, size: int =
 
         features = Features(size)
         for batch in batches:
-            got = [features.of(t) for t in batch["text"]]
-            yield pd.DataFrame({"place": batch["place"], "slots": [g[0].tobytes() for g in got], "shape": [g[1].tobytes() for g in got], "grade": batch["grade"].astype(int)})
+            for part in slices(batch):
+                got = [features.of(t) for t in part["text"]]
+                yield pd.DataFrame({"place": part["place"], "own": part["own"], "slots": [g[0].tobytes() for g in got], "shape": [g[1].tobytes() for g in got], "grade": part["grade"].astype(int)})
 
     place = F.xxhash64("doc_id")
     rated = ratings.where("grade is not null and doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("grade").alias("grade"))
     chosen = rated.orderBy(place, "doc_id").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(chosen, "doc_id").select(place.alias("place"), "text", "grade")
-    found = rows.mapInPandas(run, "place long, slots binary, shape binary, grade int").toLocalIterator()
-    taken = sorted(((r["place"], bytes(r["slots"]), bytes(r["shape"]), r["grade"]) for r in found), key=lambda r: r[:2])
-    return fit([(np.frombuffer(s, np.int32), np.frombuffer(v, np.float32), g) for _, s, v, g in taken], size=size)
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("own"), "text")
+    texts = slim.select("doc_id", "own").join(F.broadcast(chosen), "doc_id").distinct().orderBy(place, "doc_id", "own").limit(sample)
+    rows = slim.join(F.broadcast(texts), ["doc_id", "own"]).select(place.alias("place"), "own", "text", "grade")
+    found = rows.mapInPandas(run, "place long, own long, slots binary, shape binary, grade int").dropDuplicates(["place", "own"]).toLocalIterator()
+    taken = sorted(((r["place"], r["own"], bytes(r["slots"]), bytes(r["shape"]), r["grade"]) for r in found), key=lambda r: r[:2])
+    return fit([(np.frombuffer(s, np.int32), np.frombuffer(v, np.float32), g) for _, _, s, v, g in taken], size=size)
 
 
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """Adds expected_grade (0 to 2), p_good (of the best grade) and p_toxic (of the worst) to the documents' columns.
 
-    A null or empty text is scored from its shape alone. Columns of the same names are replaced.
+    A null or empty text is scored from its shape alone; long texts are read whole. Repeated rows get the same scores each; an
+    empty table gives no row. Extra columns are kept whatever their names, those named as the added ones replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
 
@@ -167,7 +178,8 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
             yield pd.DataFrame({"expected_grade": above.sum(1), "p_good": above[:, -1], "p_toxic": 1 - above[:, 0]})
 
     fields = iterated("expected_grade double, p_good double, p_toxic double")(run)
-    return docs.withColumn("_scored", fields(F.col("text"))).withColumns({c: F.col(f"_scored.{c}") for c in ("expected_grade", "p_good", "p_toxic")}).drop("_scored")
+    (scored,) = free(docs, "_scored")
+    return docs.withColumn(scored, fields(F.col("text"))).withColumns({c: F.col(f"{scored}.{c}") for c in ("expected_grade", "p_good", "p_toxic")}).drop(scored)
 
 
 #: A document is accepted if its odds of being toxic, and of being less than good, are no higher than these.
