@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import iterated
+from .common import free, iterated, slices
 
-#: Characters a gram, hash functions, slots of a filter, and about how many labelled documents of a language a fit uses.
-GRAM, HASHES, SLOTS, SAMPLE = 4, 3, 1 << 20, 4000
-#: Grams that a language's filter holds at most, and the share of its own grams that they cover.
-KEPT, UNDECIDED = 60_000, "und"
-#: How many times as frequent a gram must be in a language as on average over all languages to be one of its grams.
-OWN = 1.0
+#: Characters a gram, hash functions, and how many distinct labelled texts of a language a fit uses.
+GRAM, HASHES, SAMPLE = 5, 3, 2000
+#: A language has the grams that this share of its sampled texts hold, one text at least: texts quote other languages.
+SUPPORT = 0.01
+#: Slots of the filters at most, and bytes that all languages' filters may take together: of more languages each has fewer slots.
+SLOTS, BYTES = 1 << 20, 1 << 26
+UNDECIDED = "und"
 
 
 @dataclass
 class LanguageFilters:
-    """words[slot, i]: bit l of word i is set if language 64 i + l may contain a gram of that slot; false_positive: each language's odds."""
+    """words[slot, i]: bit l of word i is set if language 64 i + l may contain a gram of that slot; false_positive: each language's odds.
+
+    Languages are in order of their number of learned texts, most first, so that ties go to the commoner one.
+    """
 
     languages: list[str]
     words: object
@@ -61,78 +66,86 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def slots(hashes):
-    """HASHES slots of each gram by double hashing."""
+def slots(hashes, size: int):
+    """HASHES slots of each gram by double hashing; size is a power of two."""
     import numpy as np
 
     step = hashes >> np.uint64(40) | np.uint64(1)
-    return [((hashes + np.uint64(i) * step) & np.uint64(SLOTS - 1)).astype(np.int64) for i in range(HASHES)]
+    return [((hashes + np.uint64(i) * step) & np.uint64(size - 1)).astype(np.int64) for i in range(HASHES)]
+
 
+def filter_size(languages: int) -> int:
+    """Slots for so many languages: SLOTS, or as many as BYTES allow."""
+    size = SLOTS
+    while size > 1024 and size * 8 * max(1, -(-languages // 64)) > BYTES:
+        size //= 2
+    return size
 
-def build(counts: dict[str, tuple[object, object]]) -> LanguageFilters:
-    """Filters from each language's grams (hashes, counts): those at least OWN times as frequent in it as on average, the KEPT most frequent."""
+
+def filters(languages: list[str], words) -> LanguageFilters:
     import numpy as np
 
-    languages = sorted(counts)
-    words = np.zeros((SLOTS, max(1, -(-len(languages) // 64))), np.uint64)
-    if languages:
-        every = np.unique(np.concatenate([counts[c][0] for c in languages]))
-        share = np.zeros((len(languages), len(every)))
-        for i, c in enumerate(languages):
-            share[i, np.searchsorted(every, counts[c][0])] = counts[c][1] / max(1, counts[c][1].sum())
-        average = share.mean(0)
-        for i in range(len(languages)):
-            own = np.flatnonzero((share[i] > 0) & (share[i] >= OWN * average))
-            own = own[np.argsort(-share[i][own], kind="stable")[:KEPT]]
-            for at in slots(every[own]):
-                words[at, i // 64] |= np.uint64(1 << i % 64)
-    full = np.array([(words[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)).mean() for i in range(len(languages))])
+    full = np.array([np.count_nonzero(words[:, i // 64] & np.uint64(1 << i % 64)) / len(words) for i in range(len(languages))])
     return LanguageFilters(languages, words, full**HASHES)
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> LanguageFilters:
-    """Learns from (text, lang) of about `sample` documents a language, those whose text's hash lies below a bound that the
-    language's number of documents gives.
+def learn(docs: DataFrame, sample: int = SAMPLE, support: float = SUPPORT) -> LanguageFilters:
+    """Learns from (text, lang): of every language all its distinct texts, or about `sample` of them, those with the smallest hashes.
 
-    Tasks count, for each language, the sampled texts that hold a gram; the driver gets each language's most common
-    grams, 2 * KEPT at most. Null texts and null languages teach nothing.
+    Every gram that the share `support` of a language's sampled texts holds, or one of up to 1 / support texts, goes into
+    its filter, whatever other languages hold it. Tasks turn grams into the filters' slots; bits are joined by an
+    aggregate over slots, and the driver gets that table: at most BYTES, whatever the numbers of rows, grams and
+    languages. Copies of a text count once, so a language of many copies of few texts keeps them all. Null texts and
+    null languages teach nothing; an empty table gives no language; extra columns are ignored; long texts are read whole.
     """
     import numpy as np
-    from pyspark.sql.window import Window
+
+    rated = docs.where("text is not null and lang is not null").select("lang", "text", F.xxhash64("text").alias("own"))
+    sizes = [(r["lang"], r["n"], r["texts"]) for r in rated.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("own").alias("texts")).collect()]
+    languages = [lang for lang, _, _ in sorted(sizes, key=lambda r: (-r[1], r[0]))]
+    size, width = filter_size(len(languages)), max(1, -(-len(languages) // 64))
+    words = np.zeros((size, width), np.uint64)
+    if not languages:
+        return filters([], words)
 
     def count(batches: Iterator) -> Iterator:
         import numpy as np
         import pandas as pd
 
-        held: dict[str, list] = {}
         for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                held.setdefault(lang, []).append(np.unique(gram_hashes(text)))
-        for lang, parts in held.items():
-            grams, counts = np.unique(np.concatenate(parts), return_counts=True)
-            yield pd.DataFrame({"lang": lang, "gram": grams.view(np.int64), "n": counts})
-
-    rated = docs.where("text is not null and lang is not null").select("lang", "text")
-    sizes = {r["lang"]: r["n"] for r in rated.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return build({})
-    bound = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, sample / n)))])
-    chosen = rated.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.element_at(bound, F.col("lang")) * (1 << 20))
-    counted = chosen.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 1")
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    top = counted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= 2 * KEPT).select("lang", "gram", "n").toPandas()
-    found = {lang: (np.zeros(0, np.uint64), np.zeros(0)) for lang in sizes}
-    for lang, part in top.groupby("lang"):
-        grams, counts = part["gram"].to_numpy(np.int64).view(np.uint64), part["n"].to_numpy(np.float64)
-        order = np.argsort(grams)
-        found[lang] = (grams[order], counts[order])
-    return build(found)
+            for part in slices(batch):
+                for lang, own in part.groupby("lang")["text"]:
+                    grams, n = np.unique(np.concatenate([np.unique(gram_hashes(t)) for t in own]), return_counts=True)
+                    yield pd.DataFrame({"lang": lang, "gram": grams.view(np.int64), "n": n})
+
+    def mark(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pandas as pd
+
+        at = {lang: i for i, lang in enumerate(languages)}
+        for batch in batches:
+            for lang, grams in batch.groupby("lang")["gram"]:
+                where, i = np.unique(np.concatenate(slots(grams.to_numpy(np.int64).view(np.uint64), size))), at[lang]
+                yield pd.DataFrame({"word": np.full(len(where), i // 64, np.int32), "slot": where, "mask": np.full(len(where), np.array(1 << i % 64, np.uint64).view(np.int64))})
+
+    # The share of a language's distinct texts that is taken, a little over what the estimated number asks for, and how many of them must hold a gram.
+    share = {lang: min(1.0, 1.1 * sample / texts) if texts > sample else 1.0 for lang, _, texts in sizes}
+    least = {lang: max(1, math.ceil(support * share[lang] * texts)) for lang, _, texts in sizes}
+    table = lambda of: F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(of[lang]))])[F.col("lang")]
+    scale = 1 << 24
+    distinct = rated.where(F.pmod(F.col("own"), F.lit(scale)) < table(share) * scale).groupBy("lang", "own").agg(F.first("text").alias("text"))
+    grams = distinct.select("lang", "text").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= table(least))
+    bits = grams.select("lang", "gram").mapInPandas(mark, "word int, slot long, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask"))
+    got = bits.toPandas()
+    words[got["slot"].to_numpy(np.int64), got["word"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64).view(np.uint64)
+    return filters(languages, words)
 
 
 def decide(text: str | None, model: LanguageFilters) -> tuple[str, float]:
     """The language whose filter holds the most of the text's grams beyond its false positives; score: that share, in 0..1.
 
-    `und` and 0 without a letter or without a learned language; ties go to the first name.
+    `und` and 0 without a letter or without a learned language; ties, and texts of which no filter holds a gram, go to
+    the language with most learned documents.
     """
     import numpy as np
 
@@ -141,7 +154,7 @@ def decide(text: str | None, model: LanguageFilters) -> tuple[str, float]:
     hashes = gram_hashes(text)
     hits = np.zeros(len(model.languages))
     for at in range(0, len(hashes), 1 << 16):
-        part = slots(hashes[at : at + (1 << 16)])
+        part = slots(hashes[at : at + (1 << 16)], len(model.words))
         masks = model.words[part[0]]
         for s in part[1:]:
             masks = masks & model.words[s]
@@ -153,8 +166,8 @@ def decide(text: str | None, model: LanguageFilters) -> tuple[str, float]:
 
 
 def predict(docs: DataFrame, model: LanguageFilters) -> DataFrame:
-    """Adds lang_pred and score to the documents' columns; only the text is looked at. Repeated rows and clashing extra
-    columns (replaced) do no harm; an empty table gives no row."""
+    """Adds lang_pred and score to the documents' columns; only the text is looked at, long ones whole. Repeated rows get the
+    same result each; an empty table gives no row. Extra columns are kept whatever their names, those named as the added ones replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @iterated("lang_pred string, score double")
@@ -165,5 +178,6 @@ def predict(docs: DataFrame, model: LanguageFilters) -> DataFrame:
         for batch in texts:
             yield pd.DataFrame([decide(t, model) for t in batch], columns=["lang_pred", "score"])
 
-    named = docs.withColumn("_lang", of("text"))
-    return named.withColumns({"lang_pred": F.col("_lang.lang_pred"), "score": F.col("_lang.score")}).drop("_lang")
+    (both,) = free(docs, "_lang")
+    named = docs.withColumn(both, of("text"))
+    return named.withColumns({"lang_pred": F.col(f"{both}.lang_pred"), "score": F.col(f"{both}.score")}).drop(both)
