@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch
+from .common import Scratch, free
 
 #: Share of the sources' largest entropy to meet, copies of a token that are allowed on average, and tokens a block has.
 ENTROPY, REPETITION, BLOCK = 0.97, 2.0, 1 << 16
@@ -93,32 +93,45 @@ def mix(docs: DataFrame, scratch: Scratch, entropy: float | None = ENTROPY, repe
     a block takes the first documents of its permutation within its budget (the one that crosses it is taken if at
     least half of it fits). A block bounds what a window task holds, so a hot source is many small groups.
 
-    Null sources make one source; null and empty texts count as one token; repeated rows are dealt by a hash of their
-    whole row and keep an order of their own; an empty table gives no row. Columns named as the added ones are replaced.
+    Null sources make one source; null and empty texts count as one token; long texts are counted whole; an empty table
+    gives no row. Repeated rows would share a hash, and so a block: where copies fill more than a block, they are dealt by
+    their place in the table too, for which a table that comes from a shuffle is written first. Extra columns are kept
+    whatever their names, those named as the added ones replaced.
     """
-    counted = docs.withColumn("tokens", token_count())
-    planned = plan(counted.select("source", "tokens"), scratch, entropy, repetition, block).select(F.col("source").alias("_source"), "weight", F.col("epochs").alias("_epochs"), F.col("blocks").alias("_blocks"))
-    own = F.xxhash64(*[F.col(c) for c in docs.columns if not isinstance(docs.schema[c].dataType, _Unhashable())], F.lit(seed))
-    keyed = counted.drop("weight").withColumn("_own", own)
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs = scratch.save(docs, "input")  # a place that a repeated task finds again
+    src, epochs_, blocks_, own_, turn_, before_, budget_, place_, many_, salt_, part_ = free(docs, "_source", "_epochs", "_blocks", "_own", "_turn", "_before", "_budget", "_place", "_many", "_salt", "_part")
+    named = [c for c in docs.columns if c.lower() not in ("tokens", "weight", "block", "position", "copy")]
+    own = F.xxhash64(*[F.col(c) for c in named if not isinstance(docs.schema[c].dataType, _unhashable())], F.lit(seed))
+    keyed = docs.select(*named, token_count().alias("tokens"), own.alias(own_), F.monotonically_increasing_id().alias(place_))
+    crowds = keyed.groupBy(own_).agg(F.sum("tokens").alias("n"), F.count("*").alias("rows")).where((F.col("n") > block) & (F.col("rows") > 1)).select(F.col(own_).alias(many_))
+    crowds = scratch.save(crowds, "crowds")
+    if crowds.limit(1).count():
+        few = crowds.limit(SMALL + 1).count() <= SMALL
+        met = keyed.join(F.broadcast(crowds) if few else crowds, F.col(own_) == F.col(many_), "left")
+        keyed = met.withColumn(own_, F.when(F.col(many_).isNull(), F.col(own_)).otherwise(F.xxhash64(own_, place_))).drop(many_)
+    keyed = keyed.drop(place_)
+    totals = docs.select("source", token_count().alias("tokens"))
+    planned = plan(totals, scratch, entropy, repetition, block).select(F.col("source").alias(src), "weight", F.col("epochs").alias(epochs_), F.col("blocks").alias(blocks_))
     if planned.limit(SMALL + 1).count() <= SMALL:
-        joined = keyed.join(F.broadcast(planned), F.col("source").eqNullSafe(F.col("_source")))
+        joined = keyed.join(F.broadcast(planned), F.col("source").eqNullSafe(F.col(src)))
     else:
-        spread = planned.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = keyed.withColumn("_part", F.pmod("_own", F.lit(SALTS)).cast("int"))
-        joined = salted.join(spread, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_part") == F.col("_salt"))).drop("_part", "_salt")
-    blocked = joined.withColumn("block", F.pmod(F.xxhash64("_own", F.lit(1)), F.col("_blocks")))
-    full = F.floor("_epochs").cast("int")
-    turn = F.xxhash64("_own", F.lit(2))
+        spread = planned.withColumn(salt_, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = keyed.withColumn(part_, F.pmod(own_, F.lit(SALTS)).cast("int"))
+        joined = salted.join(spread, F.col("source").eqNullSafe(F.col(src)) & (F.col(part_) == F.col(salt_))).drop(part_, salt_)
+    blocked = joined.withColumn("block", F.pmod(F.xxhash64(own_, F.lit(1)), F.col(blocks_)))
+    full = F.floor(epochs_).cast("int")
+    turn = F.xxhash64(own_, F.lit(2))
     group = Window.partitionBy("source", "block")
-    before = F.sum("tokens").over(group.orderBy("_turn", "_own").rowsBetween(Window.unboundedPreceding, -1))
-    budget = (F.col("_epochs") - full) * F.sum("tokens").over(group.orderBy("_turn", "_own").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    placed = blocked.withColumn("_turn", turn).withColumns({"_before": F.coalesce(before, F.lit(0)), "_budget": budget, "position": F.row_number().over(group.orderBy("_turn", "_own")).cast("bigint")})
-    more = F.when(F.col("_before") + F.col("tokens") / 2 <= F.col("_budget"), 1).otherwise(0)
+    before = F.sum("tokens").over(group.orderBy(turn_, own_).rowsBetween(Window.unboundedPreceding, -1))
+    budget = (F.col(epochs_) - full) * F.sum("tokens").over(group.orderBy(turn_, own_).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    placed = blocked.withColumn(turn_, turn).withColumns({before_: F.coalesce(before, F.lit(0)), budget_: budget, "position": F.row_number().over(group.orderBy(turn_, own_)).cast("bigint")})
+    more = F.when(F.col(before_) + F.col("tokens") / 2 <= F.col(budget_), 1).otherwise(0)
     copies = placed.withColumn("copy", F.explode(F.sequence(F.lit(0), full + more - 1)))
-    return copies.drop("_source", "_own", "_turn", "_before", "_budget", "_epochs", "_blocks")
+    return copies.drop(src, own_, turn_, before_, budget_, epochs_, blocks_)
 
 
-def _Unhashable():
+def _unhashable():
     from pyspark.sql.types import MapType, VariantType
 
     return (MapType, VariantType)
