@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import jaccard, lines, mixing, packing, quality
+from tideline.llm import lines, mixing, packing, quality, simhash
 from tideline.llm.common import Scratch, table
 from tideline.llm.queries import ratings
 
-#: Words a shingle has in the near-duplicate stage.
-SHINGLE = 5
+#: Words a shingle has in the near-duplicate stage, and bits of 64 in which fingerprints of candidates differ at most: a fifth.
+SHINGLE, DISTANCE = 5, 12
 #: No SQL expresses the classifier, the near duplicates' components or the packing.
 ORACLE_SQL = None
 
@@ -28,9 +28,10 @@ def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, linked by a Jaccard similarity of 0.8 or more: that with the smallest doc_id. Of rows with that doc_id one stays;
-    rows without a doc_id stay where no row of their group has one."""
-    found = jaccard.near_duplicates(docs, Scratch(spark, "pipeline-jaccard"), words=SHINGLE)
+    """One document of each group of near duplicates: that with the smallest doc_id. Links are fingerprints within DISTANCE whose
+    texts have a Jaccard similarity of 0.8 or more. Of rows with that doc_id one stays; of rows without a doc_id, all of a
+    group that has no row with one. Texts without words are one group; an empty table gives no row."""
+    found = simhash.near_duplicates(docs, Scratch(spark, "pipeline-simhash"), words=SHINGLE, distance=DISTANCE, similar=True)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
     stays = docs.join(kept, docs["doc_id"].cast("bigint").eqNullSafe(kept["_kept"]))
     if kept.where("_rows > 1 and _kept is not null").limit(1).count():
