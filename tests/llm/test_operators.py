@@ -267,7 +267,7 @@ def test_simhash(spark, corpus):
 
 
 @pytest.mark.parametrize("bucket", [4, 2048])
-@pytest.mark.parametrize("thresholds", [[0, 0, 0, 0, 0], [1, 0, 0, 0], [1, 1, 0], [2, 0, 0], [2, 1], [-1, 2, 1]])
+@pytest.mark.parametrize("thresholds", [[0, 0, 0, 0, 0], [3, 0], [-1, -1, 4], [1, 0, 0, 0], [1, 1, 0], [2, 0, 0], [2, 1], [-1, 2, 1]])
 def test_every_allocation_joins_the_same_prints(spark, thresholds, bucket):
     rng = random.Random(8)
     prints = {rng.getrandbits(64) for _ in range(40)}
@@ -280,7 +280,7 @@ def test_every_allocation_joins_the_same_prints(spark, thresholds, bucket):
     ids = sorted(p - (1 << 63) for p in prints)
     width = 64 // len(thresholds)
     plan = [(list(range(i * width, 64 if i == len(thresholds) - 1 else (i + 1) * width)), t) for i, t in enumerate(thresholds) if t >= 0]
-    edges = [(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(i,) for i in ids], "fp long"), plan, bucket=bucket).collect()]
+    edges = [(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(i,) for i in ids], "fp long"), plan, Scratch(spark, "t"), bucket=bucket).collect()]
     near = [(a, b) for a in ids for b in ids if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 4]
     assert set(edges) <= set(near)
 
@@ -430,5 +430,5 @@ def test_language_on_held_out_documents(spark):
     assert (got.lang == got.lang_pred).mean() > 0.97 and got.score.between(0, 1).all()
     odd = {r["doc_id"]: r["lang_pred"] for r in langid.predict(frame(spark, ODD), model).collect()}
     assert odd[2] == odd[3] == "und" and odd[1] in model.languages
-    assert langid.decide("abc", langid.build({})) == ("und", 0.0)
+    assert langid.decide("abc", langid.learn(docs.limit(0))) == ("und", 0.0)
     assert langid.predict(frame(spark, []), model).count() == 0

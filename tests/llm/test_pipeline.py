@@ -10,16 +10,13 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import COLUMNS, ODD, check_packing, corpus  # noqa: F401
-from tideline.llm import lines, quality, simhash
+from tests.llm.test_near_duplicates import groups_of
+from tideline.llm import lines, quality
 from tideline.llm.queries import ratings
 
 NAMES = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def shingle_hash(text, words):
-    return simhash.simhash(text, words)
-
-
 def test_stages(spark, corpus, tmp_path):  # noqa: F811
     rng = np.random.default_rng(4)
     junk = [(1000 + i, " ".join(f"{w}%%% ###" for w in rng.choice(["a", "bb", "ccc"], 40)), "en", "s1", 1) for i in range(20)]
@@ -63,20 +60,10 @@ def test_stages(spark, corpus, tmp_path):  # noqa: F811
     assert Counter(map(key, out["lines"])) == Counter(want)
     assert all(r[4] == (None if r[1] is None else len(r[1])) for r in out["lines"])
 
-    prints = [(r[0], shingle_hash(r[1], corpus_pipeline.SHINGLE)) for r in out["lines"]]
-    root = {}
-    for i in range(len(prints)):
-        if i not in root:
-            stack, root[i] = [i], i
-            while stack:
-                x = stack.pop()
-                for j in range(len(prints)):
-                    if j not in root and (prints[x][1] ^ prints[j][1]).bit_count() <= simhash.DISTANCE:
-                        root[j] = i
-                        stack.append(j)
+    root, _ = groups_of([r[1] for r in out["lines"]])
     groups = defaultdict(list)
-    for i, g in root.items():
-        groups[g].append(prints[i][0])
+    for r, g in zip(out["lines"], root, strict=True):
+        groups[g].append(r[0])
     first = Counter(min((d for d in g if d is not None), default=None) for g in groups.values())
     assert Counter(r[0] for r in out["near_duplicates"]) == first
 
