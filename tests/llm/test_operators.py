@@ -170,6 +170,20 @@ def test_pairs_never_cross_documents(spark):
         assert len(b["ends"]) == len(b["counts"])
 
 
+@pytest.mark.parametrize("frequent", [2, 8])
+def test_compression_ends_when_no_pair_is_frequent(frequent):
+    rng = np.random.default_rng(2)
+    ids = np.concatenate([rng.zipf(1.3, 60_000) % 500 + 1, np.full(40, 7), np.arange(1000, 3000)]).astype(np.uint32)
+    last = rng.random(len(ids)) < 0.01
+    last[-1] = True
+    stream, closes, rules = token_files.compress(ids, last.copy(), frequent=frequent)
+    flat, starts, lengths = token_files.expansions(rules)
+    assert (token_files.expand(stream, flat, starts, lengths) == ids).all() and closes.sum() == last.sum()
+    pairs = Counter((a, b) for a, b, end in zip(stream[:-1].tolist(), stream[1:].tolist(), closes[:-1]) if not end)
+    assert all(n < (2 * frequent if a == b else frequent) for (a, b), n in pairs.items())
+    assert len(token_files.compress(ids[:1], last[-1:].copy())[0]) == 1
+
+
 def test_random_access(spark, corpus):
     raws = encoder("byte_bpe_50k.json").encode([r[1] for r in corpus], 0)
     block = token_files.write_tokens(frame(spark, corpus).repartition(1), Scratch(spark, "t"), block=1 << 22).collect()[0]

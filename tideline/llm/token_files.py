@@ -12,66 +12,81 @@ from .common import Scratch, encoder, slices
 
 #: The first nonterminal; every tokenizer's ids lie below it.
 NONTERMINAL = 1 << 20
-#: Ids a block holds before it is closed, rounds of replacement, and how often a pair must occur in a block.
-BLOCK, ROUNDS, FREQUENT = 1 << 19, 8, 8
-#: Share of a block's symbols that a round must have saved for another one to follow.
-SAVES = 0.2
+#: Ids a block holds before it is closed, and how often a pair must occur in a block to be replaced.
+BLOCK, FREQUENT = 1 << 19, 8
 FORMAT = "task long, block long, task_start long, total long, doc_ids array<long>, counts binary, ends binary, rules binary, lengths binary, stream binary"
 
 
-def compress(ids, last, rounds: int = ROUNDS, frequent: int = FREQUENT):
+def compress(ids, last, frequent: int = FREQUENT):
     """Re-Pair in rounds: (stream, which symbols end a document, rules as pairs).
 
-    Each round counts all adjacent pairs that lie within a document and replaces, leftmost first and without overlap,
-    every pair that occurs at least `frequent` times. Pairs are counted in a table by hash; of pairs that share a slot
-    one is taken this round and the others may be in the next. It ends when a round would save little.
+    Each round counts adjacent pairs that lie within a document and replaces, leftmost first and without overlap, every
+    pair that occurs at least `frequent` times. A pair that has just become frequent holds a symbol of the round before,
+    so a round looks beside those only. Pairs are counted in a table by hash, of another hash each round; of pairs
+    that share a slot one is taken. When a round finds none, all pairs are counted once more, those in full slots one by
+    one, so that it ends only when no pair is frequent (of equal symbols: so frequent that overlaps don't matter).
     """
     import numpy as np
 
-    seq, rules, made = ids.astype(np.uint32), [], 0
-    for _ in range(rounds):
-        if len(seq) < 2 * frequent:
-            break
-        bits = max(10, min(20, int(len(seq)).bit_length()))
+    seq, rules, made, fresh, turn = ids.astype(np.uint32), [], 0, None, 0
+    while len(seq) >= 2 * frequent:
+        if fresh is None:
+            place, left, right, closed = None, seq[:-1], seq[1:], np.flatnonzero(last[:-1])
+        else:
+            beside = np.zeros(len(seq), bool)
+            beside[fresh] = True
+            beside[fresh[fresh > 0] - 1] = True
+            beside[-1] = False
+            place = np.flatnonzero(beside & ~last)
+            left, right, closed = seq[place], seq[place + 1], place[:0]
+        bits = max(10, min(20, len(left).bit_length()))
         none = 1 << bits
-        left, right = seq[:-1], seq[1:]
-        slot = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77) >> np.uint32(32 - bits)).astype(np.intp)
-        slot[np.flatnonzero(last[:-1])] = none
+        slot = ((left * np.uint32(0x9E3779B1 + 2 * turn) + right * np.uint32(0x85EBCA77 + 4 * turn)) >> np.uint32(32 - bits)).astype(np.int32)
+        slot[closed] = none
+        turn += 1
         counts = np.bincount(slot, minlength=none + 1)
         counts[none] = 0
         at = np.flatnonzero((counts >= frequent)[slot])
-        if not len(at):
-            break
-        here, holder = slot[at], np.zeros(none + 1, np.intp)
+        at_all, here, holder = at, slot[at], np.zeros(none + 1, np.intp)
         holder[here] = at
         own = holder[here]
         same = (left[own] == left[at]) & (right[own] == right[at])
         at, here = at[same], here[same]
         # Of pairs that overlap in a row, every second one from the left.
-        fresh = np.append(True, at[1:] != at[:-1] + 1)
-        begin = np.flatnonzero(fresh)
-        even = (np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))) % 2 == 0
-        at, here = at[even], here[even]
+        where = at if place is None else place[at]
+        begin = np.flatnonzero(np.append(True, where[1:] != where[:-1] + 1)) if len(where) else where
+        even = (np.arange(len(where)) - np.repeat(begin, np.diff(np.append(begin, len(where))))) % 2 == 0
+        where, here = where[even], here[even]
         chosen = np.flatnonzero(np.bincount(here, minlength=none + 1) >= frequent)
         if not len(chosen):
-            break
+            if fresh is None and not _frequent(left[at_all], right[at_all], frequent):
+                break
+            fresh = None
+            continue
         number = np.zeros(none + 1, np.uint32)
         number[chosen] = np.arange(len(chosen), dtype=np.uint32) + np.uint32(NONTERMINAL + made)
         names = number[here]
-        at, names = at[names > 0], names[names > 0]
+        where, names = where[names > 0], names[names > 0]
         rules.append(np.stack([left[holder[chosen]], right[holder[chosen]]], 1))
         made += len(chosen)
-        seq[at] = names
-        last[at] |= last[at + 1]
+        seq[where] = names
+        last[where] |= last[where + 1]
         keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        before = len(seq)
+        keep[where + 1] = False
         seq, last = seq[keep], last[keep]
-        if before - len(seq) < SAVES * before:
-            break
+        fresh = where - np.arange(len(where))  # where the new symbols now are
     return seq, last, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
+def _frequent(left, right, frequent: int) -> bool:
+    """Whether one of these pairs is frequent, counted one by one."""
+    import numpy as np
+
+    pairs, n = np.unique(left.astype(np.uint64) << np.uint64(32) | right, return_counts=True)
+    equal = pairs >> np.uint64(32) == pairs & np.uint64(0xFFFFFFFF)
+    return bool((n >= np.where(equal, 2 * frequent, frequent)).any())
+
+
 def expansions(rules):
     """All rules written out: (ids, starts, lengths). Each pass writes the nonterminals of what it has out one level more."""
     import numpy as np
