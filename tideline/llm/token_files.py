@@ -20,10 +20,10 @@ FORMAT = "task long, block long, task_start long, total long, doc_ids array<long
 def compress(ids, last, frequent: int = FREQUENT):
     """Re-Pair in rounds: (stream, which symbols end a document, rules as pairs).
 
-    Each round counts adjacent pairs that lie within a document and replaces, leftmost first and without overlap, every
-    pair that occurs at least `frequent` times. A pair that has just become frequent holds a symbol of the round before,
-    so a round looks beside those only. Pairs are counted in a table by hash, of another hash each round; of pairs
-    that share a slot one is taken. When a round finds none, all pairs are counted once more, those in full slots one by
+    Each round counts adjacent pairs that lie within a document and replaces every pair that occurs at least `frequent`
+    times; where two of them overlap the more frequent one goes first, of equal symbols the left. A pair that has just
+    become frequent holds a symbol of the round before, so a round looks beside those only. Pairs are counted in a table
+    by hash, of another hash each round; of pairs that share a slot one is taken. When a round finds none, all pairs are counted once more, those in full slots one by
     one, so that it ends only when no pair is frequent (of equal symbols: so frequent that overlaps don't matter).
     """
     import numpy as np
@@ -33,15 +33,16 @@ def compress(ids, last, frequent: int = FREQUENT):
         if fresh is None:
             place, left, right, closed = None, seq[:-1], seq[1:], np.flatnonzero(last[:-1])
         else:
-            beside = np.zeros(len(seq), bool)
-            beside[fresh] = True
-            beside[fresh[fresh > 0] - 1] = True
-            beside[-1] = False
-            place = np.flatnonzero(beside & ~last)
+            near = np.zeros(len(seq), bool)
+            near[fresh] = True
+            near[fresh[fresh > 0] - 1] = True
+            near[-1] = False
+            place = np.flatnonzero(near & ~last)
             left, right, closed = seq[place], seq[place + 1], place[:0]
         bits = max(10, min(20, len(left).bit_length()))
         none = 1 << bits
-        slot = ((left * np.uint32(0x9E3779B1 + 2 * turn) + right * np.uint32(0x85EBCA77 + 4 * turn)) >> np.uint32(32 - bits)).astype(np.int32)
+        m, k = np.random.default_rng(turn).integers(1 << 30, 1 << 32, 2, np.uint32) | np.uint32(1)
+        slot = ((left * m + right * k) >> np.uint32(32 - bits)).astype(np.int32)
         slot[closed] = none
         turn += 1
         counts = np.bincount(slot, minlength=none + 1)
@@ -52,8 +53,18 @@ def compress(ids, last, frequent: int = FREQUENT):
         own = holder[here]
         same = (left[own] == left[at]) & (right[own] == right[at])
         at, here = at[same], here[same]
-        # Of pairs that overlap in a row, every second one from the left.
+        times = np.bincount(here, minlength=none + 1)
+        enough = times[here] >= np.where(left[at] == right[at], 2 * frequent, frequent)
+        at, here = at[enough], here[enough]
         where = at if place is None else place[at]
+        # Of two pairs that overlap the rarer loses its place; the most frequent pair loses none.
+        rank = times[here] * (none + 1) + here
+        beside = where[1:] == where[:-1] + 1
+        lost = np.zeros(len(where), bool)
+        lost[1:] |= beside & (rank[1:] < rank[:-1])
+        lost[:-1] |= beside & (rank[:-1] < rank[1:])
+        where, here = where[~lost], here[~lost]
+        # What still overlaps is a run of equal symbols: every second pair from the left.
         begin = np.flatnonzero(np.append(True, where[1:] != where[:-1] + 1)) if len(where) else where
         even = (np.arange(len(where)) - np.repeat(begin, np.diff(np.append(begin, len(where))))) % 2 == 0
         where, here = where[even], here[even]
