@@ -98,27 +98,40 @@ def _frequent(left, right, frequent: int) -> bool:
     return bool((n >= np.where(equal, 2 * frequent, frequent)).any())
 
 
+def batches(rules) -> Iterator[tuple[int, int]]:
+    """Runs of rules (from, to) that only use symbols made before the run."""
+    import numpy as np
+
+    newest, first = np.maximum.accumulate(rules.max(1).astype(np.int64) - NONTERMINAL), 0
+    while first < len(rules):
+        end = max(first + 1, int(np.searchsorted(newest, first)))
+        yield first, end
+        first = end
+
+
+def rule_lengths(rules):
+    """The number of ids of every rule."""
+    import numpy as np
+
+    lengths = np.ones(len(rules) + 1, np.int64)  # the last one stands for an id
+    parts = rules.astype(np.int64) - NONTERMINAL
+    parts[parts < 0] = len(rules)
+    for s, e in batches(rules) if len(rules) else ():
+        lengths[s:e] = lengths[parts[s:e, 0]] + lengths[parts[s:e, 1]]
+    return lengths[:-1]
+
+
 def expansions(rules):
-    """All rules written out: (ids, starts, lengths). Each pass writes the nonterminals of what it has out one level more."""
+    """All rules written out: (ids, starts, lengths). Each run of rules is written from those before it."""
     import numpy as np
 
-    left, right = rules[:, 0].astype(np.int64) - NONTERMINAL, rules[:, 1].astype(np.int64) - NONTERMINAL
-    flat, lengths = rules.reshape(-1), np.full(len(rules), 2, np.int64)
-    while True:
-        of = lambda part: np.where(part >= 0, lengths[np.maximum(part, 0)], 1)
-        again = of(left) + of(right)
-        if np.array_equal(again, lengths):
-            break
-        lengths = again
-    while (flat >= NONTERMINAL).any():
-        ruled = flat >= NONTERMINAL
-        at = np.cumsum(1 + ruled) - 1 - ruled
-        out = np.empty(len(flat) + int(ruled.sum()), np.uint32)
-        out[at[~ruled]] = flat[~ruled]
-        pair = rules[flat[ruled].astype(np.int64) - NONTERMINAL]
-        out[at[ruled]], out[at[ruled] + 1] = pair[:, 0], pair[:, 1]
-        flat = out
-    return flat, np.cumsum(lengths) - lengths, lengths
+    lengths = rule_lengths(rules)
+    starts = np.cumsum(lengths) - lengths
+    flat = np.zeros(int(lengths.sum()), np.uint32)
+    for s, e in batches(rules) if len(rules) else ():
+        done = int(starts[s])
+        flat[done : int(starts[e - 1] + lengths[e - 1])] = expand(rules[s:e].reshape(-1), flat[:done], starts, lengths)
+    return flat, starts, lengths
 
 
 def expand(stream, flat, starts, lengths):
@@ -165,7 +178,7 @@ def write_tokens(docs: DataFrame, scratch: Scratch, tag: str = "tokens", tokeniz
             last = np.zeros(len(ids), bool)
             last[np.cumsum(counts) - 1] = True
             stream, closes, rules = compress(ids, last)
-            lengths = expansions(rules)[2]
+            lengths = rule_lengths(rules)
             row = (task, number, before, len(ids), list(names), counts.tobytes(), (np.flatnonzero(closes) + 1).astype("<u4").tobytes(), rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), stream.astype("<u4").tobytes())
             number, before, held = number + 1, before + len(ids), 0
             names.clear()
