@@ -6,7 +6,7 @@ import hashlib
 import math
 import struct
 
-IDENTITY = {"algorithm": "xoshiro128++", "version": 1, "derivation": "sha256(seed/name), first 16 bytes, little-endian words"}
+IDENTITY = {"algorithm": "xoshiro128++", "version": 1, "derivation": "sha256(seed/name), first 16 bytes, little-endian words", "vectors": "NumPy PCG64 seeded with the stream's four words"}
 _MASK = 0xFFFFFFFF
 
 

@@ -51,10 +51,24 @@ def nearest_event(events: DataFrame, at: DataFrame, keys: list[str]) -> DataFram
 
 
 def nearest_angle(asked: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """For each row, the candidate of its key with the smallest circular distance, the first id among equal ones."""
-    d = F.abs(F.atan2(F.sin(F.col("angle") - F.col("candidate_angle")), F.cos(F.col("angle") - F.col("candidate_angle"))))
-    w = Window.partitionBy("id").orderBy(d, "candidate")
-    return asked.join(candidates, keys).withColumn("distance", d).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """For each row (id, angle), the candidate of its key with the smallest circular distance, the first id among equal ones.
+
+    Both sides are sorted together once by angle; the last candidate before and the first after are each row's two
+    neighbours, and a turn's ends are joined by the key's last and first candidates (one row a key).
+    """
+    turn = lambda c: F.pmod(F.col(c), F.lit(6.283185307179586))
+    found = candidates.groupBy(*keys, turn("candidate_angle").alias("_t")).agg(F.min(F.struct("candidate", "candidate_angle")).alias("_c"))
+    ends = found.groupBy(*keys).agg(F.min_by("_c", "_t").alias("_first"), F.max_by("_c", "_t").alias("_last"))
+    none = F.lit(None).cast(found.schema["_c"].dataType)
+    both = asked.withColumns({"_t": turn("angle"), "_c": none, "_row": F.lit(1)}).unionByName(found.withColumn("_row", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy("_t", "_row")
+    before = F.last("_c", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("_c", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    near = both.withColumns({"_b": before, "_a": after}).where("_row = 1").join(ends, keys)
+    d = lambda c: F.abs(F.atan2(F.sin(F.col("angle") - c["candidate_angle"]), F.cos(F.col("angle") - c["candidate_angle"])))
+    option = lambda c: F.struct(d(c).alias("distance"), c["candidate"].alias("candidate"), c["candidate_angle"].alias("candidate_angle"))
+    best = F.least(option(F.coalesce("_b", "_last")), option(F.coalesce("_a", "_first")))
+    return near.withColumn("_best", best).drop("_t", "_c", "_row", "_b", "_a", "_first", "_last").select("*", "_best.*").drop("_best")
 
 
 def greedy_match(truth: DataFrame, found: DataFrame, width: float, share: float = 0.2) -> DataFrame:

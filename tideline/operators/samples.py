@@ -61,9 +61,15 @@ def rereferenced(samples: DataFrame, mode: str, keys: list[str], neighbours: Dat
     elif mode == "laplacian":
         if neighbours is None:
             raise ValueError("the Laplacian needs the neighbours of each channel")
-        near = scalp.select(*keys, F.col("channel").alias("neighbour"), F.col("x").alias("_y"))
-        pairs = scalp.join(F.broadcast(neighbours), "channel").join(near, [*keys, "neighbour"])
-        return pairs.groupBy(*keys, "channel").agg((F.first("x") - F.avg("_y")).alias("x"))
+        # A sample's channels become one list, from which every neighbour is read: one shuffle, and no join of samples.
+        lists = neighbours.groupBy("channel").agg(F.collect_list("neighbour").alias("_near"))
+        whole = scalp.groupBy(*keys).agg(F.collect_list(F.struct("channel", "x")).alias("_all"))
+        each = whole.select(*keys, "_all", F.explode("_all").alias("_own")).select(*keys, "_all", "_own.*").join(F.broadcast(lists), "channel")
+        there = F.transform(F.filter("_all", lambda e: F.array_contains("_near", e["channel"]) & e["x"].isNotNull()), lambda e: e["x"])
+        near = each.withColumn("_there", there).where(F.size("_there") > 0)
+        mean = F.aggregate("_there", F.lit(0.0), lambda s, v: s + v) / F.size("_there")
+        # Of repeated samples of a channel the largest counts, so that a repeated task finds the same; the rows lie together already.
+        return near.groupBy(*keys, "channel").agg((F.max("x") - F.first(mean)).alias("x"))
     else:
         raise ValueError(f"no such reference: {mode}")
     return samples.withColumn("_ref", ref).where(~F.col("channel").isin(*REFERENCES)).withColumn("x", F.col("x") - F.col("_ref")).drop("_ref")

@@ -130,12 +130,12 @@ def same_event_counts(spark, sf_dir) -> DataFrame:
     return probes.same_counts(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), "event_type")
 
 
-@query(f"""WITH {SIG}, j AS (SELECT ch, i, abs(x - lag(x) OVER (PARTITION BY ch ORDER BY i)) AS d FROM sig), m AS (SELECT ch, d, (i % 20 <= 2 AND i >= 20) OR (i % 20 >= 18 AND i + 20 - i % 20 <= 60) AND i < 60 AS near_ FROM j WHERE d IS NOT NULL AND i <= 62)
- SELECT ch, round(max(CASE WHEN near_ THEN d END), 4) AS at_edges, round(quantile_cont(CASE WHEN NOT near_ THEN d END, 0.999), 4) AS elsewhere FROM m GROUP BY ch""")
+@query(f"""WITH {SIG}, j AS (SELECT ch, i, abs(x - lag(x) OVER (PARTITION BY ch ORDER BY i)) AS d, count(*) OVER (PARTITION BY ch) AS n FROM sig), m AS (SELECT ch, d, (i % 20 <= 2 AND i >= 20) OR (i % 20 >= 18 AND i + 20 - i % 20 < n) AS near_ FROM j WHERE d IS NOT NULL)
+ SELECT ch, round(max(CASE WHEN near_ THEN d END), 3) AS at_edges, round(quantile_cont(CASE WHEN NOT near_ THEN d END, 0.999), 3) AS elsewhere FROM m GROUP BY ch""")
 def boundary_steps(spark, sf_dir) -> DataFrame:
-    s = signal(spark, sf_dir).where("i <= 62")
-    edges = s.select("ch").distinct().withColumn("i", F.explode(F.array(*[F.lit(v).cast("bigint") for v in (20, 40, 60)])))
-    return probes.boundary_steps(s, edges, 2).select("ch", r("at_edges", 4).alias("at_edges"), r("elsewhere", 4).alias("elsewhere"))
+    s = signal(spark, sf_dir)
+    edges = s.where("i > 0 and i % 20 = 0").select("ch", "i")
+    return probes.boundary_steps(s, edges, 2).select("ch", r("at_edges", 3).alias("at_edges"), r("elsewhere", 3).alias("elsewhere"))
 
 
 _ST = "st AS (SELECT user_id AS ch, event_id AS id, CAST(floor(epoch(ts)) AS BIGINT) - 1704067200 AS onset, 60 + value AS duration, event_type AS stage FROM events)"
@@ -165,12 +165,13 @@ def grid_best(spark, sf_dir) -> DataFrame:
     return probes.grid_best(p, ["p_brand"], "error", ["p_partkey"]).select("p_brand", "p_partkey")
 
 
-@query()
+@query(f"""WITH {MULTI}, {_MONTAGE}, c AS (SELECT a.channel AS a, b.channel AS b, corr(a.x, b.x) AS r FROM multi a JOIN multi b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber AND a.channel < b.channel GROUP BY 1, 2),
+ d AS (SELECT abs(r) AS r, sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) AS d FROM c JOIN montage p ON p.channel = a JOIN montage q ON q.channel = b), q AS (SELECT quantile_cont(d, 0.25) AS lo, quantile_cont(d, 0.75) AS hi FROM d)
+ SELECT round(quantile_cont(CASE WHEN d <= lo THEN r END, 0.5), 5) AS near, round(quantile_cont(CASE WHEN d >= hi THEN r END, 0.5), 5) AS far FROM d, q""")
 def correlation_by_distance(spark, sf_dir) -> DataFrame:
-    names = montage.SCALP
-    s = signal(spark, sf_dir).where(F.col("ch").between(1, len(names)))
-    place = F.element_at(F.array(*map(F.lit, names)), F.col("ch").cast("int"))
-    return channels.by_distance(channels.pair_correlations(s.withColumn("ch", place)), montage.table(spark)).select(r("near", 5).alias("near"), r("far", 5).alias("far"))
+    """Of the line items' columns, which a small montage stands for."""
+    m = multichannel(spark, sf_dir)
+    return channels.by_distance(channels.pair_correlations(m.select(F.col("channel").alias("ch"), F.struct("l_orderkey", "l_linenumber").alias("i"), "x")), montage.table(spark)).select(r("near", 5).alias("near"), r("far", 5).alias("far"))
 
 
 @query()

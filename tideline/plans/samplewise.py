@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tideline.operators import samples, windows
 from tideline.plans.base import MULTI, SIG, Book, multichannel, r, sig, signal, table
-from tideline.sources import montage
+from tideline.sources import epochs, montage
 
 BOOK = Book()
 query, QUERIES, SQL = BOOK.query, BOOK.QUERIES, BOOK.SQL
@@ -135,7 +136,7 @@ for _mode, _sql in {
     "linked-mastoid": _REFS % "(a1 + a2) * 0.5",
     "contralateral": _REFS % "CASE WHEN regexp_matches(channel, '[zZ]$') THEN (a1 + a2) * 0.5 WHEN regexp_matches(channel, '[13579]$') THEN a2 ELSE a1 END",
     "average": _REFS % "m",
-    "laplacian": f"WITH {MULTI}, n(channel, other) AS (VALUES {', '.join(f'({c!r}, {o!r})' for c, os in _NEAR.items() for o in os)}) SELECT a.l_orderkey, a.l_linenumber, a.channel, round(first(a.x) - avg(b.x), 6) + 0.0 AS x FROM multi a JOIN n ON a.channel = n.channel JOIN multi b ON b.channel = n.other AND a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber GROUP BY 1, 2, 3",
+    "laplacian": f"WITH {MULTI}, n(channel, other) AS (VALUES {', '.join(f'({c!r}, {o!r})' for c, os in _NEAR.items() for o in os)}) SELECT a.l_orderkey, a.l_linenumber, a.channel, round(max(a.x) - avg(b.x), 6) + 0.0 AS x FROM multi a JOIN n ON a.channel = n.channel JOIN multi b ON b.channel = n.other AND a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber GROUP BY 1, 2, 3",
 }.items():
     query(_sql)(_referenced(_mode))
 
@@ -173,6 +174,12 @@ def argmax_channel(spark, sf_dir) -> DataFrame:
     return samples.first_largest(e, ["vec_id"], F.col("w"), F.col("k")).select("vec_id", F.col("k").cast("bigint").alias("k"), r("w").alias("w"))
 
 
-@query(f"""WITH {SIG} SELECT ch, CAST(floor(i / 16.0) AS BIGINT) AS epoch, sum(CASE WHEN i % 16 = 0 THEN 1 ELSE 0 END)::BIGINT AS heads, count(*) AS n FROM sig GROUP BY 1, 2""")
+@query("""WITH h AS (SELECT DISTINCT user_id, floor(epoch(ts) / 3600) AS h FROM events), e AS (SELECT user_id, row_number() OVER w - 1 AS epoch, h * 3600 AS t_start, (lag(h) OVER w + 1) * 3600 AS ended FROM h WINDOW w AS (PARTITION BY user_id ORDER BY h))
+ SELECT CAST(user_id AS VARCHAR) AS run_id, CAST(epoch AS BIGINT) AS epoch, CAST(t_start AS DOUBLE) AS t_start, CAST(ended AS DOUBLE) AS ended FROM e WHERE abs(t_start - ended) > 1e-9""")
 def contiguous_epochs(spark, sf_dir) -> DataFrame:
-    return windows.epochs(signal(spark, sf_dir), 16).groupBy("ch", "epoch").agg(F.sum(F.when(F.col("i") % 16 == 0, 1).otherwise(0)).alias("heads"), F.count("*").alias("n"))
+    """Hours with events as a user's epochs: those that don't continue the hour before."""
+    hour = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)
+    hours = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run_id"), hour.alias("h")).distinct()
+    number = (F.row_number().over(Window.partitionBy("run_id").orderBy("h")) - 1).cast("bigint")
+    made = hours.select("run_id", number.alias("epoch"), (F.col("h") * 3600.0).alias("t_start"), F.lit(3600.0).alias("duration"), F.array(F.lit("Cz")).alias("channels"))
+    return epochs.gaps(made).withColumnRenamed("end", "ended")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import dsp
 from tideline.functions import expressions as X
-from tideline.operators import channels, spectra, stats, windows
+from tideline.operators import channels, pairs, spectra, stats, windows
 from tideline.plans.base import SIG, TIMED, Book, r, signal, table, timed
 
 BOOK = Book()
@@ -222,47 +222,39 @@ def model_slope(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", r(stats.analytic_slope(chi, F.lit(2.0), 1.0, 45.0), 5).alias("slope"))
 
 
-_E = [f"list_extract(embedding, {k})::DOUBLE" for k in range(1, 7)]
-_PAIRS = [(a, b) for a in range(6) for b in range(a, 6)]
+_COVARIANCES = "v AS (SELECT vec_id, label, unnest(range(len(embedding))) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT a.label, a.k AS a, b.k AS b, covar_pop(a.x, b.x) AS c FROM v a JOIN v b ON a.vec_id = b.vec_id GROUP BY 1, 2, 3)"
 
 
-def _wide(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.get("embedding", F.lit(k)).cast("double").alias(f"e{k}") for k in range(6)])
-
-
-@query("WITH c AS (" + " UNION ALL ".join(f"SELECT label, {int(a == b)} AS diag, covar_pop({_E[a]}, {_E[b]}) AS c FROM embeddings GROUP BY label" for a, b in _PAIRS) + ") SELECT label, round(pow(sum(diag * c), 2) / sum((2 - diag) * c * c), 5) AS rank FROM c GROUP BY label")
+@query(f"WITH {_COVARIANCES} SELECT label, round(pow(sum(CASE WHEN a = b THEN c ELSE 0 END), 2) / sum(c * c), 5) AS rank FROM c GROUP BY label")
 def effective_rank(spark, sf_dir) -> DataFrame:
-    return channels.effective_rank(channels.covariances(_wide(spark, sf_dir), [f"e{k}" for k in range(6)], ["label"]), ["label"]).select("label", r("rank", 5).alias("rank"))
+    return channels.effective_rank(pairs.covariances(table(spark, sf_dir, "embeddings"), "embedding", ["label"]), ["label"]).select("label", r("rank", 5).alias("rank"))
 
 
-@query(f"WITH {SIG}, few AS (SELECT * FROM sig WHERE ch <= 12) SELECT a.ch AS a, b.ch AS b, round(corr(a.x, b.x), 5) + 0.0 AS r, count(*) AS n FROM few a JOIN few b ON a.i = b.i AND a.ch < b.ch GROUP BY 1, 2")
+@query(f"WITH {SIG}, few AS (SELECT * FROM sig) SELECT a.ch AS a, b.ch AS b, round(corr(a.x, b.x), 5) + 0.0 AS r, count(*) AS n FROM few a JOIN few b ON a.i = b.i AND a.ch < b.ch GROUP BY 1, 2")
 def pair_correlations(spark, sf_dir) -> DataFrame:
-    """Of the first twelve channels, as many as a small montage has."""
-    return channels.pair_correlations(signal(spark, sf_dir).where("ch <= 12")).select("a", "b", r("r", 5).alias("r"), "n")
+    return pairs.correlations(spectra.records(signal(spark, sf_dir))).select("a", "b", r("r", 5).alias("r"), "n")
 
 
-@query(f"""WITH {_frames(16, 8)}, w AS (SELECT ch, frame, k, (x - avg(x) OVER (PARTITION BY ch, frame)) * 0.5 * (1 - cos(2 * pi() * k / 15.0)) AS y FROM fr WHERE ch <= 6),
+@query(f"""WITH {_frames(16, 8)}, w AS (SELECT ch, frame, k, (x - avg(x) OVER (PARTITION BY ch, frame)) * 0.5 * (1 - cos(2 * pi() * k / 15.0)) AS y FROM fr),
  z AS (SELECT w.ch, w.frame, b.k, sum(y * cos(2 * pi() * b.k * w.k / 16.0)) AS re, -sum(y * sin(2 * pi() * b.k * w.k / 16.0)) AS im FROM w, (SELECT unnest([2, 3, 4]) AS k) b GROUP BY 1, 2, 3),
  p AS (SELECT a.ch AS a, b.ch AS b, a.k, a.re * b.re + a.im * b.im AS re, a.im * b.re - a.re * b.im AS im, a.re * a.re + a.im * a.im AS pa, b.re * b.re + b.im * b.im AS pb FROM z a JOIN z b ON a.frame = b.frame AND a.k = b.k AND a.ch < b.ch)
  SELECT a, b, CAST(k AS INTEGER) AS k, round(sqrt(pow(sum(re), 2) + pow(sum(im), 2)) / sqrt(sum(pa) * sum(pb)), 5) AS coherence,
  round(CASE WHEN pow(sum(abs(im)), 2) - sum(im * im) <= 0 THEN 0 ELSE least(1, greatest(0, (pow(sum(im), 2) - sum(im * im)) / (pow(sum(abs(im)), 2) - sum(im * im)))) END, 5) AS dwpli FROM p GROUP BY 1, 2, 3""")
 def connectivity(spark, sf_dir) -> DataFrame:
-    z = channels.frame_spectra(spectra.records(signal(spark, sf_dir).where("ch <= 6")), FS, 16, 1.0, 2.0)
-    return channels.connectivity(z).select("a", "b", "k", r("coherence", 5).alias("coherence"), r("dwpli", 5).alias("dwpli"))
+    return pairs.connectivity(spectra.records(signal(spark, sf_dir)), FS, 16, 1.0, 2.0).select("a", "b", "k", r("coherence", 5).alias("coherence"), r("dwpli", 5).alias("dwpli"))
 
 
 @query()
 def recovered_lag(spark, sf_dir) -> DataFrame:
-    z = channels.frame_spectra(spectra.records(signal(spark, sf_dir).where("ch <= 6")), FS, 16, 0.5, 3.0)
-    return channels.recovered_lag(z, FS, 16).select("a", "b", r("lag_s", 5).alias("lag_s"))
+    return pairs.recovered_lag(spectra.records(signal(spark, sf_dir)), FS, 16, 0.5, 3.0).select("a", "b", r("lag_s", 5).alias("lag_s"))
 
 
-@query(f"""WITH {SIG}, ph AS (SELECT ch, i, 2 * pi() * x / 100 AS phase, count(*) OVER (PARTITION BY ch) AS n FROM sig WHERE ch <= 6), s AS (SELECT unnest(range(0, 10)) AS shift),
+@query(f"""WITH {SIG}, ph AS (SELECT ch, i, 2 * pi() * x / 100 AS phase, count(*) OVER (PARTITION BY ch) AS n FROM sig), s AS (SELECT unnest(range(0, 10)) AS shift),
  e AS (SELECT a.ch AS a, b.ch AS b, s.shift, sqrt(pow(sum(cos(a.phase - b.phase)), 2) + pow(sum(sin(a.phase - b.phase)), 2)) / count(*) AS v FROM ph a CROSS JOIN s JOIN ph b ON a.ch < b.ch AND b.i = (a.i + CAST(floor(s.shift * a.n / 10.0) AS BIGINT)) % a.n GROUP BY 1, 2, 3),
  o AS (SELECT a, b, v AS own FROM e WHERE shift = 0) SELECT e.a, e.b, round(max(own), 5) AS plv, round((sum(CASE WHEN shift > 0 AND v >= own THEN 1 ELSE 0 END) + 1) / 10.0, 4) AS p FROM e JOIN o ON e.a = o.a AND e.b = o.b GROUP BY 1, 2""")
 def phase_locking(spark, sf_dir) -> DataFrame:
-    ph = signal(spark, sf_dir).where("ch <= 6").select("ch", "i", (2 * math.pi * F.col("x") / 100).alias("phase"))
-    return channels.phase_locking(ph, 9).select("a", "b", r("plv", 5).alias("plv"), r("p", 4).alias("p"))
+    ph = signal(spark, sf_dir).select("ch", "i", (2 * math.pi * F.col("x") / 100).alias("x"))
+    return pairs.phase_locking(spectra.records(ph), 9).select("a", "b", r("plv", 5).alias("plv"), r("p", 4).alias("p"))
 
 
 @query()

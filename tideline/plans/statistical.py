@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.rng import Stream
-from tideline.operators import channels, gates, joins, samples, stats
+from tideline.operators import channels, gates, joins, pairs, samples, stats
 from tideline.plans.base import SIG, TIMED, Book, r, signal, table, timed
-from tideline.plans.spectral import _wide
 from tideline.sources import epochs, montage, params
 from tideline.streaming import segments
 
@@ -171,12 +170,13 @@ def nearest_event(spark, sf_dir) -> DataFrame:
     return joins.nearest_event(s, at, ["ch"]).select("ch", "t", "distance")
 
 
-@query(f"""WITH {TIMED}, c AS (SELECT type, event_id AS candidate, phase AS ca FROM timed WHERE event_id % 50 = 1), a AS (SELECT event_id AS id, type, phase FROM timed WHERE event_id % 5 = 0),
+@query(f"""WITH {TIMED}, c AS (SELECT type, event_id AS candidate, phase AS ca FROM timed WHERE event_id % 2 = 1), a AS (SELECT event_id AS id, type, phase FROM timed WHERE event_id % 2 = 0),
  d AS (SELECT id, abs(atan2(sin(phase - ca), cos(phase - ca))) AS distance, row_number() OVER (PARTITION BY id ORDER BY abs(atan2(sin(phase - ca), cos(phase - ca))), candidate) AS k FROM a JOIN c USING (type)) SELECT id, round(distance, 6) + 0.0 AS distance FROM d WHERE k = 1""")
 def nearest_angle(spark, sf_dir) -> DataFrame:
+    """Of every even event among all odd ones of its type."""
     t = timed(spark, sf_dir)
-    a = t.where("event_id % 5 = 0").select(F.col("event_id").alias("id"), "type", F.col("phase").alias("angle"))
-    c = t.where("event_id % 50 = 1").select("type", F.col("event_id").alias("candidate"), F.col("phase").alias("candidate_angle"))
+    a = t.where("event_id % 2 = 0").select(F.col("event_id").alias("id"), "type", F.col("phase").alias("angle"))
+    c = t.where("event_id % 2 = 1").select("type", F.col("event_id").alias("candidate"), F.col("phase").alias("candidate_angle"))
     return joins.nearest_angle(a, c, ["type"]).select("id", r("distance").alias("distance"))
 
 
@@ -209,12 +209,13 @@ def disjoint_holdout(spark, sf_dir) -> DataFrame:
     return d.where("doc_id % 2 = 0").intersect(d.where("doc_id % 2 = 1")).agg(F.count("*").alias("common"))
 
 
-@query("""WITH m AS (SELECT p_brand AS gate, CASE WHEN p_size % 2 = 0 THEN 'positive' ELSE 'null' END AS arm FROM part WHERE p_partkey % 47 = 0 GROUP BY 1, 2), l AS (SELECT p_brand AS gate, CASE WHEN p_size % 2 = 0 THEN 'positive' ELSE 'null' END AS arm FROM part WHERE p_partkey % 43 = 0 GROUP BY 1, 2)
+@query("""WITH m AS (SELECT p_brand AS gate, CASE WHEN p_size % 2 = 0 THEN 'positive' ELSE 'null' END AS arm FROM part GROUP BY 1, 2 HAVING max(p_size) >= 49), l AS (SELECT p_brand AS gate, CASE WHEN p_size % 2 = 0 THEN 'positive' ELSE 'null' END AS arm FROM part GROUP BY 1, 2 HAVING min(p_size) <= 2)
  SELECT gate, arm, 'not in the ledger' AS problem FROM m WHERE (gate, arm) NOT IN (SELECT (gate, arm) FROM l) UNION ALL SELECT gate, arm, 'no module' FROM l WHERE (gate, arm) NOT IN (SELECT (gate, arm) FROM m)
  UNION ALL SELECT gate, arm, 'no null arm' FROM m WHERE arm = 'positive' AND gate NOT IN (SELECT gate FROM m WHERE arm = 'null')""")
 def gate_preflight(spark, sf_dir) -> DataFrame:
     p = table(spark, sf_dir, "part").withColumns({"gate": F.col("p_brand"), "arm": F.when(F.col("p_size") % 2 == 0, "positive").otherwise("null")})
-    return gates.preflight(p.where("p_partkey % 43 = 0").select("gate", "arm").distinct(), p.where("p_partkey % 47 = 0").select("gate", "arm").distinct())
+    arms = p.groupBy("gate", "arm").agg(F.min("p_size").alias("lo"), F.max("p_size").alias("hi"))
+    return gates.preflight(arms.where("lo <= 2").select("gate", "arm"), arms.where("hi >= 49").select("gate", "arm"))
 
 
 _STATUS = "CASE o_orderstatus WHEN 'F' THEN 'PASS' WHEN 'O' THEN 'RECORD' ELSE CASE WHEN o_orderkey % 3 = 0 THEN 'FAIL' WHEN o_orderkey % 3 = 1 THEN 'SKIPPED' ELSE 'UNAVAILABLE' END END"
@@ -249,9 +250,9 @@ def gate_topography(spark, sf_dir) -> DataFrame:
     return gates.topography(best, spark.createDataFrame(_WANT, "generator string, channel string"))
 
 
-@query("WITH p AS (SELECT count(*) AS n FROM part WHERE p_size > 25 GROUP BY p_brand) SELECT CAST(n AS BIGINT) AS n FROM p UNION ALL SELECT NULL WHERE false")
+@query("SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY 1, 2 HAVING count(*) >= 2")
 def minimum_support(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "part").where("p_size > 25").groupBy("p_brand").agg(F.count("*").alias("n")).where("n >= 1").select("n")
+    return table(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.count("*").alias("n")).where("n >= 2")
 
 
 @query("SELECT p_type AS standing, count(*) AS n FROM part GROUP BY ROLLUP (p_type)")
@@ -334,5 +335,6 @@ def hourly_windows(spark, sf_dir) -> DataFrame:
 
 @query()
 def principal_shares(spark, sf_dir) -> DataFrame:
-    got = channels.rank_statistics(channels.covariances(_wide(spark, sf_dir), [f"e{k}" for k in range(6)]))
+    e = table(spark, sf_dir, "embeddings").select(F.lit(0).alias("all"), "embedding")
+    got = channels.rank_statistics(pairs.covariances(e, "embedding", ["all"]))
     return spark.createDataFrame([(got["n95"], got["n99"], round(got["first"], 5))], "n95 int, n99 int, first double")

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 # The standard electrodes on a unit circle, x to the right ear and y to the nose; then the mastoids.
 PLACES = [
-    ("Fp1", -0.31, 0.95), ("Fp2", 0.31, 0.95), ("F7", -0.81, 0.59), ("F3", -0.55, 0.67), ("Fz", 0.0, 0.71), ("F4", 0.55, 0.67), ("F8", 0.81, 0.59),
-    ("T3", -1.0, 0.0), ("C3", -0.71, 0.0), ("Cz", 0.0, 0.0), ("C4", 0.71, 0.0), ("T4", 1.0, 0.0),
-    ("T5", -0.81, -0.59), ("P3", -0.55, -0.67), ("Pz", 0.0, -0.71), ("P4", 0.55, -0.67), ("T6", 0.81, -0.59), ("O1", -0.31, -0.95), ("O2", 0.31, -0.95),
-    ("A1", -1.2, -0.1), ("A2", 1.2, -0.1),
+    ("Fp1", -0.31, 0.95), ("Fp2", 0.31, 0.95), ("F7", -0.81, 0.59), ("F3", -0.45, 0.51), ("Fz", 0.0, 0.5), ("F4", 0.45, 0.51), ("F8", 0.81, 0.59),
+    ("T3", -1.0, 0.0), ("C3", -0.5, 0.0), ("Cz", 0.0, 0.0), ("C4", 0.5, 0.0), ("T4", 1.0, 0.0),
+    ("T5", -0.81, -0.59), ("P3", -0.45, -0.51), ("Pz", 0.0, -0.5), ("P4", 0.45, -0.51), ("T6", 0.81, -0.59), ("O1", -0.31, -0.95), ("O2", 0.31, -0.95),
+    ("A1", -1.12, 0.08), ("A2", 1.12, 0.08),
 ]
 SCALP = [p[0] for p in PLACES if p[0] not in ("A1", "A2")]
 #: Centre of each generator's patch; weights fall off as a bell around it. No head model is behind them.
