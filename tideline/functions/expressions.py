@@ -71,12 +71,12 @@ def raised_cosine(a: Column, b: Column, t: Column) -> Column:
 
 
 def belt(t: Column, inhale: Column, inhale_pause: Column, exhale: Column, start: Column, depth: Column) -> Column:
-    """Belt height at time t of a breath: up, held, down to 0, held."""
+    """Belt height at time t of a breath: up from -start (the breath before's depth), held, down to -depth, held."""
     return (
-        F.when(t < inhale, raised_cosine(start, depth, t / inhale))
+        F.when(t < inhale, raised_cosine(-start, depth, t / inhale))
         .when(t < inhale + inhale_pause, depth)
-        .when(t < inhale + inhale_pause + exhale, raised_cosine(depth, F.lit(0.0), (t - inhale - inhale_pause) / exhale))
-        .otherwise(F.lit(0.0))
+        .when(t < inhale + inhale_pause + exhale, raised_cosine(depth, -depth, (t - inhale - inhale_pause) / exhale))
+        .otherwise(-depth)
     )
 
 

@@ -191,12 +191,12 @@ def _cos01(a: str, b: str, t: str) -> str:
 
 
 @query(f"""WITH {TIMED}, b AS (SELECT event_id, (event_id % 17) * 0.25 AS t, 1.0 + x / 500 AS dep FROM timed)
- SELECT event_id, round(CASE WHEN t < 1.5 THEN {_cos01('0.0', 'dep', 't / 1.5')} WHEN t < 1.7 THEN dep WHEN t < 3.7 THEN {_cos01('dep', '0.0', '(t - 1.5 - 0.2) / 2.0')} ELSE 0 END, 6) AS height,
+ SELECT event_id, round(CASE WHEN t < 1.5 THEN {_cos01('(-0.75)', 'dep', 't / 1.5')} WHEN t < 1.7 THEN dep WHEN t < 3.7 THEN {_cos01('dep', '(-dep)', '(t - 1.5 - 0.2) / 2.0')} ELSE -dep END, 6) AS height,
  round(CASE WHEN t < 1.6 THEN pi() * (t / 1.6 - 1) ELSE pi() * (t - 1.6) / (4.25 - 1.6) END, 6) + 0.0 AS phase FROM b""")
 def breath_belt(spark, sf_dir) -> DataFrame:
     b = timed(spark, sf_dir).select("event_id", ((F.col("event_id") % 17) * 0.25).alias("t"), (1.0 + F.col("x") / 500).alias("dep"))
     one = lambda v: F.lit(float(v))
-    return b.select("event_id", r(X.belt(F.col("t"), one(1.5), one(0.2), one(2.0), one(0.0), F.col("dep"))).alias("height"), r(X.breath_phase(F.col("t"), one(1.5), one(0.2), one(4.25))).alias("phase"))
+    return b.select("event_id", r(X.belt(F.col("t"), one(1.5), one(0.2), one(2.0), one(0.75), F.col("dep"))).alias("height"), r(X.breath_phase(F.col("t"), one(1.5), one(0.2), one(4.25))).alias("phase"))
 
 
 @query(f"""WITH {TIMED}, b AS (SELECT event_id, (event_id % 40) * 0.05 AS t, x FROM timed), u AS (SELECT *, t / 1.2 AS u, t / 1.8 AS v FROM b)

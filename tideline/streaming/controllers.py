@@ -38,7 +38,8 @@ def next_breath(state: dict, fs: float, p: dict) -> dict:
     active = max(4, total - sum(held))
     inhale = round(active * p["ie"] / (1 + p["ie"]))
     before = state["breath"]
-    made = {"n": total, "inhale": inhale, "inhale_pause": held[0], "exhale": active - inhale, "start": 0.0 if before is None else 0.0, "depth": log(p["depth_cv"], deep)}
+    made = {"n": total, "inhale": inhale, "inhale_pause": held[0], "exhale": active - inhale, "depth": log(p["depth_cv"], deep)}
+    made["start"] = made["depth"] if before is None else before["depth"]
     state["made"] += 1
     return made
 
@@ -53,13 +54,13 @@ def breathe(state: dict, n: int, fs: float = 256, params: dict | None = None) ->
             onsets.append({"onset": s["at"], **s["breath"]})
         b, t = s["breath"], s["left"]
         if t < b["inhale"]:
-            belt.append(b["depth"] * (0.5 - 0.5 * math.cos(math.pi * t / max(1, b["inhale"]))))
+            belt.append(-b["start"] + (b["depth"] + b["start"]) * (0.5 - 0.5 * math.cos(math.pi * t / max(1, b["inhale"]))))
         elif t < b["inhale"] + b["inhale_pause"]:
             belt.append(b["depth"])
         elif t < b["inhale"] + b["inhale_pause"] + b["exhale"]:
-            belt.append(b["depth"] * (0.5 + 0.5 * math.cos(math.pi * (t - b["inhale"] - b["inhale_pause"]) / max(1, b["exhale"]))))
+            belt.append(b["depth"] * math.cos(math.pi * (t - b["inhale"] - b["inhale_pause"]) / max(1, b["exhale"])))
         else:
-            belt.append(0.0)
+            belt.append(-b["depth"])
         peak = b["inhale"] + b["inhale_pause"] / 2
         phase.append(math.pi * (t / peak - 1) if t < peak else math.pi * (t - peak) / (b["n"] - peak))
         s["left"], s["at"] = t + 1, s["at"] + 1
@@ -107,8 +108,8 @@ def beat(state: dict, n: int, phase, fs: float = 256, depth: float = 1.0, params
     return s, ecg, times
 
 
-def infra_coefficients(p: dict) -> tuple[list[float], list[float], list[float], float]:
-    """Decay and weight of each pole, the two low-passes' rates, and the factor to unit variance, from the impulse's energy."""
+def infra_coefficients(p: dict) -> tuple[list[float], list[float], list[float], float, float]:
+    """Decay and weight of each pole, the two low-passes' rates, and from the impulse's energy the factor to unit variance and the correlation from tick to tick."""
     ratio = (p["hi"] / p["lo"]) ** (1 / (p["poles"] - 1))
     f = [p["lo"] * ratio**i for i in range(p["poles"])]
     decay = [math.exp(-2 * math.pi * x / p["tick_hz"]) for x in f]
@@ -116,15 +117,16 @@ def infra_coefficients(p: dict) -> tuple[list[float], list[float], list[float],
     norm = math.sqrt(sum(w * w for w in weights))
     weights = [w / norm for w in weights]
     rates = [1 - math.exp(-2 * math.pi * c / p["tick_hz"]) for c in (p["hi"], p["lo"])]
-    energy = 0.0
+    energy = beside = 0.0
     for j in range(p["poles"]):
-        z, low = [0.0] * p["poles"], [0.0] * 4
+        z, low, last = [0.0] * p["poles"], [0.0] * 4, 0.0
         for k in range(int(40 * p["tick_hz"] / p["lo"] / 8)):
             z = [d * v for d, v in zip(decay, z, strict=True)]
             if k == 0:
                 z[j] += math.sqrt(1 - decay[j] ** 2)
-            energy += _infra_out(z, weights, rates, low) ** 2
-    return decay, weights, rates, 1 / math.sqrt(energy)
+            out = _infra_out(z, weights, rates, low)
+            energy, beside, last = energy + out * out, beside + last * out, out
+    return decay, weights, rates, 1 / math.sqrt(energy), beside / energy
 
 
 def _infra_out(z: list[float], weights: list[float], rates: list[float], low: list[float]) -> float:
@@ -146,7 +148,7 @@ def infra_state(seed: int, params: dict | None = None, name: str = "infraslow")
 
 
 def _infra_tick(s: dict, co) -> None:
-    decay, weights, rates, scale = co
+    decay, weights, rates, scale, _ = co
     rng = Stream.restore(s["rng"])
     s["z"] = [d * v + math.sqrt(1 - d * d) * rng.normal() for d, v in zip(decay, s["z"], strict=True)]
     s["rng"] = rng.save()
@@ -155,13 +157,14 @@ def _infra_tick(s: dict, co) -> None:
 
 
 def drift(state: dict, n: int, fs: float = 256, params: dict | None = None) -> tuple[dict, list[float]]:
-    """(state, drive) of the next n samples: ticks joined by straight lines, scaled back to the ticks' variance."""
+    """(state, drive) of the next n samples: ticks joined by straight lines, scaled so that their mean variance is the ticks'."""
     p, s = INFRA | (params or {}), {**state, "rng": list(state["rng"]), "low": list(state["low"])}
     co, per, out = infra_coefficients(p), round(fs / p["tick_hz"]), []
+    scale = math.sqrt(per / sum((1 - u) ** 2 + u * u + 2 * u * (1 - u) * co[4] for u in (k / per for k in range(per))))
     for _ in range(n):
         u = s["at"] % per / per
         if u == 0 and s["at"]:
             _infra_tick(s, co)
-        out.append(((1 - u) * s["a"] + u * s["b"]) / math.sqrt((1 - u) ** 2 + u**2 + 2 * u * (1 - u) * 0.97))
+        out.append(((1 - u) * s["a"] + u * s["b"]) * scale)
         s["at"] += 1
     return s, out
