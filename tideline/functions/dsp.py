@@ -218,15 +218,48 @@ def tilted_over_time(x, delta, fs: float, lo: float, hi: float, block: int, leve
 
 
 def lz76(symbols) -> int:
-    """Phrases of the exhaustive history: each is the shortest string that doesn't occur starting before it; the last may be unfinished."""
-    s = bytes(int(v) for v in symbols)
-    n, at, count = len(s), 0, 0
+    """Phrases of the exhaustive history: each is the shortest string that doesn't occur starting before it; the last may be unfinished.
+
+    A suffix automaton of the whole record knows where every string ends first, so a phrase is a walk from the root that
+    stops at the string whose first end is its own: time grows with the record's length.
+    """
+    s = [int(v) for v in symbols]
+    steps: list[dict[int, int]] = [{}]
+    link, length, ends, last = [-1], [0], [-1], 0
+    for i, c in enumerate(s):
+        new = len(steps)
+        steps.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        ends.append(i)
+        p = last
+        while p >= 0 and c not in steps[p]:
+            steps[p][c] = new
+            p = link[p]
+        if p >= 0:
+            q = steps[p][c]
+            if length[q] == length[p] + 1:
+                link[new] = q
+            else:
+                copy = len(steps)
+                steps.append(dict(steps[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                ends.append(ends[q])
+                while p >= 0 and steps[p].get(c) == q:
+                    steps[p][c] = copy
+                    p = link[p]
+                link[q] = link[new] = copy
+        last = new
+    at, count, n = 0, 0, len(s)
     while at < n:
-        size = 1
-        while at + size <= n and s.find(s[at : at + size], 0, at + size - 1) >= 0:
-            size += 1
+        node = 0
+        while at < n:
+            node = steps[node][s[at]]
+            at += 1
+            if ends[node] == at - 1:  # its first occurrence is this one
+                break
         count += 1
-        at += size
     return count
 
 
