@@ -16,13 +16,15 @@ ORACLE_SQL = None
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier, fitted on the labels, accepts."""
+    """The documents that the classifier, fitted on the labels, accepts. A null or empty text is judged by its shape alone; repeated
+    rows share one judgement; without labels, or of an empty table, every text has the same odds."""
     model = quality.learn(docs, ratings(spark, sf_dir))
     return quality.score(docs, model).where(quality.accepted()).select(docs.columns)
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without lines that repeat earlier ones; n_chars follows the text."""
+    """The documents without lines that repeat earlier ones; n_chars follows the text. Null texts stay null, with a null n_chars;
+    documents whose lines all go stay with an empty text; repeated rows share one decision; an empty table gives no row."""
     cut = lines.dedup_lines(docs, Scratch(spark, "pipeline-lines"))
     return cut.withColumn("n_chars", F.char_length("text").cast("bigint")).select(docs.columns)
 
@@ -41,12 +43,14 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mixture takes them; every one at least once."""
+    """The documents as often as the mixture takes them; every one at least once, so repeated rows stay repeated. Null sources are one
+    source; null and empty texts count as a token; an empty table gives no row."""
     return mixing.mix(docs, Scratch(spark, "pipeline-mixing")).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences, with the ids."""
+    """Token sequences, with the ids. Null and empty texts have their end id alone; repeated rows are packed as often; an empty table
+    gives no row."""
     return packing.pack(docs, include_ids=True)
 
 
