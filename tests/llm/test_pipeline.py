@@ -76,3 +76,15 @@ def test_stages(spark, corpus, tmp_path):  # noqa: F811
 
     whole = corpus_pipeline.run(spark, sf_dir)
     assert whole.agg(F.sum("length")).first()[0] == sum(p["length"] for p in pieces)
+
+
+def test_empty_tables_and_odd_rows_go_through_every_stage(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for rows, name in (([], "none"), ([r for r in ODD if r[0] in (2, 3, None)] * 2, "odd")):
+        docs = spark.createDataFrame(rows, COLUMNS).withColumn("_row", F.lit(1)).withColumn("tokens", F.lit("x"))
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            path = str(tmp_path / f"{name}{k}")
+            stage(spark, docs, str(tmp_path)).write.parquet(path)
+            columns, docs = docs.columns, spark.read.parquet(path)
+            assert k == 4 or docs.columns == columns
+            assert rows or docs.count() == 0
