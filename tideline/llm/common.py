@@ -86,6 +86,11 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def named(*columns: str) -> list[Column]:
+    """Columns by their whole names, dots and backticks included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def iterated(schema: str):
     """A pandas function over an iterator of batches."""
     return lambda f: F.pandas_udf(f, schema, F.PandasUDFType.SCALAR_ITER)

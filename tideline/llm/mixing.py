@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Scratch, free
+from .common import named as columns_named
 
 #: Share of the sources' largest entropy to meet, copies of a token that are allowed on average, and tokens a block has.
 ENTROPY, REPETITION, BLOCK = 0.97, 2.0, 1 << 16
@@ -95,22 +96,20 @@ def mix(docs: DataFrame, scratch: Scratch, entropy: float | None = ENTROPY, repe
 
     Null sources make one source; null and empty texts count as one token; long texts are counted whole; an empty table
     gives no row. Repeated rows would share a hash, and so a block: where copies fill more than a block, they are dealt by
-    their place in the table too, for which a table that comes from a shuffle is written first. Extra columns are kept
+    their place in the table too, for which the table is written first. Extra columns are kept
     whatever their names, those named as the added ones replaced.
     """
-    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
-        docs = scratch.save(docs, "input")  # a place that a repeated task finds again
     src, epochs_, blocks_, own_, turn_, before_, budget_, place_, many_, salt_, part_ = free(docs, "_source", "_epochs", "_blocks", "_own", "_turn", "_before", "_budget", "_place", "_many", "_salt", "_part")
     named = [c for c in docs.columns if c.lower() not in ("tokens", "weight", "block", "position", "copy")]
-    own = F.xxhash64(*[F.col(c) for c in named if not isinstance(docs.schema[c].dataType, _unhashable())], F.lit(seed))
-    keyed = docs.select(*named, token_count().alias("tokens"), own.alias(own_), F.monotonically_increasing_id().alias(place_))
+    own = F.xxhash64(*columns_named(*[c for c in named if not isinstance(docs.schema[c].dataType, _unhashable())]), F.lit(seed))
+    keyed = docs.select(*columns_named(*named), token_count().alias("tokens"), own.alias(own_))
     crowds = keyed.groupBy(own_).agg(F.sum("tokens").alias("n"), F.count("*").alias("rows")).where((F.col("n") > block) & (F.col("rows") > 1)).select(F.col(own_).alias(many_))
     crowds = scratch.save(crowds, "crowds")
     if crowds.limit(1).count():
         few = crowds.limit(SMALL + 1).count() <= SMALL
-        met = keyed.join(F.broadcast(crowds) if few else crowds, F.col(own_) == F.col(many_), "left")
-        keyed = met.withColumn(own_, F.when(F.col(many_).isNull(), F.col(own_)).otherwise(F.xxhash64(own_, place_))).drop(many_)
-    keyed = keyed.drop(place_)
+        placed_rows = scratch.save(keyed, "input").withColumn(place_, F.monotonically_increasing_id())  # a place that a repeated task finds again
+        met = placed_rows.join(F.broadcast(crowds) if few else crowds, F.col(own_) == F.col(many_), "left")
+        keyed = met.withColumn(own_, F.when(F.col(many_).isNull(), F.col(own_)).otherwise(F.xxhash64(own_, place_))).drop(many_, place_)
     totals = docs.select("source", token_count().alias("tokens"))
     planned = plan(totals, scratch, entropy, repetition, block).select(F.col("source").alias(src), "weight", F.col("epochs").alias(epochs_), F.col("blocks").alias(blocks_))
     if planned.limit(SMALL + 1).count() <= SMALL:

@@ -68,7 +68,7 @@ def accumulate(n: int, postings: dict, rows, terms, weights, scores) -> None:
 
     order = np.argsort(terms, kind="stable")
     met, starts = np.unique(terms[order], return_index=True)
-    for t, part in zip(met.tolist(), np.split(order, starts[1:]), strict=True):
+    for t, part in zip(met.tolist(), np.split(order, starts)[1:], strict=True):
         if t not in postings:
             continue
         at, w = postings[t]
@@ -131,7 +131,7 @@ def top_k(vectors: DataFrame, queries: Column, scratch: Scratch, k: int = 10, co
             for b in batch.itertuples():
                 order = np.argsort(b.terms, kind="stable")
                 terms, starts = np.unique(b.terms[order], return_index=True)
-                postings = {t: (b.rows[p], b.weights[p]) for t, p in zip(terms.tolist(), np.split(order, starts[1:]), strict=True)}
+                postings = {t: (b.rows[p], b.weights[p]) for t, p in zip(terms.tolist(), np.split(order, starts)[1:], strict=True)}
                 q_order = np.argsort(b.q_rows, kind="stable")
                 q_rows, q_terms, q_weights = b.q_rows[q_order], b.q_terms[q_order], b.q_weights[q_order]
                 for at in range(0, len(b.q_ids), AT_ONCE):
