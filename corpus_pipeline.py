@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import lines, mixing, packing, quality, simhash
-from tideline.llm.common import Scratch, table
+from tideline.llm.common import Scratch, named, table
 from tideline.llm.queries import ratings
 
 #: Words a shingle has in the near-duplicate stage, and bits of 64 in which fingerprints of candidates differ at most: a fifth.
@@ -19,14 +19,14 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier, fitted on the labels, accepts. A null or empty text is judged by its shape alone; repeated
     rows share one judgement; without labels, or of an empty table, every text has the same odds."""
     model = quality.learn(docs, ratings(spark, sf_dir))
-    return quality.score(docs, model).where(quality.accepted()).select(docs.columns)
+    return quality.score(docs, model).where(quality.accepted()).select(*named(*docs.columns))
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without lines that repeat earlier ones; n_chars follows the text. Null texts stay null, with a null n_chars;
     documents whose lines all go stay with an empty text; repeated rows share one decision; an empty table gives no row."""
     cut = lines.dedup_lines(docs, Scratch(spark, "pipeline-lines"))
-    return cut.withColumn("n_chars", F.char_length("text").cast("bigint")).select(docs.columns)
+    return cut.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*named(*docs.columns))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,15 +37,15 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
     stays = docs.join(kept, docs["doc_id"].cast("bigint").eqNullSafe(kept["_kept"]))
     if kept.where("_rows > 1 and _kept is not null").limit(1).count():
-        named = stays.where("_kept is not null").dropDuplicates(["_kept"])
-        stays = named.unionByName(stays.where("_kept is null"))
-    return stays.select(docs.columns)
+        once = stays.where("_kept is not null").dropDuplicates(["_kept"])
+        stays = once.unionByName(stays.where("_kept is null"))
+    return stays.select(*named(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mixture takes them; every one at least once, so repeated rows stay repeated. Null sources are one
     source; null and empty texts count as a token; an empty table gives no row."""
-    return mixing.mix(docs, Scratch(spark, "pipeline-mixing")).select(docs.columns)
+    return mixing.mix(docs, Scratch(spark, "pipeline-mixing")).select(*named(*docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
