@@ -247,6 +247,19 @@ def test_top_k(spark, small, monkeypatch):
     assert topk.top_k(df.limit(0), F.lit(True), Scratch(spark, "t"), small=small).count() == 0
 
 
+@pytest.mark.parametrize("small", [topk.SMALL, 0])
+@pytest.mark.parametrize("vectors", [[[0.0, 0.0]] * 3, [[]] * 4, [[0.0]] * 70 + [[], [1.0, 2.0]], [[0.0005, 0.0]] * 66])
+def test_top_k_of_blocks_without_a_nonzero_component(spark, small, vectors):
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.lit(True), Scratch(spark, "t"), small=small).collect()
+    whole = [[int(np.floor(1024 * x)) for x in v] for v in vectors]
+    want = []
+    for q, v in enumerate(whole):
+        best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in enumerate(whole) if i != q)[:10]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, got)) == want
+
+
 def brute_simhash(text):
     import re
 

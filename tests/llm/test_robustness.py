@@ -27,6 +27,19 @@ def test_hidden_names_of_other_columns_are_kept(spark):
         assert all(r[c] == 9 for r in rows for c in HIDDEN)
 
 
+def test_dotted_and_quoted_names_are_kept(spark):
+    import corpus_pipeline
+
+    odd = {"a.b": F.lit(1), "c`d": F.lit(2), "text.x": F.lit(3)}
+    docs = spark.createDataFrame([(i, f"the text number {i} of a few good ones", "en", f"s{i % 2}", 9) for i in range(6)], COLUMNS).withColumns(odd)
+    for df in [lines.dedup_lines(docs, Scratch(spark, "t")), spans.dedup_spans(docs, Scratch(spark, "t")), mixing.mix(docs, Scratch(spark, "t")), quality.score(docs, quality.fit([])), langid.predict(docs, langid.learn(docs))]:
+        assert set(odd) <= set(df.columns) and df.count() >= 6
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns, name
+        assert out.count() >= 1, name
+
+
 def test_copies_of_a_row_are_dealt_over_blocks(spark):
     rows = [(1, "a b c d e", "en", "hot", 1)] * 4000 + [(i, f"x{i} y", "en", f"s{i % 2}", 1) for i in range(2, 40)]
     got = mixing.mix(spark.createDataFrame(rows, COLUMNS).repartition(3), Scratch(spark, "t"), block=1000).groupBy("doc_id", "block").count().collect()
