@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, mixing, packing, quality, simhash, spans, token_files, topk, winnowing
+from . import langid, lines, mixing, packing, quality, ranked, simhash, spans, token_files, topk, toxicity, winnowing
 from .common import Scratch, table
 
 
@@ -61,13 +61,26 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "ranked")
+    index = ranked.build(table(spark, sf_dir, "documents"), scratch)
+    return ranked.search(index, table(spark, sf_dir, "benchmark"), scratch)
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    net = toxicity.learn(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.score(docs.withColumn("held_out", held_out), net).select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_packing, op2_line_dedup, op3_token_files, op4_mixing, op5_topk, op6_simhash, op7_quality, op8_substring_dedup, op9_winnowing, op10_language]
+    own = [op1_packing, op2_line_dedup, op3_token_files, op4_mixing, op5_topk, op6_simhash, op7_quality, op8_substring_dedup, op9_winnowing, op10_language, op11_ranked_search, op13_toxicity]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op5_topk": OP5_SQL, "op8_substring_dedup": OP8_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op5_topk": OP5_SQL, "op8_substring_dedup": OP8_SQL, "op11_ranked_search": OP11_SQL}
 
 
 OP5_SQL = """
@@ -86,6 +99,21 @@ WITH good AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+OP11_SQL = r"""
+WITH words AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+d AS (SELECT row, doc_id, len(ws) AS n, unnest(list_transform(ws, lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS term FROM words WHERE len(ws) > 0),
+total AS (SELECT count(DISTINCT row) AS docs, count(*) AS terms FROM d),
+tf AS (SELECT row, doc_id, n, term, count(*) AS tf FROM d GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf, total GROUP BY term, docs),
+q AS (SELECT own, item_id, term, count(*) AS qtf FROM (
+  SELECT own, item_id, unnest(list_transform(ws, lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS term
+  FROM (SELECT row_number() OVER () AS own, item_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM benchmark)) GROUP BY ALL),
+scored AS (SELECT own, item_id, row, doc_id, CAST(sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term), total GROUP BY own, item_id, row, doc_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY own ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
 l AS (SELECT doc_id, unnest(range(len(parts))) AS line, unnest(parts) AS raw FROM d),
