@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, mixing, packing, quality, ranked, simhash, spans, token_files, topk, toxicity, winnowing
+from . import langid, lines, mixing, packing, quality, ranked, simhash, spans, token_files, topk, toxicity, trie, winnowing
 from .common import Scratch, table
 
 
@@ -67,6 +67,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(index, table(spark, sf_dir, "benchmark"), scratch)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"), Scratch(spark, "trie"))
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
@@ -75,12 +79,12 @@ def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_packing, op2_line_dedup, op3_token_files, op4_mixing, op5_topk, op6_simhash, op7_quality, op8_substring_dedup, op9_winnowing, op10_language, op11_ranked_search, op13_toxicity]
+    own = [op1_packing, op2_line_dedup, op3_token_files, op4_mixing, op5_topk, op6_simhash, op7_quality, op8_substring_dedup, op9_winnowing, op10_language, op11_ranked_search, op12_prefix_trie, op13_toxicity]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op5_topk": OP5_SQL, "op8_substring_dedup": OP8_SQL, "op11_ranked_search": OP11_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op5_topk": OP5_SQL, "op8_substring_dedup": OP8_SQL, "op11_ranked_search": OP11_SQL, "op12_prefix_trie": OP12_SQL}
 
 
 OP5_SQL = """
@@ -114,6 +118,29 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY own ORDER BY score DES
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 """
 
+OP12_SQL = r"""
+WITH t AS (SELECT conv_id AS c, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS BIGINT) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (SELECT c, list_reduce(list_transform(range(1, length(s) + 1), lambda i: CAST(ascii(substr(s, CAST(i AS INTEGER), 1)) AS BIGINT)),
+    lambda r, b: list_reduce(range(8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(r, b)), CAST(4294967295 AS BIGINT)) AS r
+  FROM (SELECT DISTINCT c, CAST(c AS VARCHAR) AS s FROM t)),
+h AS (SELECT c, c - c % 5 AS base, xor(r, CAST(4294967295 AS BIGINT)) % 9 AS h FROM crc),
+rebuilt AS (
+  SELECT h.c, 0 AS part, t.pos, role, text FROM h JOIN t ON t.c = h.base AND t.pos < h.h
+  UNION ALL SELECT h.c, 1, t.pos, role, text FROM h JOIN t ON t.c = h.c AND t.pos >= h.h),
+n AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS d, role, text FROM rebuilt),
+p AS (SELECT c, d, text, md5(string_agg(concat(length(role), ':', role, length(text), ':', text), '') OVER (PARTITION BY c ORDER BY d)) AS k FROM n
+  UNION ALL SELECT c, 0, '', 'root' FROM h),
+len AS (SELECT c, max(d) AS len FROM p GROUP BY c),
+node AS (SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, strlen(any_value(text)) AS bytes FROM p GROUP BY k, d),
+up AS (SELECT DISTINCT x.k, x.d, y.k AS pk FROM p x JOIN p y ON x.c = y.c AND y.d = x.d - 1),
+kids AS (SELECT pk, count(*) AS n_children FROM up GROUP BY pk),
+own AS (SELECT node.*, coalesce(n_children, 0) AS n_children, parent.conv_id AS parent_conv_id FROM node LEFT JOIN kids ON kids.pk = node.k LEFT JOIN up ON up.k = node.k AND up.d = node.d LEFT JOIN node parent ON parent.k = up.pk),
+sub AS (SELECT a.k, a.d, CAST(sum(CASE WHEN u.n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum((u.n_convs - 1) * u.bytes) AS BIGINT) AS saved_tokens FROM own u JOIN p a ON a.c = u.conv_id AND a.d <= u.d GROUP BY a.k, a.d),
+ends AS (SELECT p.k, p.d, string_agg(CAST(p.c AS VARCHAR), ',' ORDER BY p.c) AS ids FROM p JOIN len ON len.c = p.c AND len.len = p.d GROUP BY p.k, p.d)
+SELECT conv_id, CAST(own.d AS BIGINT) AS depth, parent_conv_id, CAST(n_convs AS BIGINT) AS n_convs, CAST(n_children AS BIGINT) AS n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM own JOIN sub ON sub.k = own.k AND sub.d = own.d LEFT JOIN ends ON ends.k = own.k AND ends.d = own.d
+"""
+
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
 l AS (SELECT doc_id, unnest(range(len(parts))) AS line, unnest(parts) AS raw FROM d),
