@@ -283,3 +283,98 @@ def shuffled_complexity(symbols, parse, rng, times: int = 5) -> float:
     """Mean complexity of so many shuffles."""
     s = np.array(symbols)
     return float(np.mean([parse(s[rng.permutation(len(s))]) for _ in range(times)])) if len(s) else 0.0
+
+
+class Cascade:
+    """Second-order sections (b0, b1, b2, a1, a2) in a row as one linear system: state -> A state + B x, y = C state + D x.
+
+    Runs in blocks of BLOCK samples: a block's output is its own response, a product with the impulse response's matrix, plus
+    that of the state before it, so Python takes one step a block and section.
+    """
+
+    BLOCK = 64
+
+    def __init__(self, sections):
+        self.size = 2 * len(sections)
+        a, b, c, d = np.zeros((self.size, self.size)), np.zeros(self.size), np.zeros(self.size), 1.0
+        for n, (b0, b1, b2, a1, a2) in enumerate(sections):  # the section's input is c . state + d x of those before it
+            s = 2 * n
+            own = np.array([b1 - a1 * b0, b2 - a2 * b0])
+            a[s : s + 2] = own[:, None] * c[None]
+            a[s, s], a[s, s + 1], a[s + 1, s] = a[s, s] - a1, a[s, s + 1] + 1, a[s + 1, s] - a2
+            b[s : s + 2] = own * d
+            c, d = b0 * c, b0 * d
+            c[s] += 1
+        # Poles near 1 make this form's powers large; as a turn and a decay, a section's state keeps its digits.
+        change = np.eye(self.size)
+        for n, (*_, a1, a2) in enumerate(sections):
+            if a1 * a1 < 4 * a2:
+                pole = complex(-a1 / 2, math.sqrt(a2 - a1 * a1 / 4))
+                v = np.array([1, pole + a1])
+                change[2 * n : 2 * n + 2, 2 * n : 2 * n + 2] = np.stack([v.real, v.imag], 1)
+        back = np.linalg.inv(change)
+        self.a, self.b, self.c, self.d = back @ a @ change, back @ b, c @ change, d
+        a, b, c = self.a, self.b, self.c
+        for n, (*_, a1, a2) in enumerate(sections):
+            if a1 * a1 < 4 * a2:
+                re, im = -a1 / 2, math.sqrt(a2 - a1 * a1 / 4)
+                a[2 * n : 2 * n + 2, 2 * n : 2 * n + 2] = [[re, im], [-im, re]]
+        powers = [np.eye(self.size)]
+        for _ in range(self.BLOCK):
+            powers.append(a @ powers[-1])
+        self.seen = np.stack([c @ p for p in powers[:-1]])  # a block's outputs by the state before it
+        impulse = np.r_[d, self.seen[:-1] @ b]
+        at = np.arange(self.BLOCK)[:, None] - np.arange(self.BLOCK)[None]
+        self.own = np.where(at >= 0, impulse[np.maximum(at, 0)], 0.0)
+        self.reach = np.stack([powers[self.BLOCK - 1 - k] @ b for k in range(self.BLOCK)])  # the state after a block by its inputs
+        self.over = powers[self.BLOCK]
+
+    def run(self, x, state=None):
+        """(outputs, end state) from a start state, or from rest."""
+        n, state = len(x), np.zeros(self.size) if state is None else state
+        whole = n // self.BLOCK
+        blocks = np.reshape(x[: whole * self.BLOCK], (whole, self.BLOCK))
+        inputs, states = blocks @ self.reach, np.empty((whole, self.size))
+        for k in range(whole):
+            states[k] = state
+            state = self.over @ state + inputs[k]
+        out = [(blocks @ self.own.T + states @ self.seen.T).ravel()]
+        rest = np.asarray(x[whole * self.BLOCK :], float)
+        if len(rest):
+            out.append(self.own[: len(rest), : len(rest)] @ rest + self.seen[: len(rest)] @ state)
+            for v in rest:
+                state = self.a @ state + self.b * v
+        return np.concatenate(out), state
+
+    def free(self, n: int):
+        """Outputs of n samples of silence by the start state (n x states)."""
+        out, power = [], np.eye(self.size)
+        for _ in range(0, n, self.BLOCK):
+            out.append(self.seen @ power)
+            power = self.over @ power
+        return np.concatenate(out)[:n]
+
+    def settled(self):
+        """The state in which an input of 1 has always been there."""
+        return np.linalg.solve(np.eye(self.size) - self.a, self.b)
+
+
+def butterworth_bandpass(order: int, low: float, high: float, fs: float) -> list[tuple]:
+    """`order` second-order sections of a Butterworth band-pass: the analogue low-pass's poles moved to the band, then the bilinear transform.
+
+    Zeros lie at 1 and -1, one of each a section, and sections share the gain.
+    """
+    if not 0 < low < high < fs / 2:
+        raise ValueError("the band must lie between 0 and half the sampling rate")
+    w = 2 * fs * np.tan(np.pi * np.array([low, high]) / fs)
+    width, centre = w[1] - w[0], np.sqrt(w[0] * w[1])
+    poles = np.exp(1j * np.pi * (2 * np.arange(1, order + 1) + order - 1) / (2 * order)) * width / 2
+    root = np.sqrt(poles**2 - centre**2)
+    analogue = np.r_[poles + root, poles - root]
+    digital = (2 * fs + analogue) / (2 * fs - analogue)
+    gain = (width**order * (2 * fs) ** order / np.prod(2 * fs - analogue)).real
+    each = np.sign(gain) * abs(gain) ** (1 / order)
+    upper = digital[digital.imag > 1e-12]
+    real = np.sort(digital[np.abs(digital.imag) <= 1e-12].real)
+    pairs = [(-2 * p.real, abs(p) ** 2) for p in upper] + [(-(a + b), a * b) for a, b in zip(real[::2], real[1::2], strict=True)]
+    return [(float(each), 0.0, -float(each), float(a1), float(a2)) for a1, a2 in sorted(pairs, key=lambda p: p[1])]
