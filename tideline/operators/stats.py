@@ -6,8 +6,10 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tideline.functions.expressions import exclusive_quantile
+from tideline.sources.written import written
 
 
 def moments(df: DataFrame, keys: list[str], x: str) -> DataFrame:
@@ -130,3 +132,29 @@ def analytic_slope(chi: Column, knee: Column, lo: float, hi: float, points: int
     sxx = sum((x - mean) ** 2 for x in xs)
     grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.lit(a) + F.lit((b - a) / (points - 1)) * i)
     return F.aggregate(F.transform(grid, lambda x: (x - mean) * F.log10(knee + F.pow(F.lit(10.0), x * chi))), F.lit(0.0), lambda s, t: s + t) / F.lit(sxx)
+
+
+def medians(values: DataFrame, buckets: int = 1024, passes: int = 3) -> DataFrame:
+    """(key, n, median) of values (key, x), exactly, for groups of any size; an even number's is the mean of the middle two.
+
+    Each pass counts a key's values in buckets between its bounds and narrows these to the buckets that hold the middle, so no
+    task gets a key's values, but counts of buckets; what is left is counted by value. Values that are null or not finite
+    take no part.
+    """
+    x = F.col("x").cast("double")
+    good = values.select("key", x.alias("x")).where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    span = good.groupBy("key").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).withColumn("skip", F.lit(0).cast("bigint"))
+    middle = [F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)]
+    for _ in range(passes):
+        span = written(span)
+        inside = good.join(span, "key").where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
+        bucket = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(buckets - 1), F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets))).otherwise(0)
+        counts = inside.withColumn("b", bucket).groupBy("key", "n", "skip", "b").agg(F.count("*").alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        before = F.col("skip") + F.sum("c").over(Window.partitionBy("key").orderBy("b")) - F.col("c")
+        chosen = counts.withColumn("before", before).where((F.col("before") <= middle[1]) & (F.col("before") + F.col("c") > middle[0]))
+        span = chosen.groupBy("key", "n").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("before").alias("skip"))
+    span = written(span)
+    left = good.join(span, "key").where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))).groupBy("key", "n", "skip", "x").agg(F.count("*").alias("c"))
+    upto = left.withColumn("upto", F.col("skip") + F.sum("c").over(Window.partitionBy("key").orderBy("x")))
+    at = [F.min(F.when(F.col("upto") > m, F.col("x"))) for m in middle]
+    return upto.groupBy("key", "n").agg(((at[0] + at[1]) / 2).alias("median"))
