@@ -196,3 +196,36 @@ def test_shuffled_phase_null(spark):
         null = [depth([draw(rep, i) for i, _, _ in own]) for rep in range(50)]
         assert got[ch]["depth"] == pytest.approx(depth([p for _, _, p in own])) and got[ch]["p95"] == pytest.approx(np.percentile(null, 95))
         assert again[ch]["p95"] == pytest.approx(got[ch]["p95"]) and got[ch]["present"] == (ch == 1) and got[ch]["beats"] == 120
+
+
+def test_interleaved_complexity_and_shared_shuffles(spark):
+    from tideline.functions.rng import Stream
+    from tideline.operators import channels
+
+    rng = np.random.default_rng(10)
+    runs = {r: rng.integers(0, 2, (3, 40)) for r in range(4)}
+    runs[4] = runs[0][:, ::-1]  # same length and density
+    rows = [(r, place, i, int(v)) for r, m in runs.items() for place, xs in enumerate(m) for i, v in enumerate(xs)] + [(0, 1, 40, 1)]
+    records = channels.interleaved(spark.createDataFrame(rows, "run long, place int, i long, s int"))
+    got = {r["ch"]: list(r["xs"]) for r in records.collect()}
+    assert got == {r: m.T.ravel().tolist() for r, m in runs.items()}
+    for parse, kernel in (("lz76", dsp.lz76), ("lzw", dsp.lzw)):
+        computed = spark.sparkContext.accumulator(0)
+        out = channels.complexity(records.repartition(5), parse, computed=computed)
+        for _ in range(2):
+            rows_ = {r["ch"]: r for r in out.collect()}
+        keys = {(120, int(m.sum())) for m in runs.values()}
+        assert computed.value == len(keys)
+        for r, m in runs.items():
+            s = m.T.ravel()
+            ones = int(s.sum())
+            mean = dsp.shuffled_complexity(np.r_[np.ones(ones, int), np.zeros(120 - ones, int)], kernel, Stream(0, f"shuffle/{(120, ones)}").generator())
+            assert (rows_[r]["raw"], rows_[r]["ones"]) == (kernel(s), ones) and rows_[r]["ratio"] == pytest.approx(kernel(s) / mean)
+
+
+def test_provenance_of_a_closure(spark):
+    from tideline.sources import params
+
+    registry = spark.createDataFrame([("a", "measured", "scalar"), ("b", "invented", "scalar"), ("c", "derived", "pending"), ("d", "derived", "solved")], "key string, standing string, kind string")
+    closure = spark.createDataFrame([("m1", "a"), ("m1", "d"), ("m2", "a"), ("m2", "b"), ("m3", "c"), ("m4", "nowhere")], "metric string, key string")
+    assert {r["metric"]: r["provisional"] for r in params.provisional_metrics(closure, registry).collect()} == {"m1": False, "m2": True, "m3": True, "m4": True}

@@ -49,29 +49,6 @@ def folding_lag(signal: DataFrame, longest: int) -> DataFrame:
     return sums.select("ch", F.when(F.col("_v") > 0, F.array_min(F.array_compact(lags))).alias("lag"))
 
 
-def beat_peaks(records: DataFrame, fs: float, over: float = 0.5, refractory_s: float = 0.25) -> DataFrame:
-    """(ch, i, t): peaks of whole records (ch, xs) above a share of the record's 99.5th percentile of |x - median|, the largest within a refractory time."""
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pandas as pd
-
-        for batch in batches:
-            for ch, xs in zip(batch["ch"], batch["xs"], strict=True):
-                x = np.asarray(xs, float)
-                if len(x) < 3:
-                    continue
-                y = np.abs(x - np.median(x))
-                top = np.flatnonzero((y[1:-1] >= y[:-2]) & (y[1:-1] > y[2:]) & (y[1:-1] > over * np.percentile(y, 99.5))) + 1
-                kept: list[int] = []
-                for p in top[np.argsort(-y[top], kind="stable")].tolist():
-                    if all(abs(p - k) >= refractory_s * fs for k in kept):
-                        kept.append(p)
-                yield pd.DataFrame({"ch": ch, "i": sorted(kept), "t": np.array(sorted(kept)) / fs})
-
-    return records.select("ch", "xs").mapInPandas(run, "ch long, i long, t double")
-
-
 def phase_at(beats: DataFrame, phases: DataFrame) -> DataFrame:
     """(ch, i, phase): the breathing phase (ch, i, phase) at each beat (ch, i)."""
     return beats.select("ch", "i").join(phases.select("ch", "i", "phase"), ["ch", "i"])
@@ -164,15 +141,6 @@ def peak_to_rms(peak_to_peak: Column) -> Column:
     return peak_to_peak / (2 * math.sqrt(2))
 
 
-def is_provisional(provenance: Column, open_marks: tuple[str, ...] = ("provisional", "placeholder", "stub")) -> Column:
-    """Whether a provenance text says that it isn't final; none says so too."""
-    low = F.lower(F.coalesce(provenance, F.lit(open_marks[0])))
-    out = F.lit(False)
-    for m in open_marks:
-        out = out | low.contains(m)
-    return out
-
-
 def circular_inputs(gates: DataFrame, fitted_on: DataFrame) -> DataFrame:
     """(gate, key): gates whose parameters were fitted on what they judge: a gate's own key among the keys that its parameters came from."""
     return gates.join(fitted_on, ["gate", "key"], "left_semi").select("gate", "key").distinct()

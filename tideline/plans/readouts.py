@@ -57,20 +57,15 @@ def event_phase_null(spark, sf_dir) -> DataFrame:
     return readouts.shifted_null(e, 5, ["ch"]).select("ch", r("r", 5).alias("r"), r("null_max", 5).alias("null_max"))
 
 
-@query()
-def beat_peaks(spark, sf_dir) -> DataFrame:
-    return readouts.beat_peaks(spectra.records(signal(spark, sf_dir)), FS, 0.5, 0.5).select("ch", "i", r("t").alias("t"))
-
-
 @query(f"""WITH {TIMED}, p AS (SELECT ch, row_number() OVER (PARTITION BY ch ORDER BY t, event_id) - 1 AS i, t, phase FROM timed), q AS (SELECT ch, phase, t - lag(t) OVER (PARTITION BY ch ORDER BY i) AS rr FROM p),
  d AS (SELECT ch, phase, rr - avg(rr) OVER (PARTITION BY ch) AS d FROM q WHERE rr IS NOT NULL), h AS (SELECT ch, count(*) AS beats, 2 * avg(d * cos(phase)) AS c, 2 * avg(d * sin(phase)) AS s FROM d GROUP BY ch)
- SELECT ch, beats, round(sqrt(c * c + s * s), 3) AS depth FROM h""")
+ SELECT ch, beats, round(sqrt(c * c + s * s), 3) AS depth, round(atan2(s, c), 5) + 0.0 AS angle FROM h""")
 def beat_phase_fit(spark, sf_dir) -> DataFrame:
     """Events as beats: the time since the one before against the day's phase."""
     from pyspark.sql.window import Window
 
     p = timed(spark, sf_dir).withColumn("i", (F.row_number().over(Window.partitionBy("ch").orderBy("t", "event_id")) - 1).cast("bigint"))
-    return readouts.beat_phase_fit(p.select("ch", "i", F.col("t").cast("double").alias("t")), p.select("ch", "i", "phase")).select("ch", "beats", r("depth", 3).alias("depth"))
+    return readouts.beat_phase_fit(p.select("ch", "i", F.col("t").cast("double").alias("t")), p.select("ch", "i", "phase")).select("ch", "beats", r("depth", 3).alias("depth"), r("angle", 5).alias("angle"))
 
 
 @query(f"WITH {SIG}, c AS (SELECT ch, sqrt(avg(x * x)) AS v FROM sig GROUP BY ch) SELECT round(min(v), 4) AS lo, round(quantile_cont(v, 0.5), 4) AS mid, round(max(v), 4) AS hi FROM c")
@@ -100,9 +95,13 @@ def interval_picks(spark, sf_dir) -> DataFrame:
     return li.groupBy("l_returnflag").agg(r(F.avg(readouts.midpoint(F.least("l_discount", "l_tax"), F.greatest("l_discount", "l_tax")))).alias("mid"), r(F.sum(readouts.peak_to_rms(F.col("l_quantity"))), 3).alias("rms"))
 
 
-@query("SELECT p_partkey, p_name IN ('wake_eo', 'wake_ec', 'n1', 'n2', 'n3', 'rem') AS state, contains(lower(p_type), 'provisional') OR contains(lower(p_type), 'placeholder') OR contains(lower(p_type), 'stub') AS provisional FROM part")
+@query("""WITH n AS (SELECT p_partkey, list_element(['wake_eo', 'wake_ec', 'n1', 'n2', 'n3', 'rem', 'N3', 'awake'], 1 + CAST(p_partkey % 8 AS INTEGER)) AS name FROM part)
+ SELECT p_partkey, name, name IN ('wake_eo', 'wake_ec', 'n1', 'n2', 'n3', 'rem') AS state FROM n""")
 def name_rules(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", readouts.is_state(F.col("p_name")).alias("state"), readouts.is_provisional(F.col("p_type")).alias("provisional"))
+    """Names of states and names that only look like them, one a part."""
+    names = F.array(*[F.lit(n) for n in ("wake_eo", "wake_ec", "n1", "n2", "n3", "rem", "N3", "awake")])
+    named = table(spark, sf_dir, "part").select("p_partkey", F.element_at(names, (F.col("p_partkey") % 8 + 1).cast("int")).alias("name"))
+    return named.select("p_partkey", "name", readouts.is_state(F.col("name")).alias("state"))
 
 
 @query("SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS gate, CAST(l_partkey AS VARCHAR) AS key FROM lineitem WHERE (l_suppkey, l_partkey) IN (SELECT (s_suppkey, p_partkey) FROM supplier JOIN part ON s_nationkey = p_size)")

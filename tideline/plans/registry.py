@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.plans import probing, readouts, samplewise, spectral, statistical, validation
+from tideline.plans import probing, readouts, recordings, samplewise, spectral, statistical, validation
 
-MODULES = [samplewise, spectral, statistical, probing, readouts, validation]
+MODULES = [samplewise, spectral, statistical, probing, readouts, recordings, validation]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

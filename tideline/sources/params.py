@@ -184,3 +184,14 @@ def emit(records: list[tuple] | None = None) -> str:
     """The registry as stable JSON lines; emitting what was read gives the same text."""
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     return "".join(json.dumps(dict(zip(names, r, strict=True)), sort_keys=True) + "\n" for r in sorted(records or rows()))
+
+
+def provisional_metrics(dependencies: DataFrame, params: DataFrame) -> DataFrame:
+    """(metric, provisional): whether any key of a metric's dependency closure (metric, key) is invented or still pending.
+
+    A metric that rests on such a number must not be shown beside published ones. Keys that aren't in the registry are errors of
+    their own (`violations` of the closure) and count as provisional.
+    """
+    open_ = (F.col("standing") == "invented") | (F.col("kind") == "pending")
+    met = dependencies.join(params.select("key", "standing", "kind"), "key", "left")
+    return met.groupBy("metric").agg(F.bool_or(F.coalesce(open_, F.lit(True))).alias("provisional"))
