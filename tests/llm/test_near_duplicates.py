@@ -1,4 +1,4 @@
-"""The near-duplicate stage against brute-force SimHash candidates and Jaccard of word shingles."""
+"""The near-duplicate stage against brute-force Jaccard of word shingles."""
 
 import random
 from collections import defaultdict
@@ -17,17 +17,9 @@ def shingles(text, words=5):
     return {tuple(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))} if parts else set()
 
 
-def plain_fingerprint(text, words=5):
-    import xxhash
-
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    hashes = [xxhash.xxh64_intdigest(b" ".join(parts[i : i + words]), 42) for i in range(max(1, len(parts) - words + 1))] if parts else []
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
 def groups_of(texts):
-    """Components of the pairs of Jaccard 0.8 whose fingerprints differ in DISTANCE bits at most; all pairs of Jaccard 0.8. Empty sets are equal."""
-    sets, prints, root, near = [shingles(t) for t in texts], [plain_fingerprint(t) for t in texts], list(range(len(texts))), []
+    """Components of the pairs of Jaccard 0.8; those pairs. Empty sets are equal."""
+    sets, root, near = [shingles(t) for t in texts], list(range(len(texts))), []
 
     def top(i):
         while root[i] != i:
@@ -38,8 +30,7 @@ def groups_of(texts):
         for j in range(i):
             if sets[i] == sets[j] or 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
                 near.append((i, j))
-                if (prints[i] ^ prints[j]).bit_count() <= corpus_pipeline.DISTANCE:
-                    root[top(i)] = top(j)
+                root[top(i)] = top(j)
     return [top(i) for i in range(len(sets))], near
 
 
@@ -70,8 +61,23 @@ def test_candidates_of_jaccard_0_8_are_linked(spark, bucket, monkeypatch):
         first[g].append(r[0])
     got = corpus_pipeline.keep_one(spark, spark.createDataFrame(rows, COLUMNS), "").collect()
     assert sorted(r["doc_id"] for r in got) == sorted(map(min, first.values()))
-    # Few pairs of Jaccard 0.8 are no candidates, and fewer stay apart.
-    assert sum(root[i] == root[j] for i, j in near) > 0.95 * len(near)
+
+
+def test_candidates_grow_with_the_texts_and_not_with_their_pairs(spark):
+    """Texts that have half of their words from a common stock, and a near copy each: compared pairs stay in proportion."""
+    rng, compared = random.Random(6), []
+    for n in (100, 400):
+        rows = []
+        for d in range(n):
+            text = words_of(120, 900 + d, 3000)
+            rows += [(2 * d, " ".join(text), "en", "s0", 1), (2 * d + 1, " ".join([*text[:-2], f"x{rng.random()}"]), "en", "s0", 1)]
+        scratch = simhash.Scratch(spark, "t")
+        got = simhash.near_duplicates(spark.createDataFrame(rows, COLUMNS), scratch, words=5, distance=4, similar=True)
+        assert sorted(r["component_id"] for r in got.collect()) == sorted(2 * (d // 2) for d in range(2 * n))
+        prints = simhash.signed(spark.createDataFrame(rows, COLUMNS), 5)
+        columns = ["fp", "node", "size"]
+        compared.append(simhash.meetings(simhash.banded(prints, columns), columns, simhash.Scratch(spark, "t"), simhash.forest(4)).count())
+    assert compared[1] <= 4.4 * compared[0]
 
 
 def test_one_large_group_of_near_copies(spark):
@@ -83,6 +89,6 @@ def test_one_large_group_of_near_copies(spark):
             text[rng.randrange(len(text))] = f"edit{rng.random()}"
         rows.append((k, " ".join(text), "en", "s0", 1))
     root, _ = groups_of([r[1] for r in rows])
-    got = simhash.near_duplicates(spark.createDataFrame(rows, COLUMNS), simhash.Scratch(spark, "t"), words=5, distance=12, similar=True)
+    got = simhash.near_duplicates(spark.createDataFrame(rows, COLUMNS), simhash.Scratch(spark, "t"), words=5, distance=corpus_pipeline.DISTANCE, similar=True)
     assert got.select("component_id").distinct().count() == len(set(root))
     assert corpus_pipeline.keep_one(spark, spark.createDataFrame([], COLUMNS), "").count() == 0

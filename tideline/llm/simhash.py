@@ -17,6 +17,11 @@ WORDS, DISTANCE, BUCKET = 4, 4, 1 << 15
 KEY_COST, PAIR_COST = 1.0, 0.002
 #: Keys of a fingerprint that a plan may have at most: more are never cheaper, and take long to write down.
 KEYS = 4096
+#: With `similar`: bands of smallest hashes, those a band has, and differing bits up to which a shared band makes a candidate. Sets of Jaccard 0.8
+#: share no band with a chance of (1 - 0.8^5)^20, 0.04 %, and have fingerprints 10 bits apart on average, over 20 in 0.1 %.
+BANDS, ROWS, NEAR = 20, 5, 20
+#: Number of the first part that is a band.
+BANDED = 1000
 #: Buckets too large for one task that may be broadcast, and copies of a component's row.
 SMALL, SALTS = 10_000, 8
 
@@ -178,13 +183,31 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def meetings(nodes: DataFrame, plan: list[tuple[list[int], int]], scratch: Scratch, find, bucket: int = BUCKET) -> DataFrame:
-    """(a, b), a < b: what `find` makes of each bucket: of its rows, sorted by fingerprint, as arrays by column.
+def bands_of(own, factors):
+    """One value a band: the band's smallest hashes, mixed. An empty set has none."""
+    import numpy as np
+
+    if not len(own):
+        return np.empty(0, np.int64)
+    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(own), 512):  # blocks that stay in the cache
+        np.minimum(least, (own[None, at : at + 512] * factors[:, None]).min(1), out=least)
+    mixed = (least ^ (least >> np.uint64(29))) * np.roll(factors, 1)
+    return mixed.reshape(-1, ROWS).sum(1, dtype=np.uint64).view(np.int64)
+
+
+def banded(nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """Every node under each of its bands, in the form of `filed`."""
+    each = nodes.select(*columns, F.posexplode("bands").alias("_band", "value"))
+    return each.select((F.col("_band") + BANDED).cast("int").alias("part"), "value", *columns, F.lit(False).alias("probe"))
+
+
+def meetings(rows: DataFrame, columns: list[str], scratch: Scratch, find, bucket: int = BUCKET) -> DataFrame:
+    """(a, b), a < b: what `find` makes of each bucket (part, value) of filed rows: of its rows, sorted by fingerprint, as arrays by column.
 
     A bucket of more than `bucket` rows is split by hash into blocks, and every two of its blocks meet, so that no task
     holds a bucket; rows of other buckets are sent once.
     """
-    rows = filed(nodes, plan)
     sizes = rows.groupBy("part", "value").agg(F.count("*").alias("n")).where(F.col("n") > bucket)
     cut = scratch.save(sizes.select(F.col("part").alias("_part"), F.col("value").alias("_value"), F.ceil(F.col("n") / bucket).cast("int").alias("blocks")), "cut")
     if cut.limit(1).count():
@@ -193,10 +216,10 @@ def meetings(nodes: DataFrame, plan: list[tuple[list[int], int]], scratch: Scrat
         blocks = F.coalesce("blocks", F.lit(1))
         blocked = met.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
         pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(other, F.col("block")).alias("lo"), F.greatest(other, F.col("block")).alias("hi")))
-        dealt = blocked.withColumn("meet", F.explode(pairs)).select("part", "value", F.col("meet.lo").alias("lo"), F.col("meet.hi").alias("hi"), *nodes.columns, "probe", "block")
+        dealt = blocked.withColumn("meet", F.explode(pairs)).select("part", "value", F.col("meet.lo").alias("lo"), F.col("meet.hi").alias("hi"), *columns, "probe", "block")
     else:
         zero = [F.lit(0).alias(c) for c in ("lo", "hi")]
-        dealt = rows.select("part", "value", *zero, *nodes.columns, "probe", F.lit(0).alias("block"))
+        dealt = rows.select("part", "value", *zero, *columns, "probe", F.lit(0).alias("block"))
 
     def join(batches: Iterator) -> Iterator:
         import numpy as np
@@ -262,6 +285,11 @@ def _fits(rows: dict, x, y, distance: int):
     return near
 
 
+def _within(rows: dict, distance: int) -> int:
+    """Differing bits that still make a candidate in this bucket."""
+    return NEAR if rows["part"][0] >= BANDED else distance
+
+
 def near_pairs(rows: dict, distance: int) -> Iterator:
     """All candidates of one bucket, as (x, y) index arrays, a part at a time."""
     import numpy as np
@@ -285,12 +313,13 @@ def forest(distance: int):
     def find(rows: dict) -> Iterator:
         import numpy as np
 
+        reach = _within(rows, distance)
         if len(rows["fp"]) == 2:
-            if _fits(rows, np.array([0]), np.array([1]), distance)[0] and rows["node"][0] != rows["node"][1]:
+            if _fits(rows, np.array([0]), np.array([1]), reach)[0] and rows["node"][0] != rows["node"][1]:
                 yield rows["node"][:1], rows["node"][1:]
             return
         met = np.zeros(len(rows["fp"]), bool)
-        for x, y in near_pairs(rows, distance):
+        for x, y in near_pairs(rows, reach):
             met[x] = met[y] = True
         some = np.flatnonzero(met)
         if not len(some):
@@ -304,11 +333,11 @@ def forest(distance: int):
             if not left[x]:  # nothing within reach: begin anew
                 x = int(np.argmax(left))
             left[x] = False
-            if best[x] <= distance:
+            if best[x] <= reach:
                 a.append(link[x])
                 b.append(x)
             apart = np.bitwise_count(raw ^ raw[x])
-            closer = left & (apart < best) & _fits(few, every, np.full(n, x), distance)
+            closer = left & (apart < best) & _fits(few, every, np.full(n, x), reach)
             best[closer], link[closer] = apart[closer], x
         yield few["node"][np.array(a, np.int64)], few["node"][np.array(b, np.int64)]
 
@@ -319,7 +348,7 @@ def across(distance: int):
     """All candidates of a bucket that lie in different components."""
 
     def find(rows: dict) -> Iterator:
-        for x, y in near_pairs(rows, distance):
+        for x, y in near_pairs(rows, _within(rows, distance)):
             other = rows["root"][x] != rows["root"][y]
             if other.any():
                 yield rows["node"][x[other]], rows["node"][y[other]]
@@ -329,7 +358,7 @@ def across(distance: int):
 
 def links(prints: DataFrame, plan: list[tuple[list[int], int]], scratch: Scratch, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
     """(a, b): links that join all distinct fingerprints which near ones join, though not every near pair."""
-    return meetings(prints.select("fp", F.col("fp").alias("node")), plan, scratch, forest(distance), bucket)
+    return meetings(filed(prints.select("fp", F.col("fp").alias("node")), plan), ["fp", "node"], scratch, forest(distance), bucket)
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "e") -> DataFrame:
@@ -371,8 +400,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = WORDS, dista
     """(doc_id, fp, component_id): the smallest doc_id that links reach, the document itself included.
 
     Fingerprints are written once; distinct ones are filed, joined and traced to components; equal fingerprints never meet in
-    pairs. With `similar`, fingerprints within `distance` only make candidates, and documents are linked whose whole sets
-    of shingles have Jaccard 0.8 or more (see `similar_links`).
+    pairs. With `similar`, fingerprints within `distance` only make candidates, and so do those within NEAR of
+    texts that share a band of smallest hashes; documents are linked whose whole sets of shingles have Jaccard 0.8 or
+    more (see `similar_links`).
 
     Null and empty texts have fingerprint 0 and link like any other. Null doc_ids get their component's smallest doc_id,
     or null where there is none. Repeated rows give a row each; long texts are read whole; an empty table gives none;
@@ -380,7 +410,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = WORDS, dista
     """
     if similar:
         prints = scratch.save(signed(docs, words), "prints")
-        groups = scratch.save(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "row_hash")).alias("place"), F.first("fp").alias("fp"), F.first("size").alias("size")), "groups")
+        groups = scratch.save(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "row_hash")).alias("place"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands")), "groups")
     else:
         prints = scratch.save(fingerprints(docs, words).withColumn("node", F.col("fp")), "prints")
         groups = scratch.save(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp")), "groups")
@@ -397,23 +427,24 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = WORDS, dista
 
 
 def signed(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, row_hash, fp, node, size): one row a document; node hashes its whole set of shingles, of so many members."""
+    """(doc_id, row_hash, fp, node, size, bands): one row a document; node hashes its whole set of shingles, of so many members."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pandas as pd
         import xxhash
 
+        factors = np.random.default_rng(17).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
         for batch in batches:
             for part in slices(batch):
                 hashes = [shingle_hashes(t, words) for t in part["text"]]
                 sets = [np.unique(h) for h in hashes]
                 fp = np.fromiter(map(majority, hashes), np.uint64, len(part)).view(np.int64)
                 node = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), 8) for s in sets), np.uint64, len(part)).view(np.int64)
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "row_hash": part["row_hash"].to_numpy(), "fp": fp, "node": node, "size": np.fromiter(map(len, sets), np.int32, len(part))})
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "row_hash": part["row_hash"].to_numpy(), "fp": fp, "node": node, "size": np.fromiter(map(len, sets), np.int32, len(part)), "bands": [bands_of(s, factors) for s in sets]})
 
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
-    return slim.mapInPandas(run, "doc_id long, row_hash long, fp long, node long, size int")
+    return slim.mapInPandas(run, "doc_id long, row_hash long, fp long, node long, size int, bands array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -440,24 +471,26 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def similar_links(docs: DataFrame, groups: DataFrame, plan: list[tuple[list[int], int]], scratch: Scratch, words: int, distance: int) -> DataFrame | None:
-    """(node, root): components of the sets of shingles that have Jaccard 0.8 or more and fingerprints within `distance`.
+    """(node, root): components of the sets of shingles that have Jaccard 0.8 or more.
 
-    First each bucket's candidates are joined by as few and as close pairs as will do, so a group of near copies gives as
+    Candidates are fingerprints within `distance`, by the pigeonhole plan, and fingerprints within NEAR of sets that share a
+    band: at a distance that Jaccard 0.8 needs, the plan alone would have to compare a share of all pairs. First each bucket's candidates are joined by as few and as close pairs as will do, so a group of near copies gives as
     many pairs as members. What their whole sets confirm makes components; then all candidates that lie in different
     components are compared too. No link is wrong (up to 64-bit hashes), and none between candidates is lost.
     """
-    nodes = groups.select("fp", "node", "size")
-    close = scratch.save(meetings(nodes, plan, scratch, forest(distance)), "close")
+    columns = ["fp", "node", "size"]
+    in_buckets = lambda nodes, columns: filed(nodes.select(*columns), plan).union(banded(nodes, columns))
+    close = scratch.save(meetings(in_buckets(groups, columns), columns, scratch, forest(distance)), "close")
     if not close.limit(1).count():
         return None
     needed = close.select(F.col("a").alias("node")).union(close.select(F.col("b").alias("node"))).distinct()
     sets = scratch.save(sets_of(docs, groups.join(needed, "node"), words), "sets")
     near = scratch.save(verified(close, sets), "near")
     found = components(near, scratch)
-    rooted = nodes.join(needed, "node").join(found, "node", "left").select("fp", "node", "size", F.coalesce("root", "node").alias("root"))
+    rooted = groups.join(needed, "node").join(found, "node", "left").select(*columns, "bands", F.coalesce("root", "node").alias("root"))
     rooted = scratch.save(rooted, "rooted")
     scratch.drop("cut")
-    rest = scratch.save(meetings(rooted, plan, scratch, across(distance)).join(close, ["a", "b"], "left_anti"), "rest")
+    rest = scratch.save(meetings(in_buckets(rooted, [*columns, "root"]), [*columns, "root"], scratch, across(distance)).join(close, ["a", "b"], "left_anti"), "rest")
     more = scratch.save(verified(rest, sets), "more")
     for done in ("sets", "rest", "close", "rooted"):
         scratch.drop(done)
