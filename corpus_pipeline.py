@@ -9,8 +9,8 @@ from tideline.llm import lines, mixing, packing, quality, simhash
 from tideline.llm.common import Scratch, named, table
 from tideline.llm.queries import ratings
 
-#: Words a shingle has in the near-duplicate stage, and bits of 64 in which fingerprints of candidates differ at most: a fifth.
-SHINGLE, DISTANCE = 5, 12
+#: Words a shingle has in the near-duplicate stage, and bits of 64 in which fingerprints of candidates differ at most that share no band.
+SHINGLE, DISTANCE = 5, 4
 #: No SQL expresses the classifier, the near duplicates' components or the packing.
 ORACLE_SQL = None
 
@@ -30,8 +30,8 @@ def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest doc_id. Links are fingerprints within DISTANCE whose
-    texts have a Jaccard similarity of 0.8 or more. Of rows with that doc_id one stays; of rows without a doc_id, all of a
+    """One document of each group of near duplicates: that with the smallest doc_id. Links are candidates of the
+    SimHash operator whose texts have a Jaccard similarity of 0.8 or more. Of rows with that doc_id one stays; of rows without a doc_id, all of a
     group that has no row with one. Texts without words are one group; an empty table gives no row."""
     found = simhash.near_duplicates(docs, Scratch(spark, "pipeline-simhash"), words=SHINGLE, distance=DISTANCE, similar=True)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
