@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tideline.functions import dsp
+from tideline.functions import dsp, peaks
 from tideline.operators.windows import frames
 
 
@@ -197,3 +197,42 @@ def locked_amplitude(samples: DataFrame) -> DataFrame:
 def filtered(samples: DataFrame, kernel, channel: str = "long") -> DataFrame:
     """(ch, i, x): a record passed whole through a NumPy kernel; a record is filtered before any epoch is chosen."""
     return per_record(records(samples), lambda x: {"i": range(len(x)), "x": kernel(x)}, "i long, x double", channel)
+
+
+def peak_fits(psd: DataFrame, lo: float, hi: float, knee: bool = False, limits: peaks.Limits = peaks.Limits(), keys: tuple[str, ...] = ("ch",)) -> DataFrame:
+    """(keys, offset, knee, exponent, r2, error, peaks): background and Gaussian peaks of every spectrum (keys, freq, power) between two frequencies.
+
+    A row a spectrum, fitted in Arrow batches. Spectra that can't be fitted have nulls and no peaks.
+    """
+    inside = psd.where(F.col("freq").between(lo, hi))
+    rows = inside.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("freq", "power"))).alias("_p"))
+    flat = rows.select(*keys, F.transform("_p", lambda p: p["freq"]).alias("_f"), F.transform("_p", lambda p: p["power"]).alias("_w"))
+    kinds = ", ".join(f"{k} {psd.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for batch in batches:
+            got = [peaks.fit(f, w, knee, limits) for f, w in zip(batch["_f"], batch["_w"], strict=True)]
+            out = {k: batch[k] for k in keys} | {n: [g[n] for g in got] for n in ("offset", "knee", "exponent", "r2", "error")}
+            yield pd.DataFrame(out | {"peaks": [[dict(zip(("centre", "height", "width"), p, strict=True)) for p in g["peaks"]] for g in got]})
+
+    return flat.mapInPandas(run, f"{kinds}, offset double, knee double, exponent double, r2 double, error double, peaks array<struct<centre: double, height: double, width: double>>")
+
+
+def exponents(psd: DataFrame, narrow: tuple[float, float], wide: tuple[float, float], low: tuple[float, float], high: tuple[float, float]) -> DataFrame:
+    """(ch, estimator, chi): the exponent by two bands' sums, by lines over a narrow and a wide band, and by fits with peaks over the same.
+
+    Estimators over the wide band differ in whether peaks bend them; channels that an estimator can't judge lack its row.
+    """
+    total = lambda b: F.sum(F.when(F.col("freq").between(*b), F.col("power")))
+    span = 0.5 * math.log10(high[0] * high[1] / (low[0] * low[1]))
+    bands = psd.groupBy("ch").agg(total(low).alias("l"), total(high).alias("h")).where("l > 0 and h > 0").select("ch", F.lit("two_bands").alias("estimator"), ((F.log10("l") - F.log10("h")) / span).alias("chi"))
+    out = bands
+    for name, band in (("narrow", narrow), ("wide", wide)):
+        x, y = F.log10("freq"), F.log10("power")
+        line = psd.where(in_band(*band)).groupBy("ch").agg(F.regr_slope(y, x).alias("s"), F.count("*").alias("n")).where("n >= 4")
+        out = out.unionByName(line.select("ch", F.lit(f"line_{name}").alias("estimator"), (-F.col("s")).alias("chi")))
+        fits = peak_fits(psd, *band).where("exponent is not null")
+        out = out.unionByName(fits.select("ch", F.lit(f"peaks_{name}").alias("estimator"), F.col("exponent").alias("chi")))
+    return out
