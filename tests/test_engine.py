@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.operators import channels, gates, joins, samples, spectra, stats
+from tideline.operators import gates, joins, pairs, samples, spectra, stats
 from tideline.sources import epochs, montage, params
 from tideline.streaming import segments
 
@@ -80,8 +80,8 @@ def test_connectivity_knows_its_answers(spark):
     rng = np.random.default_rng(2)
     turn = 2 * np.pi * 10 * t + np.cumsum(rng.normal(size=len(t))) * 0.1
     waves = [np.cos(turn), np.cos(turn - np.pi), np.cos(turn - np.pi / 2), rng.normal(size=len(t))]
-    rec = spark.createDataFrame([(c, (w + 0.3 * rng.normal(size=len(t))).tolist()) for c, w in enumerate(waves)], "ch long, xs array<double>")
-    got = {(r["a"], r["b"]): r["d"] for r in channels.connectivity(channels.frame_spectra(rec, 64.0, 128, 9.0, 11.0)).groupBy("a", "b").agg(F.avg("dwpli").alias("d")).collect()}
+    rec = spark.createDataFrame([(c, i, float(v)) for c, w in enumerate(waves) for i, v in enumerate(w + 0.3 * rng.normal(size=len(t)))], "ch long, i long, x double")
+    got = {(r["a"], r["b"]): r["d"] for r in pairs.connectivity(rec, 64.0, 128, 9.0, 11.0).groupBy("a", "b").agg(F.avg("dwpli").alias("d")).collect()}
     assert got[(0, 1)] <= 0.1 and got[(0, 2)] >= 0.5 and got[(0, 3)] <= 0.2
 
 
@@ -170,11 +170,13 @@ def test_pairs_by_blocks_are_those_of_one_block(spark, monkeypatch):
 
     rng = np.random.default_rng(3)
     rows = [(int(c), [float(v) for v in rng.normal(size=int(n))]) for c, n in zip(rng.permutation(11), rng.integers(3, 90, 11), strict=True)]
-    table = spark.createDataFrame(rows, "ch long, xs array<double>")
+    table = spark.createDataFrame([(c, i, x) for c, xs in rows for i, x in enumerate(xs)], "ch long, i long, x double")
     kinds = [lambda t: pairs.correlations(t), lambda t: pairs.connectivity(t, 4.0, 16, 0.5, 1.5), lambda t: pairs.recovered_lag(t, 4.0, 16, 0.25, 1.5), lambda t: pairs.phase_locking(t, 4)]
     flat = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.fillna(-9.0).collect())
     whole = [flat(k(table)) for k in kinds]
     monkeypatch.setattr(pairs, "BLOCK", 3)
+    monkeypatch.setattr(pairs, "STRETCH", 7)
+    monkeypatch.setattr(pairs, "FRAMES", 2)
     assert [flat(k(table)) for k in kinds] == whole
     by = dict(rows)
     for a, b, r, n in whole[0]:

@@ -67,15 +67,21 @@ def hann(n: int):
 
 def welch(x, fs: float, nperseg: int, noverlap: int):
     """(bin, frequency, density)"""
+    power = frame_powers(x, fs, nperseg, noverlap)
+    k = np.arange(power.shape[1])
+    return k, k * fs / min(nperseg, len(x)), power.mean(0)
+
+
+def frame_powers(x, fs: float, nperseg: int, noverlap: int):
+    """Densities of every frame (frames x bins); a record shorter than a frame is one."""
     size = min(nperseg, len(x))
     hop = max(1, size - min(noverlap, size - 1))
     count = max(1, (len(x) - size) // hop + 1)
     w = hann(size)
-    cut = np.stack([x[s : s + size] for s in range(0, count * hop, hop)])
+    cut = np.lib.stride_tricks.sliding_window_view(np.asarray(x, float), size)[::hop][:count]
     power = np.abs(np.fft.rfft((cut - cut.mean(1, keepdims=True)) * w)) ** 2 / (fs * (w * w).sum())
     power[:, 1 : -1 if size % 2 == 0 else None] *= 2
-    k = np.arange(power.shape[1])
-    return k, k * fs / size, power.mean(0)
+    return power
 
 
 def periodogram(x, fs: float):
@@ -131,10 +137,11 @@ def fit_knee(f, p, grid):
     return {"chi": [best[0]], "knee": [best[1]], "offset": [best[2]], "r2": [best[3] if best[3] > -math.inf else math.nan]}
 
 
-def exponent_over_time(x, fs: float, window_s: float, hop_s: float, lo: float, hi: float):
+def exponent_over_time(x, fs: float, window_s: float, hop_s: float, lo: float, hi: float, last: bool = False):
+    """Exponents of a record's whole windows, without the last one unless `last`."""
     size, hop = round(window_s * fs), round(hop_s * fs)
     out = []
-    for j in range(max(0, (len(x) - size) // hop)):
+    for j in range(max(0, (len(x) - size) // hop + last)):
         _, f, p = welch(x[j * hop : j * hop + size], fs, min(512, size), min(256, size // 2))
         ok = (f >= lo) & (f <= hi) & (p > 0) & (f > 0)
         out.append(fit_line(f[ok], p[ok])[0] if ok.sum() >= 4 else math.nan)

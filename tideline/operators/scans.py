@@ -28,6 +28,18 @@ def chunks(samples: DataFrame, size: int = CHUNK) -> DataFrame:
     return grouped.select("ch", "chunk", F.transform("_p", lambda p: p["x"].cast("double")).alias("xs"))
 
 
+def framed(samples: DataFrame, size: int, hop: int, frames: int = 256, keys: tuple[str, ...] = ("ch",)) -> DataFrame:
+    """(keys, block, xs): stretches of `frames` whole frames of `size` samples at multiples of `hop`; neighbours share the samples that both need.
+
+    Frame f of a record is the (f % frames)th of block f // frames. A record shorter than a frame is one short stretch.
+    """
+    first, last = F.greatest(F.lit(0), F.ceil((F.col("i") - (size - 1)) / hop)), F.floor(F.col("i") / hop)
+    spread = samples.withColumns({"_a": first, "_b": last}).where("_a <= _b")
+    dealt = spread.select(*keys, "i", "x", F.explode(F.sequence(F.floor(F.col("_a") / frames), F.floor(F.col("_b") / frames))).alias("block"))
+    pairs = F.array_sort(F.collect_list(F.struct("i", "x")))
+    return dealt.groupBy(*keys, "block").agg(pairs.alias("_p")).select(*keys, "block", F.transform("_p", lambda p: p["x"].cast("double")).alias("xs"))
+
+
 def _schema(df: DataFrame, rest: str) -> str:
     return f"ch {df.schema['ch'].dataType.simpleString()}, {rest}"
 

@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tideline.functions import dsp, peaks
+from tideline.operators import scans
 from tideline.operators.windows import frames
 
+#: Frames of a stretch.
+FRAMES = 256
+
 
 def records(samples: DataFrame) -> DataFrame:
     """(ch, xs): a record's samples in order, one row a channel, which is the unit that recursions and transforms need whole."""
@@ -37,8 +41,25 @@ def per_record(table: DataFrame, kernel, schema: str, channel: str) -> DataFrame
 
 def welch(samples: DataFrame, fs: float, nperseg: int, noverlap: int, channel: str = "long") -> DataFrame:
     """(ch, k, freq, power): mean over frames of the windowed, mean-free, one-sided periodogram; symmetric Hann. A record
-    shorter than a frame gives one frame of its own length."""
-    return per_record(records(samples), lambda x: dict(zip(("k", "freq", "power"), dsp.welch(x, fs, nperseg, noverlap), strict=True)), "k int, freq double, power double", channel)
+    shorter than a frame gives one frame of its own length.
+
+    Frames are dealt in stretches, whose sums are added up, so that no row holds a whole record.
+    """
+
+    def kernel(x):
+        import numpy as np
+
+        if not len(x):
+            return {"k": [], "freq": [], "total": [], "frames": []}
+        power, size = dsp.frame_powers(x, fs, nperseg, noverlap), min(nperseg, len(x))
+        k = np.arange(power.shape[1])
+        return {"k": k, "freq": k * fs / size, "total": power.sum(0), "frames": len(power)}
+
+    # A later stretch than the first that is shorter than a frame has the end of the record, and no frame.
+    hop = nperseg - noverlap
+    whole = scans.framed(samples, nperseg, hop).where((F.col("block") == 0) | (F.size("xs") >= nperseg))
+    sums = per_record(whole, kernel, "k int, freq double, total double, frames long", channel)
+    return sums.groupBy("ch", "k", "freq").agg((F.sum("total") / F.sum("frames")).alias("power"))
 
 
 def periodogram(samples: DataFrame, fs: float, channel: str = "long") -> DataFrame:
@@ -108,11 +129,21 @@ def fit_knee(psd: DataFrame, lo: float, hi: float, channel: str = "long") -> Dat
 def exponent_over_time(samples: DataFrame, fs: float, window_s: float, hop_s: float, lo: float, hi: float, channel: str = "long") -> DataFrame:
     """(ch, frame, t, chi): line fits of sliding windows; the last whole window is left out, and under four bins chi is NaN."""
 
-    def kernel(x):
-        chi = dsp.exponent_over_time(x, fs, window_s, hop_s, lo, hi)
-        return {"frame": range(len(chi)), "t": [i * hop_s + window_s / 2 for i in range(len(chi))], "chi": chi}
+    size, hop = round(window_s * fs), round(hop_s * fs)
 
-    return per_record(records(samples), kernel, "frame long, t double, chi double", channel)
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            for ch, block, xs in zip(batch["ch"], batch["block"], batch["xs"], strict=True):
+                chi = dsp.exponent_over_time(np.asarray(xs, float), fs, window_s, hop_s, lo, hi, last=True)
+                frame = np.arange(len(chi)) + block * FRAMES
+                yield pd.DataFrame({"ch": ch, "frame": frame, "t": frame * hop_s + window_s / 2, "chi": chi})
+
+    fits = scans.framed(samples, size, hop, FRAMES).mapInPandas(run, f"ch {channel}, frame long, t double, chi double")
+    n = samples.groupBy("ch").agg(F.floor((F.count("*") - size) / hop).alias("_frames"))
+    return fits.join(n, "ch").where(F.col("frame") < F.col("_frames")).select("ch", "frame", "t", F.coalesce("chi", F.lit(float("nan"))).alias("chi"))
 
 
 def modulation_depth(series: DataFrame, value: str, rate: float, step: float) -> DataFrame:

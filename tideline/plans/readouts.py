@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.operators import pairs, readouts, samples, spectra
+from tideline.operators import pairs, readouts, samples
 from tideline.plans.base import SIG, TIMED, Book, r, signal, table, timed
 from tideline.plans.samplewise import _MONTAGE
 from tideline.plans.spectral import FS
@@ -115,5 +115,5 @@ def circular_inputs(spark, sf_dir) -> DataFrame:
 @query()
 def band_means(spark, sf_dir) -> DataFrame:
     """Connectivity of all channel pairs, averaged over a band."""
-    z = pairs.connectivity(spectra.records(signal(spark, sf_dir)), FS, 16, 1.0, 2.0)
+    z = pairs.connectivity(signal(spark, sf_dir), FS, 16, 1.0, 2.0)
     return pairs.band_means(z).select("a", "b", r("coherence", 4).alias("coherence"), r("dwpli", 4).alias("dwpli"))
