@@ -229,3 +229,45 @@ def test_provenance_of_a_closure(spark):
     registry = spark.createDataFrame([("a", "measured", "scalar"), ("b", "invented", "scalar"), ("c", "derived", "pending"), ("d", "derived", "solved")], "key string, standing string, kind string")
     closure = spark.createDataFrame([("m1", "a"), ("m1", "d"), ("m2", "a"), ("m2", "b"), ("m3", "c"), ("m4", "nowhere")], "metric string, key string")
     assert {r["metric"]: r["provisional"] for r in params.provisional_metrics(closure, registry).collect()} == {"m1": False, "m2": True, "m3": True, "m4": True}
+
+
+@pytest.mark.parametrize("size", [200, 1 << 16])
+def test_band_amplitude_follows_a_phase(spark, size):
+    from tideline.operators import coupling
+
+    fs, n = 64.0, 1500
+    t = np.arange(n) / fs
+    phase = 2 * np.pi * 0.25 * t
+    x = (1 + 0.5 * np.cos(phase - 1.0)) * np.sin(2 * np.pi * 10 * t) + 3 * np.sin(2 * np.pi * 1.0 * t)
+    phases = spark.createDataFrame([(1, i, float(p)) for i, p in enumerate(phase)], "ch long, i long, phase double")
+    got = coupling.band_amplitude_harmonic(table(spark, {1: x}), phases, 8.0, 12.0, fs, size=size).first()
+    band = dsp.cascade(x, dsp.sections(fs, 8.0, 12.0))
+    half = 8
+    env = np.array([np.sqrt(np.mean(band[max(0, i - half) : i + half + 1] ** 2)) for i in range(n)])
+    z = np.mean(env * np.exp(1j * phase))
+    assert got["depth"] == pytest.approx(2 * abs(z) / env.mean(), rel=1e-6) and got["amplitude"] == pytest.approx(env.mean(), rel=1e-6)
+    assert got["max_phase"] == pytest.approx(np.angle(z), abs=1e-6) and abs(got["max_phase"] - 1.0) < 0.2
+    v = coupling.periodic_vector(spark.createDataFrame([got])).first()
+    assert math.hypot(v["cosine"], v["sine"]) == pytest.approx(v["amplitude"])
+    a = spark.createDataFrame([(1, 1.0, 3.0, 4.0)], "ch long, mean double, cosine double, sine double")
+    b = spark.createDataFrame([(1, 0.5, 3.0, 3.0)], "ch long, mean double, cosine double, sine double")
+    d = coupling.vector_difference(a, b, ["ch"]).first()
+    assert (d["mean"], d["cosine"], d["sine"], d["amplitude"]) == (0.5, 0.0, 1.0, 1.0) and d["phase"] == pytest.approx(math.pi / 2)
+
+
+def test_exponent_job_of_stored_epochs(spark):
+    from tideline.operators import coupling, spectra
+    from tideline.sources import epochs
+
+    rng = np.random.default_rng(11)
+    x = {c: rng.normal(size=320).cumsum() for c in ("Fz", "A1", "A2")}
+    rows = [("r", c, place, i, float(v)) for place, (c, xs) in enumerate(x.items()) for i, v in enumerate(xs)]
+    stored = epochs.blocks(spark.createDataFrame(rows, "run_id string, channel string, place int, i long, x double"), 8.0, 80)
+    got = coupling.exponent_job_of_epochs(stored, "Fz", [0.1, 0.25], lo=0.5, hi=3.5).orderBy("rate").collect()
+    plain = table(spark, {1: x["Fz"] - (x["A1"] + x["A2"]) / 2})
+    chi = spectra.exponent_over_time(plain, 8.0, 2.0, 0.25, 0.5, 3.5)
+    assert [r["rate"] for r in got] == [0.1, 0.25] and {r["frames"] for r in got} == {chi.count()}
+    for r in got:
+        assert r["depth"] == pytest.approx(spectra.modulation_depth(chi, "chi", r["rate"], 0.25).first()["depth"])
+    with pytest.raises(ValueError, match="continue"):
+        coupling.exponent_job_of_epochs(stored.where("epoch <> 2"), "Fz", [0.1])

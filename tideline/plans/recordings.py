@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions import dsp
-from tideline.operators import beats, channels, overview, scans, spatial, windows
+from tideline.operators import beats, channels, coupling, overview, scans, spatial, spectra, windows
+from tideline.plans import spectral
 from tideline.plans.base import SIG, TIMED, Book, r, signal, table, timed
 from tideline.sources import edf, params
 
@@ -106,3 +107,56 @@ def metric_provenance(spark, sf_dir) -> DataFrame:
     closure = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("metric"), F.col("l_partkey").alias("key"))
     registry = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.when(F.col("p_size") <= 3, "invented").otherwise("measured").alias("standing"), F.when(F.col("p_size") % 10 == 7, "pending").otherwise("scalar").alias("kind"))
     return params.provisional_metrics(closure, registry)
+
+
+def phases(spark, sf_dir, period: float = 20.0) -> DataFrame:
+    """(ch, i, phase): a slow phase that turns once in `period` samples."""
+    return signal(spark, sf_dir).select("ch", "i", (F.col("i") * (2 * math.pi / period)).alias("phase"))
+
+
+@query()
+def band_amplitude_coupling(spark, sf_dir) -> DataFrame:
+    """Band, envelope and first harmonic in one go."""
+    fits = coupling.band_amplitude_harmonic(signal(spark, sf_dir), phases(spark, sf_dir), 0.5, 2.0, FS)
+    return fits.select("ch", r("depth", 5).alias("depth"), r("max_phase", 4).alias("max_phase"), r("amplitude", 4).alias("amplitude"))
+
+
+_CHI = "WITH " + spectral._psd(16, 2, range(1, 9), FS, "ch, frame", 1) + ", chi AS (SELECT ch, frame, -regr_slope(log10(power), log10(freq)) AS chi, count(*) AS bins FROM psd WHERE freq >= 0.5 AND freq <= 3.5 AND power > 0 GROUP BY ch, frame)"
+
+
+@query(_CHI + f""", p AS (SELECT chi.ch, chi, least(n - 1, frame * 2 + 8) * {2 * math.pi / 20.0!r}::DOUBLE AS phase FROM chi JOIN len ON len.ch = chi.ch WHERE bins >= 4),
+ g AS (SELECT ch, count(*) AS n, var_pop(cos(phase)) AS cc, var_pop(sin(phase)) AS ss, covar_pop(cos(phase), sin(phase)) AS cs, covar_pop(cos(phase), chi) AS cy, covar_pop(sin(phase), chi) AS sy, avg(chi) AS m, avg(cos(phase)) AS mc, avg(sin(phase)) AS ms FROM p GROUP BY ch),
+ b AS (SELECT *, (cy * ss - sy * cs) / (cc * ss - cs * cs) AS bc, (sy * cc - cy * cs) / (cc * ss - cs * cs) AS bs FROM g WHERE n >= 12)
+ SELECT ch, round(m - bc * mc - bs * ms, 4) + 0.0 AS mean, round(bc, 4) + 0.0 AS cosine, round(bs, 4) + 0.0 AS sine, round(sqrt(bc * bc + bs * bs), 4) AS amplitude FROM b""")
+def exponent_harmonic(spark, sf_dir) -> DataFrame:
+    """The exponent over time against a slow phase at the windows' centres, of channels of 12 windows or more."""
+    long = signal(spark, sf_dir).groupBy("ch").agg(F.count("*").alias("n")).where(F.floor((F.col("n") - 16) / 2) >= 12).select("ch")
+    fit = coupling.exponent_harmonic(signal(spark, sf_dir).join(long, "ch", "left_semi"), phases(spark, sf_dir), FS, 2.0, 0.25, 0.5, 3.5)
+    return fit.select("ch", *[r(c, 4).alias(c) for c in ("mean", "cosine", "sine", "amplitude")])
+
+
+_RUNS = SIG.replace("sig AS", "all_sig AS") + ", sig AS (SELECT a.ch // 3 AS ch, a.i, a.x - (b.x + c.x) / 2 AS x FROM all_sig a JOIN all_sig b ON b.ch = a.ch + 1 AND b.i = a.i JOIN all_sig c ON c.ch = a.ch + 2 AND c.i = a.i WHERE a.ch % 3 = 0)"
+
+
+@query(_CHI.replace(SIG, _RUNS) + f""", hw AS (SELECT ch, frame, CASE WHEN bins >= 4 THEN chi END AS chi, 0.5 * (1 - cos(2 * pi() * frame / count(*) OVER (PARTITION BY ch))) AS w, {2 * math.pi * 0.5 * 0.25!r}::DOUBLE * frame AS turn FROM chi)
+ SELECT ch AS run, count(*) AS frames, CASE WHEN count(chi) >= 8 THEN round(2 * sqrt(pow(sum(w * chi * cos(turn)), 2) + pow(sum(w * chi * sin(turn)), 2)) / sum(CASE WHEN chi IS NOT NULL THEN w END), 4) END AS depth FROM hw GROUP BY ch""")
+def exponent_job(spark, sf_dir) -> DataFrame:
+    """Three users are a run: one is referenced to the mean of the others, then its exponent over time and how far that is modulated."""
+    names = F.element_at(F.array(F.lit("C3"), F.lit("A1"), F.lit("A2")), (F.col("ch") % 3 + 1).cast("int"))
+    s = signal(spark, sf_dir).select(F.floor(F.col("ch") / 3).alias("run_id"), names.alias("channel"), "i", "x")
+    whole = s.groupBy("run_id", "i").agg(F.count("*").alias("n")).where("n = 3").select("run_id", "i")
+    got = coupling.exponent_job(s.join(whole, ["run_id", "i"]), "C3", FS, [0.5])
+    return got.select(F.col("run_id").alias("run"), "frames", r("depth", 4).alias("depth"))
+
+
+@query()
+def spectral_peaks(spark, sf_dir) -> DataFrame:
+    """Each channel's spectrum as background and peaks."""
+    fits = spectra.peak_fits(spectral.psd(spark, sf_dir), 0.25, 4.0).where("exponent is not null")
+    return fits.select("ch", r("offset", 4).alias("offset"), r("exponent", 4).alias("exponent"), r("r2", 4).alias("r2"), F.size("peaks").alias("peaks"))
+
+
+@query()
+def exponent_estimators(spark, sf_dir) -> DataFrame:
+    """Five estimates of each channel's exponent."""
+    return spectra.exponents(spectral.psd(spark, sf_dir), (2.0, 4.0), (0.5, 4.0), (0.5, 1.5), (2.0, 3.5)).select("ch", "estimator", r("chi", 4).alias("chi"))
