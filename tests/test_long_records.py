@@ -271,3 +271,19 @@ def test_exponent_job_of_stored_epochs(spark):
         assert r["depth"] == pytest.approx(spectra.modulation_depth(chi, "chi", r["rate"], 0.25).first()["depth"])
     with pytest.raises(ValueError, match="continue"):
         coupling.exponent_job_of_epochs(stored.where("epoch <> 2"), "Fz", [0.1])
+
+
+def test_alpha_metrics_are_those_of_the_envelope(spark):
+    from tideline.operators import coupling
+
+    fs, n = 64.0, 1200
+    t = np.arange(n) / fs
+    x = np.where((t // 3) % 2 == 0, 2.0, 0.4) * np.sin(2 * np.pi * 10 * t) + np.random.default_rng(12).normal(size=n)
+    got = coupling.alpha_metrics(table(spark, {1: x}), 8.0, 12.0, fs, 100).first()
+    band = dsp.cascade(x, dsp.sections(fs, 8.0, 12.0))
+    env = np.array([np.sqrt(np.mean(band[max(0, i - 8) : i + 9] ** 2)) for i in range(n)])
+    d = env - env.mean()
+    m2, m3, m4 = ((d**k).mean() for k in (2, 3, 4))
+    assert got["level"] == pytest.approx(env.mean()) and got["bimodality"] == pytest.approx((m3 * m3 / m2**3 + 1) / (m4 / m2**2), rel=1e-5)
+    lags = [k for k in range(1, 101) if (d[: n - k] * d[k:]).sum() <= (d * d).sum() / math.e]
+    assert got["lag"] == lags[0] and got["bimodality"] > 0.555

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tideline.functions import dsp
 from tideline.operators import samples as S
-from tideline.operators import scans, spectra, stats
+from tideline.operators import readouts, scans, spectra, stats
 from tideline.operators.beats import haloed
 from tideline.sources import epochs
+from tideline.sources.written import written
 
 
 def band_limited(samples: DataFrame, lo: float, hi: float, fs: float, order: int = 4, size: int = scans.CHUNK) -> DataFrame:
@@ -101,3 +102,10 @@ def exponent_job_of_epochs(table: DataFrame, channel: str, rates: list[float], *
     if len(rate) != 1:
         raise ValueError("epochs must have one sampling rate")
     return exponent_job(epochs.samples(table), channel, rate[0]["fs"], rates, **how)
+
+
+def alpha_metrics(samples: DataFrame, lo: float, hi: float, fs: float, longest: int, order: int = 4, size: int = scans.CHUNK) -> DataFrame:
+    """(ch, level, bimodality, lag): of the band's envelope its mean, how bimodal it is, and the first lag at which its autocorrelation has fallen to 1 / e."""
+    own = written(envelope(band_limited(samples, lo, hi, fs, order, size), round(fs / max(hi - lo, 1.0)) >> 1, size))
+    level = own.groupBy("ch").agg(F.avg("x").alias("level"))
+    return level.join(readouts.envelope_shape(own).select("ch", "bimodality"), "ch", "left").join(readouts.folding_lag(own, longest), "ch", "left")

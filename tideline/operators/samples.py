@@ -61,15 +61,27 @@ def rereferenced(samples: DataFrame, mode: str, keys: list[str], neighbours: Dat
     elif mode == "laplacian":
         if neighbours is None:
             raise ValueError("the Laplacian needs the neighbours of each channel")
-        # A sample's channels become one list, from which every neighbour is read: one shuffle, and no join of samples.
-        lists = neighbours.groupBy("channel").agg(F.collect_list("neighbour").alias("_near"))
-        whole = scalp.groupBy(*keys).agg(F.collect_list(F.struct("channel", "x")).alias("_all"))
-        each = whole.select(*keys, "_all", F.explode("_all").alias("_own")).select(*keys, "_all", "_own.*").join(F.broadcast(lists), "channel")
-        there = F.transform(F.filter("_all", lambda e: F.array_contains("_near", e["channel"]) & e["x"].isNotNull()), lambda e: e["x"])
-        near = each.withColumn("_there", there).where(F.size("_there") > 0)
-        mean = F.aggregate("_there", F.lit(0.0), lambda s, v: s + v) / F.size("_there")
-        # Of repeated samples of a channel the largest counts, so that a repeated task finds the same; the rows lie together already.
-        return near.groupBy(*keys, "channel").agg((F.max("x") - F.first(mean)).alias("x"))
+        # A montage's channels become columns in one aggregate, from which every neighbour is read: one shuffle, no join and no list.
+        listed = neighbours.select("channel", "neighbour").distinct().limit(4097).collect()
+        if len(listed) > 4096:
+            raise ValueError("neighbours are those of a montage")
+        near: dict[str, list[str]] = {}
+        for c, other in sorted(map(tuple, listed)):
+            near.setdefault(c, []).append(other)
+        names = sorted(set(near) | {o for os in near.values() for o in os})
+        at = {c: n for n, c in enumerate(names)}
+        own = lambda f, c, value: f(F.when(F.col("channel") == c, value))
+        parts = [(F.max, "x", F.col("x")), (F.max, "on", F.lit(1)), (F.sum, "s", F.col("x")), (F.count, "n", F.col("x"))]
+        whole = scalp.groupBy(*keys).agg(*[own(f, c, value).alias(f"_{name}{n}") for f, name, value in parts for c, n in at.items()])
+
+        def less_mean(c: str) -> Column:
+            total = sum((F.coalesce(f"_s{at[o]}", F.lit(0.0)) for o in near[c]), F.lit(0.0))
+            count = sum((F.col(f"_n{at[o]}") for o in near[c]), F.lit(0))
+            return F.when(F.col(f"_on{at[c]}").isNotNull() & (count > 0), F.struct(F.lit(c).alias("channel"), (F.col(f"_x{at[c]}") - total / count).alias("x")))
+
+        # Of repeated samples of a channel itself the largest counts, so that a repeated task finds the same; of its neighbours all do.
+        rows = F.explode(F.array_compact(F.array(*[less_mean(c) for c in near]))).alias("_r")
+        return whole.select(*keys, rows).select(*keys, "_r.*")
     else:
         raise ValueError(f"no such reference: {mode}")
     return samples.withColumn("_ref", ref).where(~F.col("channel").isin(*REFERENCES)).withColumn("x", F.col("x") - F.col("_ref")).drop("_ref")

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions import dsp
-from tideline.operators import beats, channels, coupling, overview, scans, spatial, spectra, windows
+from tideline.operators import beats, channels, coupling, overview, samples, scans, spatial, spectra, windows
 from tideline.plans import spectral
 from tideline.plans.base import SIG, TIMED, Book, r, signal, table, timed
-from tideline.sources import edf, params
+from tideline.sources import edf, montage, params
 
 BOOK = Book()
 query, QUERIES, SQL = BOOK.query, BOOK.QUERIES, BOOK.SQL
@@ -160,3 +160,24 @@ def spectral_peaks(spark, sf_dir) -> DataFrame:
 def exponent_estimators(spark, sf_dir) -> DataFrame:
     """Five estimates of each channel's exponent."""
     return spectra.exponents(spectral.psd(spark, sf_dir), (2.0, 4.0), (0.5, 4.0), (0.5, 1.5), (2.0, 3.5)).select("ch", "estimator", r("chi", 4).alias("chi"))
+
+
+@query()
+def alpha_metrics(spark, sf_dir) -> DataFrame:
+    """The shape of a band's envelope."""
+    got = coupling.alpha_metrics(signal(spark, sf_dir), 0.75, 1.75, FS, 8)
+    return got.select("ch", r("level", 4).alias("level"), r("bimodality", 4).alias("bimodality"), "lag")
+
+
+_PLACES = "montage(channel, x, y, place) AS (VALUES " + ", ".join(f"('{c}', {x}::DOUBLE, {y}::DOUBLE, {i})" for i, (c, x, y) in enumerate(montage.PLACES) if c in montage.SCALP) + ")"
+
+
+@query(f"""WITH {SIG}, {_PLACES}, n AS (SELECT a.channel, b.channel AS other, row_number() OVER (PARTITION BY a.channel ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.place) AS k FROM montage a JOIN montage b ON a.channel <> b.channel),
+ s AS (SELECT ch // 19 AS run, i, channel, sig.x FROM sig JOIN montage ON place = ch % 19)
+ SELECT a.run, a.i, a.channel, round(max(a.x) - avg(b.x), 5) + 0.0 AS x FROM s a JOIN n ON n.channel = a.channel AND n.k <= 4 JOIN s b ON b.run = a.run AND b.i = a.i AND b.channel = n.other GROUP BY 1, 2, 3""")
+def laplacian_of_a_montage(spark, sf_dir) -> DataFrame:
+    """Nineteen users are a montage: every channel less the mean of its four nearest."""
+    names = F.element_at(F.array(*[F.lit(c) for c in montage.SCALP]), (F.col("ch") % 19 + 1).cast("int"))
+    s = signal(spark, sf_dir).select(F.floor(F.col("ch") / 19).alias("run"), "i", names.alias("channel"), "x")
+    near = samples.nearest(montage.table(spark).where(F.col("channel").isin(*montage.SCALP)), 4)
+    return samples.rereferenced(s, "laplacian", ["run", "i"], near).select("run", "i", "channel", r("x", 5).alias("x"))
