@@ -439,6 +439,26 @@ def test_winnowing(spark, corpus):
             assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
 
 
+def test_grams_are_rolled_polynomials(spark):
+    """Every gram's value follows from the one before, the word that leaves and the word that comes."""
+    import xxhash
+
+    words = words_of(40, 3)
+    p, b, g = winnowing.MODULUS, winnowing.BASE, winnowing.GRAM
+    h = [xxhash.xxh64_intdigest(w.encode(), 42) >> 33 for w in words]
+    value, rolled = sum(h[k] * b ** (g - 1 - k) for k in range(g)) % p, []
+    for i in range(len(words) - g + 1):
+        rolled.append(xxhash.xxh64_intdigest(value.to_bytes(8, "little"), 42) >> 33)
+        if i + g < len(words):
+            value = ((value - h[i] * b ** (g - 1)) * b + h[i + g]) % p
+    row = spark.createDataFrame([(" ".join(words),)], "text string").select(winnowing.winnow(F.col("text")).alias("v")).first()
+    want = set()
+    for at in range(len(rolled) - winnowing.WINDOW + 1):
+        least = min(rolled[at : at + winnowing.WINDOW])
+        want.add(max((i for i in range(at, at + winnowing.WINDOW) if rolled[i] == least)))
+    assert {0xFFFFFFFF - (v & 0xFFFFFFFF): v >> 32 for v in row["v"]} == {i: rolled[i] for i in want}
+
+
 def test_winnowed_minimum_is_the_rightmost(spark):
     text = " ".join(["a b c"] * 30)
     row = spark.createDataFrame([(text,)], "text string").select(winnowing.winnow(F.col("text")).alias("v")).first()

@@ -85,10 +85,21 @@ def xx(words):
     return seed
 
 
+def xx_long(value):
+    import xxhash
+
+    return xxhash.xxh64_intdigest(value.to_bytes(8, "little"), 42)
+
+
 def plain_winnow(text):
     """Places and 31-bit hashes of the chosen grams, by the definition."""
     words = [w for w in "".join(" " if c in "\t\n\x0b\x0c\r" else c for c in (text or "").lower()).split(" ") if w]
-    grams = [xx(words[i : i + winnowing.GRAM]) >> 33 for i in range(max(1, len(words) - winnowing.GRAM + 1))] if words else []
+    grams = []
+    for i in range(max(1, len(words) - winnowing.GRAM + 1)) if words else []:
+        value = 0
+        for k in range(winnowing.GRAM):
+            value = (value * winnowing.BASE + (xx(words[i + k : i + k + 1]) >> 33 if i + k < len(words) else 0)) % winnowing.MODULUS
+        grams.append(xx_long(value) >> 33)
     chosen = set()
     for at in range(max(1, len(grams) - winnowing.WINDOW + 1) if grams else 0):
         window = range(at, min(len(grams), at + winnowing.WINDOW))

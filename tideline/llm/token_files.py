@@ -239,18 +239,31 @@ def read_tokens(blocks: DataFrame, include_ids: bool = False) -> DataFrame:
 
 
 def read_range(block, document: int, start: int, n: int):
-    """Random access: n ids of one document of a block row from its id `start`, expanding only the symbols that hold them."""
+    """Random access: n ids of one document of a block row from its id `start`. Only the rules that hold them are followed: expansion lengths say
+    which halves lie before them, so the work is n plus the grammar's depth."""
     import numpy as np
 
     ends = np.frombuffer(block["ends"], "<u4")
-    lengths = np.frombuffer(block["lengths"], "<u4").astype(np.int64)
-    part = np.frombuffer(block["stream"], "<u4")[int(ends[document - 1]) if document else 0 : int(ends[document])]
-    sizes = np.where(part >= NONTERMINAL, lengths[np.where(part >= NONTERMINAL, part.astype(np.int64) - NONTERMINAL, 0)], 1) if len(lengths) else np.ones(len(part), np.int64)
+    lengths, rules = np.frombuffer(block["lengths"], "<u4"), np.frombuffer(block["rules"], "<u4").reshape(-1, 2)
+    part = np.frombuffer(block["stream"], "<u4")[int(ends[document - 1]) if document else 0 : int(ends[document])].astype(np.int64)
+    whole = part >= NONTERMINAL
+    sizes = np.ones(len(part), np.int64)
+    sizes[whole] = lengths[part[whole] - NONTERMINAL]
     reach = np.cumsum(sizes)
-    a, b = int(np.searchsorted(reach, start, "right")), int(np.searchsorted(reach, start + n, "left")) + 1
-    flat, starts, full = expansions(np.frombuffer(block["rules"], "<u4").reshape(-1, 2))
-    skip = start - (int(reach[a - 1]) if a else 0)
-    return expand(part[a:b], flat, starts, full)[skip : skip + n]
+    first = int(np.searchsorted(reach, start, "right"))
+    last = int(np.searchsorted(reach, start + n, "left")) + 1
+    skip, out, stack = start - (int(reach[first - 1]) if first else 0), [], part[first:last][::-1].tolist()
+    while stack and len(out) < n:
+        symbol = stack.pop()
+        size = int(lengths[symbol - NONTERMINAL]) if symbol >= NONTERMINAL else 1
+        if skip >= size:
+            skip -= size
+        elif symbol < NONTERMINAL:
+            out.append(symbol)
+        else:
+            left, right = rules[symbol - NONTERMINAL].tolist()
+            stack += [right, left]
+    return np.array(out, np.int64)
 
 
 def token_table(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:

@@ -10,21 +10,30 @@ from .common import Scratch, let
 
 #: Words a gram and grams a window (a power of two): a run of GRAM + WINDOW - 1 equal words is always found.
 GRAM, WINDOW = 3, 4
+#: Modulus and base of the grams' polynomial; products stay below 2^62.
+MODULUS, BASE = (1 << 31) - 1, 1_000_003
 
 
 def winnow(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
     """The chosen grams of a text as longs, each a 31-bit hash above its place counted from the end of 32 bits.
 
-    Words (lower case, between white space) give rolling grams; of every window of `window` grams the smallest hash is
+    Every word (lower case, between white space) is hashed once; a gram is the polynomial of its words' hashes modulo 2^31 - 1, so that the next one
+    needs no word anew, and is mixed so that order among grams is that of chance. Of every window of `window` grams the smallest hash is
     chosen, the rightmost of equal ones: as the place is counted down, that is the smallest long. Minima come by
     doubling: of 2 grams, of 4, ... A text of at most one window's grams is one window; one of fewer words than a gram is
     one gram, and one without words, or null, has none. Very long texts are taken whole.
     """
-    def grams(words: Column) -> Column:
-        place = F.sequence(F.lit(0), F.greatest(F.size(words) - gram, F.lit(0)))
-        whole = lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(gram)])
-        chosen = F.transform(place, lambda i: F.shiftleft(F.shiftrightunsigned(whole(i), 33), 32).bitwiseOR(F.lit(0xFFFFFFFF) - i))
-        return F.when(F.size(words) > 0, chosen).otherwise(F.array().cast("array<bigint>"))
+    def grams(values: Column) -> Column:
+        place = F.sequence(F.lit(0), F.greatest(F.size(values) - gram, F.lit(0)))
+
+        def rolled(i: Column) -> Column:
+            total = F.lit(0).cast("bigint")
+            for k in range(gram):
+                total = (total * BASE + F.coalesce(F.get(values, i + k), F.lit(0).cast("bigint"))) % MODULUS
+            return F.shiftrightunsigned(F.xxhash64(total), 33)
+
+        chosen = F.transform(place, lambda i: F.shiftleft(rolled(i), 32).bitwiseOR(F.lit(0xFFFFFFFF) - i))
+        return F.when(F.size(values) > 0, chosen).otherwise(F.array().cast("array<bigint>"))
 
     def minima(values: Column) -> Column:
         def level(v: Column, width: int) -> Column:
@@ -37,7 +46,7 @@ def winnow(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
         return let(values, lambda v: F.when(F.size(v) > window, F.array_distinct(level(v, 1))).otherwise(least(v)))
 
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[ \\t-\\r]+"), lambda w: w != "")
-    return minima(let(words, grams))
+    return minima(let(F.transform(words, lambda w: F.shiftrightunsigned(F.xxhash64(w), 33)), grams))
 
 
 def hashes(chosen: Column) -> Column:
