@@ -125,3 +125,20 @@ def report(results: list[tuple[str, str, str, dict]]) -> str:
     worst = max((3 if s == "ERROR" else 2 if s == "FAIL" else 1 if s in ("SKIPPED", "UNAVAILABLE") else 0 for _, _, s, _ in results), default=1)
     lines = [f"{n} {a}: {s} {' '.join(f'{k}={v}' for k, v in m.items())}".rstrip() for n, a, s, m in results]
     return "\n".join([*lines, ("PASS", "INCOMPLETE", "FAIL", "ERROR")[worst]]) + "\n"
+
+
+def report_table(results: list[tuple[str, str, str, dict]]) -> dict:
+    """The report as a structure for JSON: gates in order with their status, metrics and the standing of each threshold, counts by status, and the verdict."""
+    counts: dict[str, int] = {}
+    for _, _, status, _ in results:
+        counts[status] = counts.get(status, 0) + 1
+    gates = [{"gate": n, "arm": a, "status": s, "metrics": {k: v for k, v in m.items() if v == v}} for n, a, s, m in results]
+    return {"version": 1, "verdict": report(results).splitlines()[-1], "counts": dict(sorted(counts.items())), "gates": gates}
+
+
+def write_report(spark, results: list[tuple[str, str, str, dict]], path: str) -> None:
+    """The report as text and as JSON, side by side in one folder."""
+    import json
+
+    rows = [("report.txt", report(results)), ("report.json", json.dumps(report_table(results), sort_keys=True, indent=1))]
+    spark.createDataFrame(rows, "name string, value string").repartition(2, "name").write.partitionBy("name").mode("overwrite").text(path)

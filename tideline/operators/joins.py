@@ -101,3 +101,13 @@ def paired(arms: DataFrame, keys: list[str], arm: str, a, b, x: str) -> DataFram
     return got.where("a is not null and b is not null")
 
 
+def marker_times(events: DataFrame, offset: str = "marker_offset") -> DataFrame:
+    """Events with the time of their marker: the onset and the event's own offset in seconds, 0 where it has none."""
+    return events.withColumn("marker", F.col("onset") + F.coalesce(F.col(offset), F.lit(0.0)))
+
+
+def phase_at_marker(marked: DataFrame, phases: DataFrame, fs: float) -> DataFrame:
+    """Marked events with the phase (ch, i, phase) at the sample nearest their marker, held inside the record."""
+    last = phases.groupBy("ch").agg(F.max("i").alias("_last"))
+    at = marked.join(last, "ch").withColumn("i", F.greatest(F.lit(0), F.least(F.col("_last"), F.floor(F.col("marker") * fs + 0.5))).cast("bigint")).drop("_last")
+    return at.join(phases.select("ch", "i", "phase"), ["ch", "i"])

@@ -267,3 +267,18 @@ def exponents(psd: DataFrame, narrow: tuple[float, float], wide: tuple[float, fl
         fits = peak_fits(psd, *band).where("exponent is not null")
         out = out.unionByName(fits.select("ch", F.lit(f"peaks_{name}").alias("estimator"), F.col("exponent").alias("chi")))
     return out
+
+
+def summed_band_power(psd: DataFrame, bands: dict[str, tuple[float, float]]) -> DataFrame:
+    """Power times the bins' width, summed over the bins of each closed band; the bin at 0 never counts."""
+    width = psd.groupBy("ch").agg(F.min(F.when(F.col("freq") > 0, F.col("freq"))).alias("_df"))
+    inside = lambda lo, hi: (F.col("freq") > 0) & (F.col("freq") >= F.ceil(F.lit(lo) / F.col("_df")) * F.col("_df") - 1e-9) & (F.col("freq") <= F.floor(F.lit(hi) / F.col("_df")) * F.col("_df") + 1e-9)
+    return psd.join(width, "ch").groupBy("ch").agg(*[F.sum(F.when(inside(*b), F.col("power") * F.col("_df")).otherwise(0.0)).alias(n) for n, b in bands.items()])
+
+
+def exponent_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, difference) of exponents (keys, chi, mode, lo, hi); exponents of different modes or bands can't be compared, and are an error."""
+    other = b.select(*keys, *[F.col(c).alias(f"_{c}") for c in ("chi", "mode", "lo", "hi")])
+    same = F.col("mode").eqNullSafe(F.col("_mode")) & F.col("lo").eqNullSafe(F.col("_lo")) & F.col("hi").eqNullSafe(F.col("_hi"))
+    refused = F.raise_error(F.lit("exponents of different modes or bands can't be compared")).cast("double")
+    return a.join(other, keys).select(*keys, F.when(same, F.col("chi") - F.col("_chi")).otherwise(refused).alias("difference"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -195,3 +196,27 @@ def provisional_metrics(dependencies: DataFrame, params: DataFrame) -> DataFrame
     open_ = (F.col("standing") == "invented") | (F.col("kind") == "pending")
     met = dependencies.join(params.select("key", "standing", "kind"), "key", "left")
     return met.groupBy("metric").agg(F.bool_or(F.coalesce(open_, F.lit(True))).alias("provisional"))
+
+
+def markdown(records: list[tuple] | None = None) -> str:
+    """The registry as a Markdown table, keys in order."""
+    shown = []
+    for r in Registry(records).by_key.values():
+        value = r["v"] if r["v"] is not None else f"{r['lo']}..{r['hi']}" if r["lo"] is not None else r["text"] or ", ".join(r["items"] or [])
+        shown.append(f"| `{r['key']}` | {r['kind']} | {value} | {r['units'] or ''} | {r['standing']} |")
+    return "\n".join(["| key | kind | value | units | standing |", "|-|-|-|-|-|", *sorted(shown)]) + "\n"
+
+
+def stale(emitted: str, records: list[tuple] | None = None) -> list[str]:
+    """Keys whose line in an emitted registry isn't what would be emitted now: changed, missing or left over. None: it is up to date."""
+    own, old = ({json.loads(line)["key"]: line for line in text.splitlines()} for text in (emit(records), emitted))
+    return sorted(k for k in own.keys() | old.keys() if own.get(k) != old.get(k))
+
+
+def released(profile: dict, calibration: dict, version: str, **overrides) -> dict:
+    """The released options: the profile, the calibrated level, and what is overridden. A calibration without a finite level, or of another
+    version, is an error: it must be made anew."""
+    level = calibration.get("value_db")
+    if not isinstance(level, int | float) or not math.isfinite(level) or calibration.get("generator_version") != version:
+        raise ValueError("the release's calibration is missing, invalid or stale")
+    return {**profile, "snr_db": level, **overrides}
