@@ -93,8 +93,8 @@ def interleaved_complexity(spark, sf_dir) -> DataFrame:
 
 
 @query(f"""WITH {TIMED}, a AS (SELECT ch, t % 86400 AS onset, floor(floor(x) / 30) AS whole, CASE type WHEN 'signup' THEN 'wake' WHEN 'view' THEN 'n1' WHEN 'click' THEN 'n2' WHEN 'purchase' THEN 'rem' END AS state FROM timed),
- e AS (SELECT ch, state, onset + 30 * unnest(range(CAST(whole AS BIGINT))) AS at FROM a WHERE state IS NOT NULL AND whole > 0)
- SELECT CAST(ch AS VARCHAR) AS file, state, CAST(count(*) AS BIGINT) AS epochs, CAST(min(at) * 4 AS BIGINT) AS first, CAST(max(at) * 4 AS BIGINT) AS last FROM e GROUP BY 1, 2""")
+ e AS (SELECT ch, state, onset + 30 * unnest(range(CAST(whole AS BIGINT))) AS moment FROM a WHERE state IS NOT NULL AND whole > 0)
+ SELECT CAST(ch AS VARCHAR) AS file, state, CAST(count(*) AS BIGINT) AS epochs, CAST(min(moment) * 4 AS BIGINT) AS first, CAST(max(moment) * 4 AS BIGINT) AS last FROM e GROUP BY 1, 2""")
 def staged_epochs(spark, sf_dir) -> DataFrame:
     """Events as annotations of a user's day: whole epochs of 30 seconds inside them, by state."""
     notes = timed(spark, sf_dir).select(F.col("ch").cast("string").alias("file"), (F.col("t") % 86400).cast("double").alias("onset"), F.col("x").alias("duration"), F.col("type").alias("description"))
