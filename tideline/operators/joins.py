@@ -39,36 +39,48 @@ def sample_at(times: DataFrame, samples: DataFrame, fs: float, n: Column) -> Dat
 
 
 def nearest_event(events: DataFrame, at: DataFrame, keys: list[str]) -> DataFrame:
-    """The event nearest to each time: the last before and the first after are found by one sort; ties go to the earlier onset."""
+    """The event nearest to each time: the last before and the first after are found by a running sort either way, so each frame only grows; ties go to the earlier onset."""
     both = at.select(*keys, "t", F.lit(1).alias("_row"), F.lit(None).cast("bigint").alias("event")).unionByName(events.select(*keys, F.col("onset").alias("t"), F.lit(0).alias("_row"), F.col("event").cast("bigint").alias("event")))
     mark = F.when(F.col("_row") == 0, F.struct("t", "event"))
     w = Window.partitionBy(*keys).orderBy("t", "_row")
     before = F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(mark, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    after = F.last(mark, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc("t"), F.desc("_row")).rowsBetween(Window.unboundedPreceding, 0))
     got = both.withColumns({"_b": before, "_a": after}).where("_row = 1")
     take = F.when(F.col("_a").isNull() | (F.col("_b").isNotNull() & (F.col("t") - F.col("_b.t") <= F.col("_a.t") - F.col("t"))), F.col("_b")).otherwise(F.col("_a"))
     return got.select(*keys, "t", take["event"].alias("event"), F.abs(take["t"] - F.col("t")).alias("distance"))
 
 
-def nearest_angle(asked: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
+def nearest_angle(asked: DataFrame, candidates: DataFrame, keys: list[str], bins: int = 4096) -> DataFrame:
     """For each row (id, angle), the candidate of its key with the smallest circular distance, the first id among equal ones.
 
-    Both sides are sorted together once by angle; the last candidate before and the first after are each row's two
-    neighbours, and a turn's ends are joined by the key's last and first candidates (one row a key).
+    The turn is cut into bins. In a bin both sides are sorted together by angle, once either way, and each row finds the last candidate before it
+    and the first after; where its bin has none, the nearest bins' last or first one stands in, round the turn's end too. A bin sends one row for that.
     """
     turn = lambda c: F.pmod(F.col(c), F.lit(6.283185307179586))
+    place = F.floor(F.col("_t") / F.lit(6.283185307179586) * bins)
     found = candidates.groupBy(*keys, turn("candidate_angle").alias("_t")).agg(F.min(F.struct("candidate", "candidate_angle")).alias("_c"))
-    ends = found.groupBy(*keys).agg(F.min_by("_c", "_t").alias("_first"), F.max_by("_c", "_t").alias("_last"))
+    ends = found.groupBy(*keys, place.alias("_bin")).agg(F.min_by("_c", "_t").alias("_first"), F.max_by("_c", "_t").alias("_last"))
+    # One row a key and bin that a row asks from or a candidate lies in: the last candidate of the bins before and the first of those behind.
+    w = Window.partitionBy(*keys).orderBy("_bin")
+    down = Window.partitionBy(*keys).orderBy(F.desc("_bin"))
+    before = lambda o: o.rowsBetween(Window.unboundedPreceding, -1)
+    whole = lambda o: o.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    known = asked.withColumn("_t", turn("angle")).select(*keys, place.alias("_bin")).distinct().join(ends, [*keys, "_bin"], "full_outer")
+    carried = known.select(
+        *keys,
+        "_bin",
+        F.coalesce(F.last("_last", ignorenulls=True).over(before(w)), F.last("_last", ignorenulls=True).over(whole(w))).alias("_before"),
+        F.coalesce(F.last("_first", ignorenulls=True).over(before(down)), F.first("_first", ignorenulls=True).over(whole(w))).alias("_behind"),
+    ).where("_before is not null")
     none = F.lit(None).cast(found.schema["_c"].dataType)
-    both = asked.withColumns({"_t": turn("angle"), "_c": none, "_row": F.lit(1)}).unionByName(found.withColumn("_row", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_t", "_row")
-    before = F.last("_c", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_c", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    near = both.withColumns({"_b": before, "_a": after}).where("_row = 1").join(ends, keys)
+    both = asked.withColumns({"_t": turn("angle"), "_c": none, "_row": F.lit(1)}).unionByName(found.withColumn("_row", F.lit(0)), allowMissingColumns=True).withColumn("_bin", place)
+    up = Window.partitionBy(*keys, "_bin").orderBy("_t", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*keys, "_bin").orderBy(F.desc("_t"), F.desc("_row")).rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumns({"_b": F.last("_c", ignorenulls=True).over(up), "_a": F.last("_c", ignorenulls=True).over(back)}).where("_row = 1").join(carried, [*keys, "_bin"])
     d = lambda c: F.abs(F.atan2(F.sin(F.col("angle") - c["candidate_angle"]), F.cos(F.col("angle") - c["candidate_angle"])))
     option = lambda c: F.struct(d(c).alias("distance"), c["candidate"].alias("candidate"), c["candidate_angle"].alias("candidate_angle"))
-    best = F.least(option(F.coalesce("_b", "_last")), option(F.coalesce("_a", "_first")))
-    return near.withColumn("_best", best).drop("_t", "_c", "_row", "_b", "_a", "_first", "_last").select("*", "_best.*").drop("_best")
+    best = F.least(option(F.coalesce("_b", "_before")), option(F.coalesce("_a", "_behind")))
+    return near.withColumn("_best", best).drop("_t", "_c", "_row", "_b", "_a", "_bin", "_before", "_behind").select("*", "_best.*").drop("_best")
 
 
 def greedy_match(truth: DataFrame, found: DataFrame, width: float, share: float = 0.2) -> DataFrame:
