@@ -107,10 +107,11 @@ def infra_share(psd: DataFrame, low: tuple[float, float], carrier: tuple[float,
 
 
 def log_slope(samples: DataFrame, trim: int, eps: float = 1e-12) -> DataFrame:
-    """Slope of log y on x, so many samples left out at both ends."""
+    """Slope of log y on x, so many samples left out at both ends. y is held at `eps`; without one, the log of 0 is minus infinity and its channel's slope NaN."""
     n = samples.groupBy("ch").agg(F.count("*").alias("_n"))
     inner = samples.join(n, "ch").where((F.col("i") >= trim) & (F.col("i") < F.col("_n") - trim))
-    return inner.groupBy("ch").agg(F.regr_slope(F.log(F.greatest(F.col("y"), F.lit(eps))), F.col("x")).alias("slope"))
+    level = F.log(F.greatest(F.col("y"), F.lit(eps))) if eps else F.when(F.col("y") == 0, F.lit(-math.inf)).otherwise(F.log("y"))
+    return inner.groupBy("ch").agg(F.regr_slope(level, F.col("x")).alias("slope"))
 
 
 def half_rms_ratio(samples: DataFrame) -> DataFrame:
