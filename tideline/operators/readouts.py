@@ -130,6 +130,15 @@ def is_state(name: Column) -> Column:
     return F.coalesce(name.isin(*STATES), F.lit(False))
 
 
+def is_provisional(provenance: Column, open_marks: tuple[str, ...] = ("provisional", "placeholder", "stub")) -> Column:
+    """Whether a provenance text says that it isn't final; none says so too."""
+    low = F.lower(F.coalesce(provenance, F.lit(open_marks[0])))
+    out = F.lit(False)
+    for m in open_marks:
+        out = out | low.contains(m)
+    return out
+
+
 def midpoint(lo: Column, hi: Column) -> Column:
     """What is picked from an interval where one value is needed."""
     return (lo + hi) / 2

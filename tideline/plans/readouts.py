@@ -95,13 +95,15 @@ def interval_picks(spark, sf_dir) -> DataFrame:
     return li.groupBy("l_returnflag").agg(r(F.avg(readouts.midpoint(F.least("l_discount", "l_tax"), F.greatest("l_discount", "l_tax")))).alias("mid"), r(F.sum(readouts.peak_to_rms(F.col("l_quantity"))), 3).alias("rms"))
 
 
-@query("""WITH n AS (SELECT p_partkey, list_element(['wake_eo', 'wake_ec', 'n1', 'n2', 'n3', 'rem', 'N3', 'awake'], 1 + CAST(p_partkey % 8 AS INTEGER)) AS name FROM part)
- SELECT p_partkey, name, name IN ('wake_eo', 'wake_ec', 'n1', 'n2', 'n3', 'rem') AS state FROM n""")
+@query("""WITH n AS (SELECT *, list_element(['wake_eo', 'wake_ec', 'n1', 'n2', 'n3', 'rem', 'N3', 'awake'], 1 + CAST(p_partkey % 8 AS INTEGER)) AS name FROM part)
+ SELECT p_partkey, name, name IN ('wake_eo', 'wake_ec', 'n1', 'n2', 'n3', 'rem') AS dealt_state, p_name IN ('wake_eo', 'wake_ec', 'n1', 'n2', 'n3', 'rem') AS state,
+ contains(lower(p_type), 'provisional') OR contains(lower(p_type), 'placeholder') OR contains(lower(p_type), 'stub') AS provisional FROM n""")
 def name_rules(spark, sf_dir) -> DataFrame:
-    """Names of states and names that only look like them, one a part."""
+    """Whether parts' names are states and their types provisional; beside them names of states and ones that only look like them, one a part."""
     names = F.array(*[F.lit(n) for n in ("wake_eo", "wake_ec", "n1", "n2", "n3", "rem", "N3", "awake")])
-    named = table(spark, sf_dir, "part").select("p_partkey", F.element_at(names, (F.col("p_partkey") % 8 + 1).cast("int")).alias("name"))
-    return named.select("p_partkey", "name", readouts.is_state(F.col("name")).alias("state"))
+    named = table(spark, sf_dir, "part").withColumn("name", F.element_at(names, (F.col("p_partkey") % 8 + 1).cast("int")))
+    rules = readouts.is_state(F.col("name")).alias("dealt_state"), readouts.is_state(F.col("p_name")).alias("state"), readouts.is_provisional(F.col("p_type")).alias("provisional")
+    return named.select("p_partkey", "name", *rules)
 
 
 @query("SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS gate, CAST(l_partkey AS VARCHAR) AS key FROM lineitem WHERE (l_suppkey, l_partkey) IN (SELECT (s_suppkey, p_partkey) FROM supplier JOIN part ON s_nationkey = p_size)")
