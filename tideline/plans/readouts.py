@@ -110,8 +110,11 @@ def name_rules(spark, sf_dir) -> DataFrame:
 def circular_inputs(spark, sf_dir) -> DataFrame:
     """Suppliers as gates and parts as keys: those that were fitted on each other, by nation and size."""
     s, p, li = (table(spark, sf_dir, t) for t in ("supplier", "part", "lineitem"))
-    fitted = s.join(p, F.col("s_nationkey") == F.col("p_size")).select(F.col("s_suppkey").cast("string").alias("gate"), F.col("p_partkey").cast("string").alias("key"))
-    return readouts.circular_inputs(li.select(F.col("l_suppkey").cast("string").alias("gate"), F.col("l_partkey").cast("string").alias("key")), fitted)
+    used = li.select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").alias("p_partkey")).distinct()
+    # Nation and size are looked up for the pairs that are used: all pairs of a nation and a size are their product.
+    fitted = used.join(s, "s_suppkey").join(p, "p_partkey").where(F.col("s_nationkey") == F.col("p_size"))
+    named = lambda df: df.select(F.col("s_suppkey").cast("string").alias("gate"), F.col("p_partkey").cast("string").alias("key"))
+    return readouts.circular_inputs(named(used), named(fitted))
 
 
 @query()
