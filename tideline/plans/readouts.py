@@ -120,5 +120,4 @@ def circular_inputs(spark, sf_dir) -> DataFrame:
 @query()
 def band_means(spark, sf_dir) -> DataFrame:
     """Connectivity of all channel pairs, averaged over a band."""
-    z = pairs.connectivity(signal(spark, sf_dir), FS, 16, 1.0, 2.0)
-    return pairs.band_means(z).select("a", "b", r("coherence", 4).alias("coherence"), r("dwpli", 4).alias("dwpli"))
+    return pairs.mean_connectivity(signal(spark, sf_dir), FS, 16, 1.0, 2.0).select("a", "b", r("coherence", 4).alias("coherence"), r("dwpli", 4).alias("dwpli"))
