@@ -18,6 +18,8 @@ DOCS, WORDS = 8192, 1 << 21
 ITEMS, AT_ONCE, NODES = 256, 32, 16
 #: Terms of query blocks that may be broadcast; beyond that blocks and shards meet by an exchange, in which a block is dealt to so many groups of shards.
 SMALL, GROUPS = 1 << 18, 64
+#: Bytes of a row group of shards and trees, which are some megabytes each.
+GROUP = 1 << 24
 #: Shares of BM25's length part, in hundredths, and its scale.
 LENGTH_SHARE = 75
 #: Bytes that are no part of a term become blanks, A-Z become a-z; all bytes of other characters stay.
@@ -125,7 +127,7 @@ def build(docs: DataFrame, scratch: Scratch) -> Index:
     Null texts have no terms, null doc_ids rank last among equals, repeated rows are documents each. Long texts are read
     whole: the longest makes a shard of its own. An empty table gives an index without shards; extra columns are ignored.
     """
-    shards = scratch.save(_shards(docs).withColumn("shard", F.monotonically_increasing_id()), "shards")
+    shards = scratch.save(_shards(docs).withColumn("shard", F.monotonically_increasing_id()), "shards", GROUP)
     total = shards.select(F.sum(F.size(F.filter("lengths", lambda n: n > 0))).alias("documents"), F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, n: a + n)).alias("words")).first()
     documents, words = total["documents"] or 0, total["words"] or 0
 
@@ -133,7 +135,9 @@ def build(docs: DataFrame, scratch: Scratch) -> Index:
         import numpy as np
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):  # one at a time: a batch may have dozens
+                row = {c: batch.column(c)[i] for c in batch.schema.names}
+                row = {c: v.values if c == "terms" else v.as_py() for c, v in row.items()}
                 docs, tfs = np.frombuffer(row["docs"], np.uint16), np.frombuffer(row["tfs"], np.int32)
                 lengths, counts = np.array(row["lengths"], np.int64), np.array(row["counts"], np.int64)
                 impacts = impacts_of(tfs, lengths[docs], documents, words)
@@ -146,7 +150,7 @@ def build(docs: DataFrame, scratch: Scratch) -> Index:
                     sequence = sequence[np.argsort(sequence >> (height - 1 - level), kind="stable")]
                 yield _rows(out | {"bits": [bits]}, TREE)
 
-    trees = scratch.save(shards.mapInArrow(run, TREE), "trees")
+    trees = scratch.save(shards.mapInArrow(run, TREE), "trees", GROUP)
     scratch.drop("shards")
     return Index(trees, documents, words)
 
