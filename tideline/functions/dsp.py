@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -122,19 +123,27 @@ def fit_line(f, p):
     return -slope, offset
 
 
+@lru_cache(maxsize=16)
+def _knee_shapes(f: bytes, grid: tuple):
+    """Knees of a grid's points and their curves log10(k + f^chi), a row a point."""
+    f = np.frombuffer(f)
+    knees = np.array([(10**e) ** chi for chi, e in grid])
+    return knees, np.stack([np.log10(k + f**chi) for k, (chi, _) in zip(knees, grid, strict=True)])
+
+
 def fit_knee(f, p, grid):
-    """A one-row table of the best grid point."""
+    """A one-row table of the best grid point, the first of equal ones; all points are judged at once, and spectra of the same bins share the curves."""
     y = np.log10(p)
     total = ((y - y.mean()) ** 2).sum() if len(y) else 0.0
-    best = (math.nan, math.nan, math.nan, -math.inf)
-    for chi, e in grid if len(y) > 2 else []:
-        knee = (10**e) ** chi
-        shape = np.log10(knee + f**chi)
-        offset = (y + shape).mean()
-        r2 = 1 - ((y - offset + shape) ** 2).sum() / total if total else 0.0
-        if r2 > best[3]:
-            best = (chi, knee, offset, r2)
-    return {"chi": [best[0]], "knee": [best[1]], "offset": [best[2]], "r2": [best[3] if best[3] > -math.inf else math.nan]}
+    if len(y) <= 2 or not len(grid):
+        return {"chi": [math.nan], "knee": [math.nan], "offset": [math.nan], "r2": [math.nan]}
+    knees, shapes = _knee_shapes(np.ascontiguousarray(f, float).tobytes(), tuple(grid))
+    offsets = (y + shapes).mean(1)
+    r2 = 1 - ((y - offsets[:, None] + shapes) ** 2).sum(1) / total if total else np.zeros(len(knees))
+    best = int(np.argmax(np.where(np.isnan(r2), -np.inf, r2)))
+    if not r2[best] > -math.inf:
+        return {"chi": [math.nan], "knee": [math.nan], "offset": [math.nan], "r2": [math.nan]}
+    return {"chi": [grid[best][0]], "knee": [knees[best]], "offset": [offsets[best]], "r2": [r2[best]]}
 
 
 def exponent_over_time(x, fs: float, window_s: float, hop_s: float, lo: float, hi: float, last: bool = False):

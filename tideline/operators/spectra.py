@@ -13,8 +13,8 @@ from tideline.functions import dsp, peaks
 from tideline.operators import scans
 from tideline.operators.windows import frames
 
-#: Frames of a stretch.
-FRAMES = 256
+#: Frames of a stretch, and rows that kernels' results are sent in.
+FRAMES, ROWS = 256, 1 << 15
 
 
 def records(samples: DataFrame) -> DataFrame:
@@ -24,17 +24,32 @@ def records(samples: DataFrame) -> DataFrame:
 
 
 def per_record(table: DataFrame, kernel, schema: str, channel: str) -> DataFrame:
-    """kernel(array) gives columns; a row of the table becomes the kernel's rows under its channel."""
+    """kernel(array) gives columns, or values that stand in all its rows; a row of the table becomes the kernel's rows under its channel. About ROWS of them are sent at once."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
-        import pandas as pd
 
         for batch in batches:
+            own, chs, size = [], [], 0
             for ch, xs in zip(batch["ch"], batch["xs"], strict=True):
-                out = pd.DataFrame(kernel(np.asarray(xs, float)))
-                out.insert(0, "ch", ch)
-                yield out
+                got = {n: np.asarray(v) for n, v in kernel(np.asarray(xs, float)).items()}
+                own.append(got)
+                rows = next((len(v) for v in got.values() if v.ndim), 1)
+                chs.append((ch, rows))
+                size += rows
+                if size >= ROWS:
+                    yield joined(chs, own)
+                    own, chs, size = [], [], 0
+            if own:
+                yield joined(chs, own)
+
+    def joined(chs, own):
+        import numpy as np
+        import pandas as pd
+
+        rows = [n for _, n in chs]
+        columns = {n: np.concatenate([g[n] if g[n].ndim else np.repeat(g[n], r) for g, r in zip(own, rows, strict=True)]) for n in own[0]}
+        return pd.DataFrame({"ch": np.repeat(np.array([c for c, _ in chs]), rows), **columns})
 
     return table.select("ch", "xs").mapInPandas(run, f"ch {channel}, {schema}")
 
@@ -123,7 +138,8 @@ def fit_knee(psd: DataFrame, lo: float, hi: float, channel: str = "long") -> Dat
     """
     rows = psd.where(in_band(lo, hi)).groupBy("ch").agg(F.array_sort(F.collect_list(F.struct("freq", "power"))).alias("_b"))
     flat = rows.select("ch", F.flatten(F.transform("_b", lambda b: F.array(b["freq"], b["power"]))).alias("xs"))
-    return per_record(flat, lambda x: dsp.fit_knee(x[::2], x[1::2], knee_grid()), "chi double, knee double, offset double, r2 double", channel)
+    grid = tuple(knee_grid())
+    return per_record(flat, lambda x: dsp.fit_knee(x[::2], x[1::2], grid), "chi double, knee double, offset double, r2 double", channel)
 
 
 def exponent_over_time(samples: DataFrame, fs: float, window_s: float, hop_s: float, lo: float, hi: float, channel: str = "long") -> DataFrame:
