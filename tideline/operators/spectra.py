@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from tideline.functions import dsp, peaks
 from tideline.operators import scans
 from tideline.operators.windows import frames
+from tideline.sources.written import written
 
 #: Frames of a stretch, and rows that kernels' results are sent in.
 FRAMES, ROWS = 256, 1 << 15
@@ -272,6 +273,7 @@ def exponents(psd: DataFrame, narrow: tuple[float, float], wide: tuple[float, fl
 
     Estimators over the wide band differ in whether peaks bend them; channels that an estimator can't judge lack its row.
     """
+    psd = written(psd)  # five estimators read it
     total = lambda b: F.sum(F.when(F.col("freq").between(*b), F.col("power")))
     span = 0.5 * math.log10(high[0] * high[1] / (low[0] * low[1]))
     bands = psd.groupBy("ch").agg(total(low).alias("l"), total(high).alias("h")).where("l > 0 and h > 0").select("ch", F.lit("two_bands").alias("estimator"), ((F.log10("l") - F.log10("h")) / span).alias("chi"))
