@@ -17,19 +17,15 @@ from tideline.sources.written import written
 
 def band_limited(samples: DataFrame, lo: float, hi: float, fs: float, order: int = 4, size: int = scans.CHUNK) -> DataFrame:
     """Samples of a band, every section forth and back over time chunks."""
-    rows = scans.chunks(samples, size)
-    for section in dsp.sections(fs, lo, hi, order):
-        rows = scans.filtered_chunks(rows, [section], both_ways=True)
-    return scans.unchunked(rows, size)
+    return scans.unchunked(scans.filtered_in_turn(scans.chunks(samples, size), dsp.sections(fs, lo, hi, order), both_ways=True), size)
 
 
 def envelope(samples: DataFrame, half: int, size: int = scans.CHUNK) -> DataFrame:
     """(ch, i, x): running RMS over i - half .. i + half, truncated at the record's ends, in time chunks."""
     kind = samples.schema["ch"].dataType.simpleString()
 
-    def run(batches: Iterator) -> Iterator:
+    def levels(batches: Iterator) -> Iterator:
         import numpy as np
-        import pandas as pd
 
         for batch in batches:
             for ch, chunk, first, xs in zip(batch["ch"], batch["chunk"], batch["first"], batch["xs"], strict=True):
@@ -37,9 +33,9 @@ def envelope(samples: DataFrame, half: int, size: int = scans.CHUNK) -> DataFram
                 total, n = np.r_[0.0, np.cumsum(x * x)], len(x)
                 at = np.arange(lead, min(n, lead + size))
                 a, b = np.maximum(0, at - half), np.minimum(n, at + half + 1)
-                yield pd.DataFrame({"ch": ch, "i": at + first, "x": np.sqrt((total[b] - total[a]) / (b - a))})
+                yield ch, at + first, np.sqrt((total[b] - total[a]) / (b - a))
 
-    return haloed(samples, size, half + 1).mapInPandas(run, f"ch {kind}, i long, x double")
+    return haloed(samples, size, half + 1).mapInPandas(lambda batches: scans.sent(levels(batches)), f"ch {kind}, i long, x double")
 
 
 def band_amplitude_harmonic(samples: DataFrame, phases: DataFrame, lo: float, hi: float, fs: float, order: int = 4, size: int = scans.CHUNK) -> DataFrame:

@@ -40,6 +40,26 @@ def framed(samples: DataFrame, size: int, hop: int, frames: int = 256, keys: tup
     return dealt.groupBy(*keys, "block").agg(pairs.alias("_p")).select(*keys, "block", F.transform("_p", lambda p: p["x"].cast("double")).alias("xs"))
 
 
+def sent(records: Iterator, rows: int = 1 << 15) -> Iterator:
+    """Frames (ch, i, x) of about so many rows from (ch, places, values) of records or chunks."""
+    import numpy as np
+    import pandas as pd
+
+    def frame():
+        chs, places, values = zip(*own, strict=True)
+        return pd.DataFrame({"ch": np.repeat(np.array(chs), [len(i) for i in places]), "i": np.concatenate(places), "x": np.concatenate(values)})
+
+    own, size = [], 0
+    for record in records:
+        own.append(record)
+        size += len(record[1])
+        if size >= rows:
+            yield frame()
+            own, size = [], 0
+    if own:
+        yield frame()
+
+
 def _schema(df: DataFrame, rest: str) -> str:
     return f"ch {df.schema['ch'].dataType.simpleString()}, {rest}"
 
@@ -101,22 +121,23 @@ def _maps(sections: tuple, n: int):
     return forth, back
 
 
-def _filtered_rows(rows: DataFrame, fixed: tuple, both_ways: bool, settled: bool) -> DataFrame:
-    """The same where every record is one chunk: its start state is known, so no scan is needed."""
+def _filtered_rows(rows: DataFrame, turns: list[tuple], both_ways: bool, settled: bool) -> DataFrame:
+    """The same where every record is one chunk: its start state is known, so no scan is needed. Cascades of several turns run one after another in one pass."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pandas as pd
 
-        cascade = Cascade(fixed)
-        rest = cascade.settled() if settled else np.zeros(cascade.size)
+        cascades = [Cascade(fixed) for fixed in turns]
+        rests = [c.settled() if settled else np.zeros(c.size) for c in cascades]
         for batch in batches:
             out = []
             for xs in batch["xs"]:
                 y = np.asarray(xs, float)
-                for _ in range(1 + both_ways):
-                    y = cascade.run(y, rest * y[0])[0]
-                    y = y[::-1] if both_ways else y
+                for cascade, rest in zip(cascades, rests, strict=True):
+                    for _ in range(1 + both_ways):
+                        y = cascade.run(y, rest * y[0])[0]
+                        y = y[::-1] if both_ways else y
                 out.append(y)
             yield pd.DataFrame({"ch": batch["ch"], "chunk": batch["chunk"], "xs": out})
 
@@ -132,7 +153,27 @@ def filtered_chunks(rows: DataFrame, sections: list[tuple], both_ways: bool = Fa
     """
     fixed = tuple(tuple(float(c) for c in s) for s in sections)
     if not rows.where("chunk > 0").limit(1).count():
-        return _filtered_rows(rows, fixed, both_ways, settled)
+        return _filtered_rows(rows, [fixed], both_ways, settled)
+    return _scanned_rows(rows, fixed, both_ways, settled)
+
+
+def filtered_in_turn(rows: DataFrame, sections: list[tuple], both_ways: bool = False) -> DataFrame:
+    """(ch, chunk, xs): chunks filtered by one section after another, each from rest over the whole record, forth and back if both_ways.
+
+    Where records are one chunk all sections run in one pass, in one Python worker a task; else each section's chunks are written, so that none is computed again for the next.
+    """
+    turns = [(tuple(float(c) for c in s),) for s in sections]
+    if not turns:
+        return rows.select("ch", "chunk", "xs")
+    if not rows.where("chunk > 0").limit(1).count():
+        return _filtered_rows(rows, turns, both_ways, False)
+    for fixed in turns[:-1]:
+        rows = written(_scanned_rows(rows, fixed, both_ways, False))
+    return _scanned_rows(rows, turns[-1], both_ways, False)
+
+
+def _scanned_rows(rows: DataFrame, fixed: tuple, both_ways: bool, settled: bool) -> DataFrame:
+    """The same for records of several chunks, by a scan over their maps."""
 
     def ends(batches: Iterator) -> Iterator:
         import numpy as np
