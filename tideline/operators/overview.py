@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tideline.functions import dsp
 from tideline.operators import scans
 from tideline.operators.samples import decimated
+from tideline.sources.written import written
 
 
 def arms(samples: DataFrame, fs: float, antialias: float, highpass: float, order: int = 4, size: int = scans.CHUNK) -> DataFrame:
@@ -15,11 +16,9 @@ def arms(samples: DataFrame, fs: float, antialias: float, highpass: float, order
 
     Each section runs forth and back over time chunks, whatever a record's length.
     """
-    cut, out = scans.chunks(samples, size), None
+    cut, out = written(scans.chunks(samples, size)), None  # both arms read it
     for name, low in (("raw", None), ("high", highpass)):
-        rows = cut
-        for section in dsp.sections(fs, low, antialias, order):
-            rows = scans.filtered_chunks(rows, [section], both_ways=True)
+        rows = scans.filtered_in_turn(cut, dsp.sections(fs, low, antialias, order), both_ways=True)
         arm = scans.unchunked(rows, size).select(F.lit(name).alias("arm"), "ch", "i", "x")
         out = arm if out is None else out.unionByName(arm)
     return out
@@ -36,9 +35,10 @@ def stride_of(fs: float, rate: float) -> int:
 def pyramid(samples: DataFrame, stride: int, levels: int = 4, fan: int = 4, keys: tuple[str, ...] = ("ch",)) -> DataFrame:
     """(keys, level, k, lo, hi, n): every `stride`th sample, and above it levels whose points span `fan` points of the level below.
 
-    A level is built from the one below by partial aggregates, so the samples are read once for the lowest.
+    A level is built from the one below by partial aggregates. The lowest is written, so the samples are read once for it, however many levels and views read it.
     """
-    level = decimated(samples, stride).select(*keys, F.floor(F.col("i") / stride).alias("k"), F.col("x").alias("lo"), F.col("x").alias("hi"), F.lit(1).cast("bigint").alias("n"))
+    points = written(decimated(samples, stride).select(*keys, F.floor(F.col("i") / stride).alias("k"), "x"))
+    level = points.select(*keys, "k", F.col("x").alias("lo"), F.col("x").alias("hi"), F.lit(1).cast("bigint").alias("n"))
     out = level.withColumn("level", F.lit(0))
     for n in range(1, levels):
         level = level.groupBy(*keys, F.floor(F.col("k") / fan).alias("k")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
