@@ -261,7 +261,7 @@ def peak_fits(psd: DataFrame, lo: float, hi: float, knee: bool = False, limits:
         import pandas as pd
 
         for batch in batches:
-            got = [peaks.fit(f, w, knee, limits) for f, w in zip(batch["_f"], batch["_w"], strict=True)]
+            got = peaks.fit_all(batch["_f"], batch["_w"], knee, limits)
             out = {k: batch[k] for k in keys} | {n: [g[n] for g in got] for n in ("offset", "knee", "exponent", "r2", "error")}
             yield pd.DataFrame(out | {"peaks": [[dict(zip(("centre", "height", "width"), p, strict=True)) for p in g["peaks"]] for g in got]})
 
