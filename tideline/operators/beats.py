@@ -37,18 +37,17 @@ def smoothed(samples: DataFrame, width: int, size: int = scans.CHUNK) -> DataFra
     before, after = width // 2, (width - 1) // 2
     kind = samples.schema["ch"].dataType.simpleString()
 
-    def run(batches: Iterator) -> Iterator:
+    def means(batches: Iterator) -> Iterator:
         import numpy as np
-        import pandas as pd
 
         for batch in batches:
             for ch, chunk, first, xs in zip(batch["ch"], batch["chunk"], batch["first"], batch["xs"], strict=True):
                 x, lead = np.asarray(xs, float), chunk * size - first
                 wide = np.concatenate([np.zeros(before), x, np.zeros(after)])
                 own = np.lib.stride_tricks.sliding_window_view(wide, width)[lead : lead + size].sum(1) / width
-                yield pd.DataFrame({"ch": ch, "i": np.arange(len(own)) + chunk * size, "x": own})
+                yield ch, np.arange(len(own)) + chunk * size, own
 
-    return haloed(samples, size, before + after + 1).mapInPandas(run, f"ch {kind}, i long, x double")
+    return haloed(samples, size, before + after + 1).mapInPandas(lambda batches: scans.sent(means(batches)), f"ch {kind}, i long, x double")
 
 
 def _records(values):
@@ -79,20 +78,20 @@ def _summaries(levels: DataFrame, bounds: DataFrame, size: int) -> tuple[DataFra
         import pandas as pd
 
         for batch in batches:
+            out = []
             for ch, chunk, first, xs, height in zip(batch["ch"], batch["chunk"], batch["first"], batch["xs"], batch["height"], strict=True):
                 x, lead, own = own_part(chunk, first, xs)
                 begins = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
                 ends = np.r_[begins[1:], len(x)] - 1
                 v = x[begins]
                 high = np.flatnonzero((v[1:-1] > v[:-2]) & (v[1:-1] > v[2:]) & (v[1:-1] >= height)) + 1
-                out = []
                 for p in ((begins[high] + ends[high]) // 2 - lead).tolist():
                     if 0 <= p < len(own):
                         h = own[p]
                         above, below = np.flatnonzero(own[:p] > h), np.flatnonzero(own[p + 1 :] > h)
                         a, b = (above[-1] + 1 if len(above) else 0), (p + 1 + below[0] if len(below) else len(own))
                         out.append((ch, chunk * size + p, h, own[a : p + 1].min(), len(above) > 0, own[p:b].min(), len(below) > 0))
-                yield pd.DataFrame(out, columns=["ch", "i", "height", "left", "left_done", "right", "right_done"])
+            yield pd.DataFrame(out, columns=["ch", "i", "height", "left", "left_done", "right", "right_done"])
 
     def outline(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -156,7 +155,10 @@ def spaced(peaks: DataFrame, distance: int) -> DataFrame:
     """
     w = Window.partitionBy("ch").orderBy("i")
     new = F.when(F.col("i") - F.lag("i").over(w) < distance, 0).otherwise(1)
-    grouped = peaks.withColumn("_new", new).withColumn("_group", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    filed = peaks.withColumn("_new", new).withColumn("_group", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    filed = written(filed.withColumn("_lone", (F.col("_new") == 1) & (F.coalesce(F.lead("_new").over(w), F.lit(1)) == 1)).drop("_new"))
+    # A peak that none is near stays as it is; it needs no task's Python.
+    lone, grouped = filed.where("_lone").drop("_lone", "_group"), filed.where("not _lone").drop("_lone")
 
     def choose(rows):
         import numpy as np
@@ -170,7 +172,7 @@ def spaced(peaks: DataFrame, distance: int) -> DataFrame:
                 keep[j] = True
         return rows[keep]
 
-    return grouped.groupBy("ch", "_group").applyInPandas(choose, grouped.schema).drop("_group")
+    return lone.unionByName(grouped.groupBy("ch", "_group").applyInPandas(choose, grouped.schema).drop("_group"))
 
 
 def qrs_peaks(samples: DataFrame, fs: float, low: float = 8.0, high: float = 25.0, order: int = 3, smooth: float = 0.12, apart: float = 0.45, times: float = 8.0, size: int = scans.CHUNK) -> DataFrame:
@@ -191,8 +193,15 @@ def qrs_peaks(samples: DataFrame, fs: float, low: float = 8.0, high: float = 25.
     peaks, outlines = _summaries(energy, bounds, size)
     peaks = written(peaks)
     done = F.col("left_done") & F.col("right_done")
-    open_ = _carried(peaks.where(~done), outlines, size)
-    whole = peaks.where(done).select("ch", "i", "height", "left", "right").unionByName(open_)
+    # In a record of one chunk there is no ground beyond, so only longer ones are carried on.
+    long = written(energy.where(F.col("i") >= size).select("ch").distinct())
+    if long.limit(1).count():
+        open_ = _carried(peaks.where(~done).join(long, "ch", "left_semi"), outlines.join(long, "ch", "left_semi"), size)
+        done = done | F.col("_short")
+        peaks = peaks.join(long.withColumn("_long", F.lit(True)), "ch", "left").withColumn("_short", F.col("_long").isNull())
+        whole = peaks.where(done).select("ch", "i", "height", "left", "right").unionByName(open_)
+    else:
+        whole = peaks.select("ch", "i", "height", "left", "right")
     kept = spaced(whole.select("ch", "i", "height", (F.col("height") - F.greatest("left", "right")).alias("prominence")), math.ceil(round(apart * fs)))
     return kept.join(bounds.select("ch", "rise"), "ch").where(F.col("prominence") >= F.col("rise")).drop("rise")
 
