@@ -479,3 +479,22 @@ def test_language_on_held_out_documents(spark):
     assert odd[2] == odd[3] == "und" and odd[1] in model.languages
     assert langid.decide("abc", langid.learn(docs.limit(0))) == ("und", 0.0)
     assert langid.predict(frame(spark, []), model).count() == 0
+
+
+def test_line_dedup_reads_firsts_of_crowds_only_where_they_are_near_copies(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    near = [" ".join([*words, f"own{i}"]) for i in range(60)]
+    far = [" ".join(rng.choices([f"v{i}" for i in range(400)], k=20)) for _ in range(60)]
+    for texts, copies in ((near, True), (far, False)):
+        tags = []
+
+        class Kept(Scratch):
+            def save(self, df, tag, group=None):
+                tags.append(tag)  # noqa: B023
+                return super().save(df, tag, group)
+
+        rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts)]
+        got = {r["doc_id"]: r["removed"] for r in lines.dedup_lines(frame(spark, rows), Kept(spark, "t")).collect()}
+        assert got == {i: [0] if copies and i else [] for i in range(60)}
+        assert ("one-sets" in tags) == copies

@@ -12,6 +12,8 @@ from .common import Scratch, free, let
 SLOTS_BITS = 18
 #: Distinct words of a line that can match at least, and sets that may share a prefix word before the first of them goes ahead.
 LEAST, CROWD = 1, 32
+#: Prefix words of a set by which crowds are looked for: the most frequent ones by which sets of equal size can still match.
+MET = 2
 #: Jaccard is 4/5 throughout: o common words of n1 and n2 reach it if 9 o >= 4 (n1 + n2). Sets of up to so many words only match equal ones.
 EQUAL = 3
 
@@ -19,7 +21,8 @@ EQUAL = 3
 def plain_text(text: Column) -> Column:
     """Lower case, with blanks for all white space but line ends."""
     low = F.lower(text)
-    return F.when(low.rlike("[\\t\\x0b\\x0c\\r]"), F.regexp_replace(low, "[\\t\\x0b\\x0c\\r]", " ")).otherwise(low)
+    other = F.contains(low, F.lit("\t")) | F.contains(low, F.lit("\x0b")) | F.contains(low, F.lit("\x0c")) | F.contains(low, F.lit("\r"))
+    return F.when(other, F.regexp_replace(low, "[\\t\\x0b\\x0c\\r]", " ")).otherwise(low)
 
 
 def line_words(line: Column) -> Column:
@@ -68,15 +71,16 @@ def distinct_sets(lines: DataFrame) -> DataFrame:
     return lines.groupBy("k1", "k2").agg(*kept, F.min(F.struct("doc_id", "row_hash", "line")).alias("place"), F.count("*").alias("times"))
 
 
-def entries(sets: DataFrame, decided: DataFrame | None = None) -> DataFrame:
-    """(word, k1, ni, odd1, odd2, doc, done): one slim row for each prefix word of each distinct set; ni packs the set's
-    size and the word's position, doc is the doc_id of the set's first place, done whether `decided` (k1, k2) has the set."""
+def entries(sets: DataFrame, decided: DataFrame | None = None, last: int | None = None) -> DataFrame:
+    """(word, k1, ni, odd1, odd2, doc, done): one slim row for each prefix word of each distinct set, or the `last` of its first n / 9; ni packs the
+    set's size and the word's position, doc is the doc_id of the set's first place, done whether `decided` (k1, k2) has the set."""
     sets, done = sets.where("prefix is not null"), F.lit(0).cast("bigint")
+    before = F.greatest(F.expr("n div 9").cast("int") + 1 - last, F.lit(0)) if last else F.lit(0)
     if decided is not None:
         sets = sets.join(decided.select("k1", "k2", F.lit(1).alias("_done")), ["k1", "k2"], "left")
         done = F.coalesce("_done", F.lit(0)).cast("bigint")
-    each = sets.select("k1", "n", "odd1", "odd2", F.col("place.doc_id").alias("doc"), done.alias("done"), F.posexplode("prefix").alias("i", "word"))
-    packed = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("i").cast("bigint"))
+    each = sets.select("k1", "n", "odd1", "odd2", F.col("place.doc_id").alias("doc"), done.alias("done"), before.alias("before"), F.posexplode(F.slice("prefix", before + 1, F.least(F.expr("n div 9").cast("int") + 1, F.lit(last))) if last else F.col("prefix")).alias("i", "word"))
+    packed = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR((F.col("i") + F.col("before")).cast("bigint"))
     return each.select("word", "k1", packed.alias("ni"), "odd1", "odd2", "doc", "done")
 
 
@@ -95,23 +99,31 @@ def named(table: DataFrame, prefix: str) -> DataFrame:
     return table.select([F.col(c).alias(f"{prefix}{c}") for c in table.columns])
 
 
-def with_firsts(sets: DataFrame) -> DataFrame:
-    """(a, b): sets against the first set, by document, of each word that more than CROWD sets have as a prefix word.
+def with_firsts(sets: DataFrame, last: int | None = None) -> DataFrame:
+    """(a, b, head): sets against the first set, by document, of each word that more than CROWD sets have as a prefix word, or
+    among the `last` of their first n / 9 + 1 words.
 
     A crowd of near copies mostly matches its first member, so that its pairs need not be formed; the number of rows is
-    at most that of the entries.
+    at most that of the entries. Rare words of their own come first in a prefix, so the later ones are what near copies
+    share; behind the first n / 9 + 1 sets of n words differ too much (9 (n - i) < 8 n) unless an earlier one is shared.
     """
     # One exchange by word serves the aggregate and the join: both use the same columns, and neither filters more than the other.
     known = " and ".join(f"{c} is not null" for c in ("word", "k1", "ni", "odd1", "odd2", "doc"))
-    rows = entries(sets).drop("done").withColumn("doc", F.coalesce("doc", F.lit(-(1 << 63)))).where(known).repartition("word")
+    rows = entries(sets, last=last).drop("done").withColumn("doc", F.coalesce("doc", F.lit(-(1 << 63)))).where(known).repartition("word")
     first = F.min_by(F.struct("k1", "ni", "odd1", "odd2", "doc"), F.struct("doc", "k1"))
     heads = rows.groupBy("word").agg(F.count("*").alias("n"), first.alias("h")).where(F.col("n") > CROWD)
     heads = heads.select(F.col("word").alias("h_word"), *[F.col(f"h.{c}").alias(f"h_{c}") for c in ("k1", "ni", "odd1", "odd2", "doc")])
     met = named(rows, "x_").join(heads, (F.col("x_word") == F.col("h_word")) & (F.col("x_k1") != F.col("h_k1")) & (F.col("x_doc") >= F.col("h_doc")) & may_match("x_", "h_"))
-    return met.select(F.least("x_k1", "h_k1").alias("a"), F.greatest("x_k1", "h_k1").alias("b")).distinct()
+    return met.select(F.least("x_k1", "h_k1").alias("a"), F.greatest("x_k1", "h_k1").alias("b"), F.col("h_k1").alias("head")).distinct()
 
 
-def with_all(sets: DataFrame, decided: DataFrame) -> DataFrame:
+def crowded(firsts: DataFrame, sets: DataFrame) -> bool:
+    """Whether crowds could make more pairs among themselves than there are sets."""
+    pairs = firsts.groupBy("head").count().agg(F.sum(F.col("count").cast("double") * F.col("count"))).first()[0] or 0.0
+    return pairs > sets.count()
+
+
+def with_all(sets: DataFrame, decided: DataFrame | None) -> DataFrame:
     """(a, b): sets that aren't decided against all others that share a prefix word, each pair from one side."""
     rows = entries(sets, decided).drop("doc")
     # x is open, and y is done or has the larger key. As one term over both sides it isn't pushed below the exchange, which both sides then share.
@@ -120,7 +132,7 @@ def with_all(sets: DataFrame, decided: DataFrame) -> DataFrame:
     return met.select(F.least("x_k1", "y_k1").alias("a"), F.greatest("x_k1", "y_k1").alias("b")).distinct()
 
 
-def later_of_similar(pairs: DataFrame, sets: DataFrame, base: DataFrame, repeats: bool, scratch: Scratch, tag: str) -> DataFrame:
+def later_of_similar(pairs: DataFrame, sets: DataFrame, base: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     """(k1, k2, other): of each pair that is similar word by word, the set whose first place is later, with an earlier place."""
     needed = pairs.select(F.col("a").alias("k1")).union(pairs.select(F.col("b").alias("k1"))).distinct()
     at = F.col("place")
@@ -129,13 +141,16 @@ def later_of_similar(pairs: DataFrame, sets: DataFrame, base: DataFrame, repeats
     row = lambda parts, s: F.struct(s["k1"].alias("k1"), s["k2"].alias("k2"), s["place"].alias("place"), F.array_distinct(line_words(F.get(parts, s["line"]))).alias("words"))
     rows = let(F.split(plain_text(F.col("text")), "\n"), lambda parts: F.transform("asked", lambda s: row(parts, s)))
     read = met.select(F.inline(rows))
-    words = scratch.save(read.dropDuplicates(["k1"]) if repeats else read, f"{tag}-sets")
+    words = scratch.save(read, f"{tag}-sets")
+    # Repeated rows each answer for their sets.
+    if words.groupBy("k1").count().where("count > 1").limit(1).count():
+        words = scratch.save(words.dropDuplicates(["k1"]), f"{tag}-once")
     both = F.size(F.array_intersect("a_words", "b_words"))
     near = pairs.join(named(words, "a_"), F.col("a") == F.col("a_k1")).join(named(words, "b_"), F.col("b") == F.col("b_k1")).where(9 * both >= 4 * (F.size("a_words") + F.size("b_words")))
     pick = lambda late, early: F.struct(F.col(f"{late}_k1").alias("k1"), F.col(f"{late}_k2").alias("k2"), F.col(f"{early}_place").alias("other"))
     later = near.select(F.when(F.col("a_place") < F.col("b_place"), pick("b", "a")).otherwise(pick("a", "b")).alias("_l")).select("_l.*")
     found = scratch.save(later.groupBy("k1", "k2").agg(F.min("other").alias("other")), f"{tag}-later")
-    for done in (f"{tag}-sets", tag):
+    for done in (f"{tag}-sets", f"{tag}-once", tag):
         scratch.drop(done)
     return found
 
@@ -144,13 +159,16 @@ def first_places(base: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFram
     """(k1, k2, keep): for every set with a second line or an earlier similar set, its first place or one before it.
 
     Two rounds: against the first of each crowd, then what that leaves against all. A set is decided by any earlier
-    similar one, so what the first round decides need not be paired again but still counts as a partner.
+    similar one, so what the first round decides need not be paired again but still counts as a partner. Where crowds, looked
+    for by MET words a set, make few pairs, the first round is left out, as the second forms its pairs too.
     """
-    # Repeated rows would each answer for their sets.
-    repeats = base.groupBy("doc_id", "row_hash").count().where("count > 1").limit(1).count() > 0
-    one = later_of_similar(scratch.save(with_firsts(sets), "one"), sets, base, repeats, scratch, "one")
-    two = later_of_similar(scratch.save(with_all(sets, one), "two"), sets, base, repeats, scratch, "two")
-    other = one.unionByName(two).groupBy("k1", "k2").agg(F.min("other").alias("other"))
+    one = None
+    if crowded(scratch.save(with_firsts(sets, MET), "met"), sets):
+        one = later_of_similar(scratch.save(with_firsts(sets).select("a", "b").distinct(), "one"), sets, base, scratch, "one")
+    scratch.drop("met")
+    two = later_of_similar(scratch.save(with_all(sets, one), "two"), sets, base, scratch, "two")
+    found = two if one is None else one.unionByName(two)
+    other = found.groupBy("k1", "k2").agg(F.min("other").alias("other"))
     return sets.join(other, ["k1", "k2"], "left").where("times > 1 or other is not null").select("k1", "k2", F.coalesce("other", "place").alias("keep"))
 
 
