@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.operators import pairs, readouts, samples
-from tideline.plans.base import SIG, TIMED, Book, r, signal, table, timed
+from tideline.plans.base import SIG, TIMED, Book, near, r, signal, table, timed
 from tideline.plans.samplewise import _MONTAGE
 from tideline.plans.spectral import FS
 from tideline.sources import montage
@@ -120,4 +120,4 @@ def circular_inputs(spark, sf_dir) -> DataFrame:
 @query()
 def band_means(spark, sf_dir) -> DataFrame:
     """Connectivity of all channel pairs, averaged over a band."""
-    return pairs.mean_connectivity(signal(spark, sf_dir), FS, 16, 1.0, 2.0).select("a", "b", r("coherence", 4).alias("coherence"), r("dwpli", 4).alias("dwpli"))
+    return pairs.mean_connectivity(signal(spark, sf_dir), FS, 16, 1.0, 2.0).select("a", "b", near("coherence", 4).alias("coherence"), near("dwpli", 4).alias("dwpli"))
